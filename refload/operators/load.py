@@ -40,9 +40,9 @@ def project_valid_columns(df: DataFrame) -> DataFrame:
 
     Only the names are looked at, so this costs no pass over the rows.
     """
-    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "i int, name string")
-    valid = names.select("i", sanitize_identifier(F.col("name")).alias("valid")).orderBy("i").collect()
-    return df.select(*[df[f"`{df.columns[r.i]}`"].alias(r.valid) for r in valid if r.valid])
+    names = F.array(*[sanitize_identifier(F.lit(c)) for c in df.columns])
+    valid = df.sparkSession.range(1).select(names.alias("names")).first()["names"]
+    return df.select(*[df[f"`{old}`"].alias(new) for old, new in zip(df.columns, valid, strict=True) if new])
 
 
 def clean_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
