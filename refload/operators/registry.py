@@ -112,22 +112,23 @@ def match_schema(
     )
 
 
-def match_one(headers: list[str], tables: DataFrame, table: str, name: str, share: float = MATCH_SHARE) -> DataFrame:
-    """Tables that fit one file's header, best first; one counting pass over the column relation."""
-    wanted = sorted({h.lower() for h in headers})
+def match_one(header: DataFrame, tables: DataFrame, table: str, name: str, share: float = MATCH_SHARE) -> DataFrame:
+    """Tables that fit one header (a relation with column ``name``), best first.
+
+    Names of a table are made distinct before they meet the header, so a name used often joins once per table.
+    """
+    wanted = header.select(F.lower(name).alias("n")).distinct().withColumn("_wanted", F.lit(True))
     columns = tables.select(table, F.lower(name).alias("n")).distinct()
-    hits = columns.groupBy(table).agg(
-        F.count_if(F.col("n").isin(wanted)).alias("matching_columns"), F.count("*").alias("_own")
+    hits = (
+        columns.join(wanted, "n", "left")
+        .groupBy(table)
+        .agg(F.count("_wanted").alias("matching_columns"), F.count("*").alias("_own"))
     )
-    total = F.col("_own") + len(wanted) - F.col("matching_columns")
-    return rank_candidates(
-        hits.withColumn("total_columns", total)
-        .withColumn("match_percentage", F.col("matching_columns") / F.col("total_columns"))
-        .where(F.col("match_percentage") > share)
-        .drop("_own"),
-        "match_percentage",
-        [table],
+    size = wanted.agg(F.count("*")).scalar()
+    scored = hits.withColumn("total_columns", F.col("_own") + size - F.col("matching_columns")).withColumn(
+        "match_percentage", F.col("matching_columns") / F.col("total_columns")
     )
+    return rank_candidates(scored.where(F.col("match_percentage") > share).drop("_own"), "match_percentage", [table])
 
 
 def rank_candidates(matches: DataFrame, score: str, ties: list[str]) -> DataFrame:

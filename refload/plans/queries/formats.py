@@ -212,9 +212,11 @@ def detect_trailer_query(spark: SparkSession, sf: str) -> DataFrame:
     return up_to(text_files(spark, sf), "trailer").select("file_id", "has_trailer", "trailer_line")
 
 
-@query("trailer_typical_width", DETECT_SQL + "SELECT file_id, CAST(typical AS INTEGER) AS typical_width FROM final")
+@query("trailer_typical_width", DETECT_SQL + "SELECT file_id, CAST(typical AS VARCHAR) AS typical_width FROM final")
 def trailer_typical_width_query(spark: SparkSession, sf: str) -> DataFrame:
-    return up_to(text_files(spark, sf), "trailer").select("file_id", "typical_width")
+    return up_to(text_files(spark, sf), "trailer").select(
+        "file_id", F.col("typical_width").cast("string").alias("typical_width")
+    )
 
 
 @query("detection_confidence", DETECT_SQL + "SELECT file_id, confidence FROM final")
@@ -233,8 +235,8 @@ def detection_confidence_query(spark: SparkSession, sf: str) -> DataFrame:
     "CASE WHEN error IS NULL THEN has_header ELSE true END AS has_header, "
     "CASE WHEN error IS NULL THEN has_trailer ELSE false END AS has_trailer, "
     "CASE WHEN error IS NULL THEN trailer_line END AS trailer_line, "
-    "CASE WHEN error IS NULL THEN CAST(coalesce(len(sample), 0) AS INTEGER) END AS estimated_columns, "
-    "CASE WHEN error IS NULL THEN CAST(len(lines) AS INTEGER) END AS sample_rows, "
+    "CASE WHEN error IS NULL THEN CAST(coalesce(len(sample), 0) AS VARCHAR) END AS estimated_columns, "
+    "CASE WHEN error IS NULL THEN CAST(len(lines) AS VARCHAR) END AS sample_rows, "
     "CASE WHEN error IS NULL THEN confidence ELSE 0 END AS confidence, error FROM final",
 )
 def detect_format_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,8 +248,8 @@ def detect_format_query(spark: SparkSession, sf: str) -> DataFrame:
         "has_header",
         "has_trailer",
         "trailer_line",
-        "estimated_columns",
-        "sample_rows",
+        F.col("estimated_columns").cast("string").alias("estimated_columns"),
+        F.col("sample_rows").cast("string").alias("sample_rows"),
         F.round("detection_confidence", 6).alias("confidence"),
         "error",
     )

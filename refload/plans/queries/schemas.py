@@ -20,13 +20,11 @@ from refload.operators.evolve import (
     sync_backup_schema,
     sync_columns_add_only,
     sync_columns_widen,
-    with_canonical_type,
 )
 from refload.operators.registry import REGISTRY_COLUMNS, match_one, match_schema, rank_candidates, upsert_registry
-from refload.operators.tables import VERSION, append_rows, create_table
+from refload.operators.tables import VERSION, create_table
 from refload.operators.versions import create_backup, snapshot_version
 from refload.plans.catalogue import query, table
-from refload.plans.queries.names import CANONICAL_SQL, typed_rows
 from refload.plans.queries.scans import new_warehouse
 from refload.sources.descriptors import parse_descriptor, persist_inferred_schema, write_format_descriptor
 
@@ -119,10 +117,6 @@ def describe_table_query(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("table_name", "name", "position", "data_type")
 
 
-# Two states of a column relation per order: lines 1 to 4 as declared, lines 2 to 7 as stored.
-EXPECTED_SQL = f"SELECT l_orderkey, l_returnflag || l_linenumber AS name, type FROM ({CANONICAL_SQL}) JOIN lineitem USING (l_orderkey, l_linenumber)"
-
-
 @query(
     "schema_diff",
     """WITH expected AS (SELECT p_brand, lower(p_name) AS name, 'varchar(' || max(p_size) || ')' AS type FROM part WHERE p_size < 40 GROUP BY ALL),
@@ -221,8 +215,7 @@ def rank_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
 def match_one_header_query(spark: SparkSession, sf: str) -> DataFrame:
     """One header (all part names but the red ones) against the part names of each brand."""
     part = table(spark, sf, "part")
-    names = [r.p_name for r in part.select("p_name").distinct().where(~F.col("p_name").startswith("red")).collect()]
-    found = match_one(names, part, "p_brand", "p_name")
+    found = match_one(part.where(~F.col("p_name").startswith("red")), part, "p_brand", "p_name")
     return found.withColumn("match_percentage", F.round("match_percentage", 6))
 
 
