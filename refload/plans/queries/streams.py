@@ -108,7 +108,7 @@ def stream_stability_query(spark: SparkSession, sf: str) -> DataFrame:
             F.floor(F.col("value") / 40).cast("double").alias("size"),
             F.col("event_type").isin("view", "click", "purchase").cast("long").alias("mtime"),
         )
-        return drained(stream_stability(listings), "stability")
+        return drained(stream_stability(listings, idle_ms=None), "stability")
     finally:
         if before:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

@@ -17,8 +17,11 @@ OUTPUT = "path string, scan_id long, stable_count long"
 class StabilityCounter(StatefulProcessor):
     """Keeps size, time and count of each file; a change starts again at 1."""
 
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", STATE, ttlDurationMs=IDLE_MS)
+        self.seen = handle.getValueState("seen", STATE, ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Scans of one file arrive in batches; within a batch they are put in order by number.
@@ -45,8 +48,15 @@ class StabilityCounter(StatefulProcessor):
         pass
 
 
-def stream_stability(listings: DataFrame) -> DataFrame:
-    """Stable count of each scan in a stream with ``path, scan_id, size, mtime``; needs the RocksDB state store."""
+def stream_stability(listings: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Stable count of each scan in a stream with ``path, scan_id, size, mtime``; needs the RocksDB state store.
+
+    Forgetting idle files takes a clock, and a query with a clock never runs out of work: give
+    ``idle_ms=None`` for a run that ends when everything has been read.
+    """
     return listings.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=StabilityCounter(), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=StabilityCounter(idle_ms),
+        outputStructType=OUTPUT,
+        outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
