@@ -18,6 +18,8 @@ DELIMITERS = [",", ";", "|", "\t"]
 # Lines looked at for the delimiter, and data lines looked at for the usual number of fields.
 SCORED_LINES = 10
 TYPICAL_LINES = 100
+# Lines whose fields are shown with a format.
+SHOWN_LINES = 3
 # Words that show that a first line names columns, and the share of columns that must hold one.
 HEADER_WORDS = ["id", "name", "date", "time", "code", "description", "value", "amount"]
 HEADER_SHARE = 0.3
@@ -69,16 +71,16 @@ def decode_content(content: Column, encoding: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; CRLF and CR end a line as LF does."""
-    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
+    feeds = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.split(feeds, "\n", -1)
 
 
 def _occurrences(text: Column, piece: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))
 
 
-def delimiter_counts(lines: Column, delimiter: str) -> Column:
-    """Occurrences of a delimiter in each of the first lines that are not blank."""
-    head = F.filter(F.slice(lines, 1, SCORED_LINES), lambda x: ~is_blank(x))
+def delimiter_counts(head: Column, delimiter: str) -> Column:
+    """Occurrences of a delimiter in each of the first lines."""
     return F.transform(head, lambda x: _occurrences(x, delimiter))
 
 
@@ -169,14 +171,19 @@ def typical_lines(filled: Column, headed: Column) -> Column:
 
 
 def with_lines(df: DataFrame, content: str) -> DataFrame:
-    """Add ``lines`` and ``filled`` (lines that are not blank)."""
+    """Add ``lines``, ``filled`` (those that are not blank) and ``head`` (the filled ones of the first lines)."""
     out = df.withColumn("lines", split_lines(F.col(content)))
-    return out.withColumn("filled", F.filter("lines", lambda x: ~is_blank(x)))
+    return out.withColumns(
+        {
+            "filled": F.filter("lines", lambda x: ~is_blank(x)),
+            "head": F.filter(F.slice("lines", 1, SCORED_LINES), lambda x: ~is_blank(x)),
+        }
+    )
 
 
 def with_delimiter(df: DataFrame) -> DataFrame:
-    """Add one score per candidate, ``column_delimiter`` and ``evenness``; needs ``lines``."""
-    counts = df.withColumns({f"count_{i}": delimiter_counts(F.col("lines"), d) for i, d in enumerate(DELIMITERS)})
+    """Add one score per candidate, ``column_delimiter`` and ``evenness``; needs ``head``."""
+    counts = df.withColumns({f"count_{i}": delimiter_counts(F.col("head"), d) for i, d in enumerate(DELIMITERS)})
     scored = counts.withColumns({f"score_{i}": delimiter_score(F.col(f"count_{i}")) for i in range(len(DELIMITERS))})
     picked = scored.withColumn("column_delimiter", pick_delimiter([F.col(f"score_{i}") for i in range(len(DELIMITERS))]))
     even = _of_delimiter(F.col("column_delimiter"), [evenness(F.col(f"count_{i}")) for i in range(len(DELIMITERS))])
@@ -232,9 +239,9 @@ def detection_confidence(text: Column, even: Column, quote: Column) -> Column:
 
 
 def sample_rows(df: DataFrame) -> Column:
-    """Fields of the first lines that are not blank."""
-    head = F.filter(F.slice("lines", 1, SCORED_LINES), lambda x: ~is_blank(x))
-    return F.transform(head, lambda x: parse_fields(x, F.col("column_delimiter"), F.col("text_qualifier")))
+    """Fields of the first lines that are not blank; as many lines as are shown."""
+    shown = F.slice("head", 1, SHOWN_LINES)
+    return F.transform(shown, lambda x: parse_fields(x, F.col("column_delimiter"), F.col("text_qualifier")))
 
 
 def detect_format(df: DataFrame, content: str) -> DataFrame:
@@ -266,7 +273,7 @@ def detect_format(df: DataFrame, content: str) -> DataFrame:
         unless_bad(detection_confidence(text, F.col("evenness"), F.col("text_qualifier")), 0.0).alias(
             "detection_confidence"
         ),
-        F.when(~bad, F.slice("sample", 1, 3)).alias("sample_data"),
+        F.when(~bad, F.col("sample")).alias("sample_data"),
         unless_bad(F.col("column_delimiter"), DEFAULT_FORMAT["column_delimiter"]).alias("header_delimiter"),
         F.lit(0).alias("skip_lines"),
         "error",

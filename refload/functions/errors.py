@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +67,7 @@ DEFAULT_ADVICE = [
 
 
 def _any_of(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(words))
+    return reduce(or_, [text.contains(w) for w in words])
 
 
 def classify_error(message: Column) -> Column:

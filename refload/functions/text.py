@@ -38,7 +38,8 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    """Nothing but white space; stops at the first other character."""
+    return c.isNull() | (F.ltrim(c, F.lit(WHITE_SPACE)) == "")
 
 
 def clean_null_tokens(c: Column) -> Column:

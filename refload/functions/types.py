@@ -69,7 +69,7 @@ def canonical_type(name: Column, length: Column, precision: Column, scale: Colum
 
 
 def strip_blank(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\r\n"))
 
 
 def is_safe_widening(old: Column, new: Column) -> Column:

@@ -17,6 +17,7 @@ from refload.functions.times import ntz
 from refload.functions.types import canonical_type, is_safe_widening, width_bucket
 from refload.operators.tables import LOAD_COLUMNS, LOAD_TIME, LOAD_TYPE, VERSION, Warehouse
 from refload.operators.versions import create_backup
+from refload.session import local_rows
 
 COLUMNS_SCHEMA = (
     "name string, data_type string, max_length int, numeric_precision int, numeric_scale int,"
@@ -43,7 +44,7 @@ def describe_table(spark: SparkSession, df: DataFrame) -> DataFrame:
         elif declared and isinstance(kind, T.StringType):
             name = declared
         rows.append((field.name, name, length, precision, scale, field.nullable, place))
-    return spark.createDataFrame(rows, COLUMNS_SCHEMA)
+    return local_rows(spark, rows, COLUMNS_SCHEMA)
 
 
 def with_canonical_type(columns: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def sampled_widths(df: DataFrame, columns: list[str], order: list[Column], rows:
     filled = cells.select("_n", "_s.c", "_s.v").where((F.col("v").isNotNull()) & (F.col("v") != ""))
     rank = F.row_number().over(Window.partitionBy("c").orderBy("_n"))
     longest = filled.withColumn("_r", rank).where(F.col("_r") <= values).groupBy("c").agg(F.max(F.length("v")).alias("w"))
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "c string")
+    names = local_rows(df.sparkSession, [(c,) for c in columns], "c string")
     return names.join(longest, "c", "left").select(
         F.col("c").alias("column_name"), F.col("w").alias("longest"), width_bucket(F.col("w")).alias("data_type")
     )
@@ -149,12 +150,18 @@ def data_fields(df: DataFrame) -> DataFrame:
 def compare_table(wh: Warehouse, table: str, columns: dict[str, str]) -> list[tuple[str, str, str | None, str | None, bool]]:
     """Schema difference of one table as a list; its size is the number of columns."""
     none = F.lit(None).cast("int")
-    pairs = wh.spark.createDataFrame(list(columns.items()), "name string, data_type string")
+    pairs = local_rows(wh.spark, list(columns.items()), "name string, data_type string")
     expected = pairs.withColumn("type", canonical_type(F.col("data_type"), none, none, none))
     diff = widening_verdicts(schema_diff(expected, data_fields(wh.table(table)), []))
     return [(r["name"], r.verdict, r.existing_type, r.expected_type, r.safe) for r in diff.collect()]
 
 
+def has_columns(wh: Warehouse, table: str, columns: dict[str, str]) -> bool:
+    """Whether a table has all columns with just these declared types, seen from its schema alone."""
+    have = {f.name.lower(): f.metadata.get("comment", "").lower() for f in wh.table(table).schema.fields}
+    return all(have.get(n.lower()) == t.lower() for n, t in columns.items())
+
+
 def sync_columns_add_only(wh: Warehouse, table: str, columns: dict[str, str]) -> dict[str, list[str]]:
     """Add the file's columns the table lacks; existing columns keep their types.
 
@@ -254,6 +261,6 @@ def ensure_backup(wh: Warehouse, base: str, columns: dict[str, str], at: datetim
     """Have a backup table that can hold the main table: keep, evolve or rotate it."""
     if not wh.exists(wh.backup(base)):
         create_backup(wh, base, wh.table(wh.main(base)))
-    elif not sync_backup_schema(wh, base, columns)["success"]:
+    elif not has_columns(wh, wh.backup(base), columns) and not sync_backup_schema(wh, base, columns)["success"]:
         backup_rotate(wh, base, at)
     ensure_metadata_columns(wh, wh.backup(base), backup=True)

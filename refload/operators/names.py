@@ -36,21 +36,18 @@ def dedupe_header(names: Column) -> Column:
 def dedupe_names(columns: DataFrame, file: str, position: str, name: str) -> DataFrame:
     """The same over a relation of one row per column: add ``unique_name``.
 
-    Repeats are numbered within (file, name). Only files in which a numbered name equals another name of
+    Repeats are numbered within (file, name). One shuffle by file serves all windows and joins: the columns
+    of a file are as many as fit into its header line. Only files in which a numbered name equals another name of
     the file need the name-by-name walk; those headers are gathered as one array per file.
     """
     repeat = F.row_number().over(Window.partitionBy(file, name).orderBy(position)) - 1
-    numbered = columns.withColumn("_repeat", F.when(F.col(name) == "", F.lit(0)).otherwise(repeat))
+    numbered = columns.repartition(file).withColumn("_repeat", F.when(F.col(name) == "", F.lit(0)).otherwise(repeat))
     plain = F.when(F.col("_repeat") == 0, F.col(name)).otherwise(F.concat(name, F.lit("_"), F.col("_repeat")))
     numbered = numbered.withColumn("unique_name", plain)
-    clashing = (
-        numbered.where(F.col(name) != "")
-        .groupBy(file, "unique_name")
-        .agg(F.count("*").alias("_n"))
-        .where("_n > 1")
-        .select(file)
-        .distinct()
-    )
+    # A numbered name can only equal a name that itself ends like a number, and those are few.
+    alike = numbered.where((F.col("_repeat") == 0) & F.col(name).rlike("_[0-9]+$")).select(file, "unique_name")
+    given = numbered.where(F.col("_repeat") > 0).select(file, "unique_name")
+    clashing = alike.join(given, [file, "unique_name"], "left_semi").select(file).distinct()
     smooth = numbered.join(clashing, file, "left_anti").drop("_repeat")
     walked = (
         numbered.join(clashing, file, "left_semi")

@@ -10,6 +10,7 @@ from refload.operators.evolve import describe_table
 from refload.operators.tables import Warehouse
 from refload.operators.validate import validation_json
 from refload.operators.versions import stored_versions
+from refload.session import local_rows
 
 # Rows shown and how they show what is no text.
 SAMPLE_ROWS = 5
@@ -47,7 +48,7 @@ def backup_stats(wh: Warehouse, base: str) -> DataFrame:
     spark, name = wh.spark, wh.backup(base)
     if not wh.exists(name):
         reason = "Backup table not found or not created"
-        return spark.createDataFrame(
+        return local_rows(spark, 
             [(base, False, None, None, None, reason)],
             "table_name string, backup_created boolean, backup_table string, versions int, backup_rows long, reason string",
         )

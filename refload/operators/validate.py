@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refload.session import local_rows
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -89,7 +91,7 @@ def validate_stage(stage: DataFrame, rules: list[Rule]) -> DataFrame:
                 )
             )
     if not parts:
-        return stage.sparkSession.createDataFrame([], "issue_id int, issue_detail string, rows bigint")
+        return local_rows(stage.sparkSession, [], "issue_id int, issue_detail string, rows bigint")
     return reduce(DataFrame.unionByName, parts)
 
 

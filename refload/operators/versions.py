@@ -19,7 +19,7 @@ from refload.operators.tables import (
     declared_schema,
     replace_rows,
 )
-from refload.session import materialize
+from refload.session import local_rows, materialize
 
 # Load type of a snapshot, page sizes.
 SNAPSHOT_TYPE = "backup"
@@ -208,8 +208,8 @@ def backup_inventory(wh: Warehouse) -> DataFrame:
             versions = stored_versions(wh, base)
             found.append((entry.name, base, len(versions), versions[0] if versions else None))
     schema = "backup_table string, base_name string, version_count int, latest_version int"
-    backups = spark.createDataFrame(found, schema)
-    tables = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(wh.data_schema)], "name string")
+    backups = local_rows(spark, found, schema)
+    tables = local_rows(spark, [(t.name,) for t in spark.catalog.listTables(wh.data_schema)], "name string")
     main = tables.select(F.col("name").alias("base_name"), F.lit(True).alias("_main"))
     stage = tables.where(F.col("name").endswith("_stage")).select(
         F.regexp_replace("name", "_stage$", "").alias("base_name"), F.lit(True).alias("_stage")

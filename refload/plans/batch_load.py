@@ -16,9 +16,10 @@ from pyspark.sql.utils import AnalysisException
 
 from refload.functions.times import ntz
 from refload.functions.types import canonical_type, width_bucket
-from refload.operators.evolve import ensure_backup, ensure_metadata_columns, sync_columns_add_only
+from refload.operators.evolve import data_fields, ensure_backup, ensure_metadata_columns, has_columns, sync_columns_add_only
 from refload.operators.load import (
     clean_rows,
+    declared_types,
     determine_load_type,
     promote,
     quarantine_write,
@@ -47,6 +48,7 @@ from refload.sources.delimited import (
     reject_ragged,
     scan_delimited,
 )
+from refload.session import local_rows
 
 HISTORY = "load_history"
 REGISTRY = "load_registry"
@@ -69,7 +71,7 @@ class LoadResult:
 def past_loads(wh: Warehouse, base: str) -> DataFrame:
     """Finished loads of a table."""
     if not wh.exists(wh.main(HISTORY)):
-        create_table(wh, wh.main(HISTORY), wh.spark.createDataFrame([], HISTORY_SCHEMA))
+        create_table(wh, wh.main(HISTORY), local_rows(wh.spark, [], HISTORY_SCHEMA))
     return wh.table(wh.main(HISTORY)).where(F.col("source_table") == base)
 
 
@@ -88,7 +90,7 @@ def write_stage(
     ).drop(*POSITION_COLUMNS)
     location = write_beside(wh, wh.stage(base), watched)
     found = seen.get
-    widths = wh.spark.createDataFrame([(c, found[f"w{i}"]) for i, c in enumerate(columns)], "c string, w int")
+    widths = local_rows(wh.spark, [(c, found[f"w{i}"]) for i, c in enumerate(columns)], "c string, w int")
     types = {r.c: r.t for r in widths.select("c", width_bucket(F.col("w")).alias("t")).collect()}
     register_table(wh, wh.stage(base), location, watched, types)
     return found["rows"], found["long"], types
@@ -144,22 +146,25 @@ def load_files(
 
     if main is not None:
         ensure_metadata_columns(wh, wh.main(base))
-        sync_columns_add_only(wh, wh.main(base), types)
+        if not has_columns(wh, wh.main(base), types):
+            sync_columns_add_only(wh, wh.main(base), types)
     promote(wh, base, code, load_time)
     ensure_backup(wh, base, main_types(wh, base), load_time)
     last = history.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
     version = snapshot_version(wh, base, load_time, last + 1)
     register(wh, base)
-    row = spark.createDataFrame([(base, load_time.isoformat(sep=" "), code, rows, version)], "a string, b string, c string, d long, e int")
-    append_rows(wh, wh.main(HISTORY), row.toDF(*[c.name for c in history.schema.fields]))
+    done_now = [(base, load_time.isoformat(sep=" "), code, rows, version)]
+    append_rows(wh, wh.main(HISTORY), local_rows(spark, done_now, HISTORY_SCHEMA.replace("timestamp_ntz", "string")))
     return LoadResult(base, "success", code, rows, version, rejected, validation)
 
 
 def main_types(wh: Warehouse, base: str) -> dict[str, str]:
     """Declared types of the data columns of a main table."""
-    from refload.operators.evolve import data_fields
-
-    described = data_fields(wh.table(wh.main(base)))
+    main = wh.table(wh.main(base))
+    known = declared_types(main)
+    if all(c in known for c in main.columns):
+        return {c: t for c, t in known.items() if c not in (LOAD_TIME, LOAD_TYPE)}
+    described = data_fields(main)
     return {r["name"]: r["type"] for r in described.collect()}
 
 

@@ -11,7 +11,7 @@ from refload.plans.catalogue import query, table
 from refload.plans.queries.formats import DETECT_SQL, text_files
 from refload.plans.queries.scans import FILE_ROWS, bucket_of, new_warehouse
 from refload.plans.queries.workflows import WORKFLOWS_SQL, requests, workflows
-from refload.session import new_folder
+from refload.session import local_rows, new_folder
 from refload.sources.delimited import DelimitedFormat, write_delimited
 from refload.streaming.dropfolder import dedupe_arrivals, stream_dropfolder
 from refload.streaming.ingest import APPROVAL_SCHEMA, EVENTS, ready_stream, run_to_folder, stream_ingest, transition_stream
@@ -82,7 +82,7 @@ def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
         write_delimited(customers.where(F.col("c_custkey") % 2 == part), path, fmt)
         approvals.append((f"w{part}", path, "customer", ",", "append", f"2024-01-3{part} 12:00:00"))
     folder = new_folder(spark, "approvals")
-    spark.createDataFrame(approvals, APPROVAL_SCHEMA).coalesce(1).write.json(folder)
+    local_rows(spark, approvals, APPROVAL_SCHEMA).coalesce(1).write.json(folder)
     stream = spark.readStream.schema(APPROVAL_SCHEMA).json(folder)
     stream_ingest(wh, stream, new_folder(spark, "ingest-checkpoint"), once=True).awaitTermination()
     states = wh.table(wh.main(EVENTS)).select("status").distinct()

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # Bytes below which a relation of known size is broadcast by hand.
 BROADCAST_LIMIT_ROWS = 200_000
@@ -63,3 +65,20 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+ARROW_TYPES = {
+    "string": pa.string(),
+    "integer": pa.int32(),
+    "long": pa.int64(),
+    "boolean": pa.bool_(),
+    "timestamp_ntz": pa.timestamp("us"),
+}
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of rows known to the driver (names, schemas, settings) as a local relation: no job, no worker."""
+    fields = T.StructType.fromDDL(schema).fields
+    columns = [pa.array([r[i] for r in rows], ARROW_TYPES[f.dataType.typeName()]) for i, f in enumerate(fields)]
+    given = spark.createDataFrame(pa.table(columns, names=[f.name for f in fields]))
+    return given.select(*[given[f.name].cast(f.dataType) for f in fields])

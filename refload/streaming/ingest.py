@@ -12,6 +12,7 @@ from refload.operators.tables import Warehouse, append_rows, create_table
 from refload.operators.workflow import COMPLETED, ERROR, STATES
 from refload.plans.batch_load import load_files
 from refload.sources.delimited import DelimitedFormat
+from refload.session import local_rows
 
 APPROVAL_SCHEMA = "workflow_id string, file_path string, base string, delimiter string, mode string, load_time string"
 EVENT_SCHEMA = "workflow_id string, status string, at string, seq long, error_message string, row_count long"
@@ -48,7 +49,7 @@ def load_approved(wh: Warehouse, approvals: DataFrame, batch_id: int) -> None:
         except Exception as problem:
             status, message, rows = ERROR, str(problem), 0
         events = [(i, status, group.load_time, batch_id, message, rows) for i in group.ids]
-        append_events(wh, wh.spark.createDataFrame(events, EVENT_SCHEMA))
+        append_events(wh, local_rows(wh.spark, events, EVENT_SCHEMA))
 
 
 def stream_ingest(wh: Warehouse, approvals: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
