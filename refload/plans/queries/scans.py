@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from refload.operators.load import quarantine_write
 from refload.operators.tables import Warehouse
 from refload.plans.catalogue import query, table
-from refload.session import new_folder
+from refload.session import materialize, new_folder
 from refload.sources.delimited import (
     FILE,
     DelimitedFormat,
@@ -25,7 +25,6 @@ from refload.sources.delimited import (
 from refload.sources.descriptors import read_format_descriptor, write_format_descriptor
 from refload.sources.inventory import admit_files, file_inventory, size_mb
 from refload.sources.logs import is_error_entry, is_ingest_entry, read_load_log, write_load_log
-from refload.session import materialize
 
 FILE_ROWS = 2500
 FAILED_AT = datetime(2024, 1, 31, 12, 0)
@@ -138,8 +137,7 @@ verdicts AS (
 
 def _ragged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     path = write_lines(table(spark, sf, "lineitem"), ragged_line(), "l_orderkey", "ragged")
-    records = materialize(scan_records(spark, path, RAGGED_NAMES, PLAIN), "records")
-    return reject_ragged(records, PLAIN, len(RAGGED_NAMES))
+    return reject_ragged(scan_records(spark, path, RAGGED_NAMES, PLAIN), PLAIN, len(RAGGED_NAMES))
 
 
 @query(

@@ -178,12 +178,14 @@ def file_verdicts(records: DataFrame, fmt: DelimitedFormat, expected: int) -> Da
 def reject_ragged(records: DataFrame, fmt: DelimitedFormat, expected: int) -> tuple[DataFrame, DataFrame]:
     """Records of the files that hold no record with too many fields, and the verdict on every file.
 
-    A short record is completed with empty fields, which the scan has done. The verdicts are one row per
-    file; the rejected ones leave the records by an anti-join.
+    A short record is completed with empty fields, which the scan has done. The records are stored first: a
+    reader asked for few columns would not see which records are odd. The verdicts are one row per file; the
+    rejected ones leave the records by an anti-join.
     """
-    verdicts = materialize(file_verdicts(records, fmt, expected), "verdicts")
+    stored = materialize(records, "records")
+    verdicts = materialize(file_verdicts(stored, fmt, expected), "verdicts")
     rejected = verdicts.where(~F.col("accepted")).select(FILE)
-    return records.join(bounded_broadcast(rejected), FILE, "left_anti"), verdicts
+    return stored.join(bounded_broadcast(rejected), FILE, "left_anti"), verdicts
 
 
 def write_delimited(df: DataFrame, path: str, fmt: DelimitedFormat) -> None:
