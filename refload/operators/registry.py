@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refload.session import materialize
+
 # Fixed value: a table fits where more than this share of all names is common to both.
 MATCH_SHARE = 0.7
 # How registry entries are named.
@@ -69,10 +71,11 @@ def match_schema(
 
     Works on distinct sets, so any number of equal headers is one comparison. Candidates come from an
     equi-join on the rarest names of each set: two sets over the share cannot miss each other there, while
-    names that nearly every table has are not joined on. Each candidate is then measured exactly.
+    names that nearly every table has are not joined on. Each candidate is then measured exactly. The sets
+    are stored once, since every step reads them.
     """
-    left = _signatures(files, file, name, "file")
-    right = _signatures(tables, table, name, "table")
+    left = materialize(_signatures(files, file, name, "file"), "file-sets")
+    right = materialize(_signatures(tables, table, name, "table"), "table-sets")
     counts = (
         left.select(F.explode("names").alias("n"))
         .unionByName(right.select(F.explode("names").alias("n")))

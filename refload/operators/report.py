@@ -69,23 +69,23 @@ def backup_stats(wh: Warehouse, base: str) -> DataFrame:
 def collect_load_report(wh: Warehouse, base: str, issues: DataFrame, registry: DataFrame, order: list[str]) -> DataFrame:
     """One row about a load: columns, backup, checks, registry entry and first rows, all as JSON.
 
-    Every part is one row when it meets the others, so the joins pair single rows.
+    Every part is a single value, so none is joined.
     """
     main = wh.table(wh.main(base))
-    one = F.lit(base).alias("table_name")
     columns = describe_table(wh.spark, main).agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct("position", "name", "data_type", "max_length")))).alias("columns")
+        F.to_json(F.array_sort(F.collect_list(F.struct("position", "name", "data_type", "max_length"))))
     )
     sample = sample_rows(main, order)
-    shown = sample.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*sample.columns)))).alias("sample"))
-    entry = registry.where(F.col("source_table") == base).select(
-        F.to_json(F.struct(*registry.columns)).alias("registry")
+    shown = sample.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*sample.columns)))))
+    entry = registry.where(F.col("source_table") == base).agg(F.max(F.to_json(F.struct(*registry.columns))))
+    return backup_stats(wh, base).withColumns(
+        {
+            "columns": columns.scalar(),
+            "sample": shown.scalar(),
+            "validation": validation_json(issues).scalar(),
+            "registry": entry.scalar(),
+        }
     )
-    parts = [columns.select(one, "*"), validation_json(issues).select(one, "*"), entry.select(one, "*")]
-    report = backup_stats(wh, base).join(shown.select(one, "*"), "table_name", "left")
-    for part in parts:
-        report = report.join(part, "table_name", "left")
-    return report
 
 
 def error_report(errors: DataFrame, message: str) -> DataFrame:

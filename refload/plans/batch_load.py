@@ -43,7 +43,7 @@ from refload.sources.delimited import (
     POSITION_COLUMNS,
     DelimitedFormat,
     data_columns,
-    header_names,
+    read_header,
     record_width,
     reject_ragged,
     scan_delimited,
@@ -117,10 +117,10 @@ def load_files(
     if done:
         return LoadResult(base, "already_loaded", done.load_type, done.row_count, done.version)
 
-    names = header_names(spark, paths if isinstance(paths, str) else paths[0], fmt)
+    header, names = read_header(spark, paths if isinstance(paths, str) else paths[0], fmt)
     main = wh.table(wh.main(base)) if wh.exists(wh.main(base)) else None
     code = determine_load_type(main, mode, override)
-    records = scan_delimited(spark, paths, fmt, names)
+    records = scan_delimited(spark, paths, fmt, names, header)
     rows, long, types = write_stage(wh, base, records, fmt, load_time, code)
     rejected = 0
     if long:

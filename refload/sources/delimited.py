@@ -52,14 +52,13 @@ def _reader(spark: SparkSession, fmt: DelimitedFormat):
         "mode": "PERMISSIVE",
         "maxCharsPerColumn": "-1",
         "columnNameOfCorruptRecord": RAW,
-        "enforceSchema": True,
     }
     reader = spark.read.options(**options)
     return reader.option("lineSep", fmt.line_separator) if fmt.line_separator else reader
 
 
-def header_names(spark: SparkSession, path: str, fmt: DelimitedFormat) -> list[str]:
-    """Column names of a file: header fields made valid and unique; blank ones stay ``''``.
+def read_header(spark: SparkSession, path: str, fmt: DelimitedFormat) -> tuple[list[str], list[str]]:
+    """Header fields of a file as written, and as column names: valid, unique, blank ones still ``''``.
 
     Only the lines up to the header come to the driver.
     """
@@ -67,22 +66,36 @@ def header_names(spark: SparkSession, path: str, fmt: DelimitedFormat) -> list[s
     if len(lines) <= fmt.skip_lines:
         raise ValueError(f"{path} has no header line")
     fields = parse_fields(F.lit(lines[-1].rstrip("\r")), F.lit(fmt.column_delimiter), F.lit(fmt.text_qualifier))
-    names = F.transform(fields, sanitize_identifier)
-    return list(spark.range(1).select(dedupe_header(names).alias("names")).first()["names"])
+    cut = spark.range(1).select(fields.alias("raw"))
+    row = cut.select("raw", dedupe_header(F.transform("raw", sanitize_identifier)).alias("names")).first()
+    return list(row["raw"]), list(row["names"])
+
+
+def header_names(spark: SparkSession, path: str, fmt: DelimitedFormat) -> list[str]:
+    """Column names of a file."""
+    return read_header(spark, path, fmt)[1]
 
 
-def scan_records(spark: SparkSession, paths: str | list[str], names: list[str], fmt: DelimitedFormat) -> DataFrame:
+def scan_records(
+    spark: SparkSession, paths: str | list[str], names: list[str], fmt: DelimitedFormat, header: list[str] | None = None
+) -> DataFrame:
     """Every record of the files with its place: file, start of its block, running position, raw text if odd.
 
     A column whose name is blank is read under a number and dropped. ``_raw`` is filled only where the
-    number of fields differs from the number of names.
+    number of fields differs from the number of names. With ``header``, the fields the first lines must hold,
+    a file with other columns fails the scan instead of being read into the wrong ones; names that are
+    blank or repeated cannot be checked this way.
     """
-    read = [name or f"_unnamed{i}" for i, name in enumerate(names)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*read, RAW]])
     plain_header = fmt.has_header and fmt.skip_lines == 0
-    rows = _reader(spark, fmt).schema(schema).option("header", plain_header).csv(paths)
+    folded = [h.lower() for h in header or []]
+    checked = plain_header and bool(header) and all(folded) and len(set(folded)) == len(folded)
+    read = list(header) if checked else [name or f"_unnamed{i}" for i, name in enumerate(names)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*read, RAW]])
+    reader = _reader(spark, fmt).schema(schema).option("header", plain_header).option("enforceSchema", not checked)
+    rows = reader.csv(paths)
+    cells = [F.coalesce(F.col("`" + n.replace("`", "``") + "`"), F.lit("")) for n in read]
     return rows.select(
-        *[F.coalesce(F.col(n), F.lit("")).alias(n) for n, given in zip(read, names, strict=True) if given],
+        *[cell.alias(given) for cell, given in zip(cells, names, strict=True) if given],
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(POSITION),
@@ -134,7 +147,11 @@ def drop_trailer(numbered: DataFrame) -> DataFrame:
 
 
 def scan_delimited(
-    spark: SparkSession, paths: str | list[str], fmt: DelimitedFormat, names: list[str] | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    fmt: DelimitedFormat,
+    names: list[str] | None = None,
+    header: list[str] | None = None,
 ) -> DataFrame:
     """Read files of one table as strings, with skipped lines, header and trailer gone and places kept.
 
@@ -143,8 +160,8 @@ def scan_delimited(
     """
     if names is None:
         first = paths if isinstance(paths, str) else paths[0]
-        names = header_names(spark, first, fmt)
-    records = scan_records(spark, paths, names, fmt)
+        header, names = read_header(spark, first, fmt)
+    records = scan_records(spark, paths, names, fmt, header)
     if fmt.skip_lines == 0 and not fmt.has_trailer:
         return records
     numbered = number_records(materialize(records, "records"))

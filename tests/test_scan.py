@@ -101,3 +101,12 @@ def test_ragged_file_fails_alone(spark, write_file):
     name = F.regexp_extract(FILE, r"(\w+)\.csv", 1).alias("f")
     got = {r.f: (r.records, r.long_records, r.short_records, r.accepted) for r in verdicts.select(name, "*").collect()}
     assert got == {"good": (2, 0, 1, True), "bad": (3, 1, 0, False)}
+
+
+def test_other_columns_fail_the_scan(spark, write_file):
+    write_file("1.csv", "a b,c\n1,2\n")
+    folder = write_file("2.csv", "c,a b\n3,4\n").rsplit("/", 1)[0]
+    with pytest.raises(Exception, match="header"):
+        scan_delimited(spark, folder, DelimitedFormat()).collect()
+    write_file("2.csv", "A B,C\n3,4\n")
+    assert values(scan_delimited(spark, folder, DelimitedFormat())) == [("1", "2"), ("3", "4")]
