@@ -103,15 +103,18 @@ def already_loaded(main: DataFrame, load_time: datetime) -> bool:
     return not main.where(F.col(LOAD_TIME) == ntz(load_time)).limit(1).isEmpty()
 
 
-def promote(wh: Warehouse, base: str, code: str, load_time: datetime) -> None:
-    """Move the stage rows into the main table by load type; repeating a batch changes nothing."""
+def promote(wh: Warehouse, base: str, code: str, load_time: datetime, again: bool = True) -> None:
+    """Move the stage rows into the main table by load type.
+
+    A batch that may have come this far before (``again``) is appended only if the table has none of its rows.
+    """
     stage, name = wh.table(wh.stage(base)), wh.main(base)
     if not wh.exists(name):
         create_table(wh, name, stage, declared_types(stage))
     elif code == FULL:
         align_columns(stage, wh.table(name))
         replace_rows(wh, name, stage)
-    elif not already_loaded(wh.table(name), load_time):
+    elif not (again and already_loaded(wh.table(name), load_time)):
         align_columns(stage, wh.table(name))
         append_rows(wh, name, stage)
 

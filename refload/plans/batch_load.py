@@ -42,6 +42,7 @@ from refload.sources.delimited import (
     FILE,
     POSITION_COLUMNS,
     DelimitedFormat,
+    charset_rules,
     data_columns,
     read_header,
     record_width,
@@ -51,7 +52,9 @@ from refload.sources.delimited import (
 from refload.session import local_rows
 
 HISTORY = "load_history"
+ATTEMPTS = "load_attempts"
 REGISTRY = "load_registry"
+ATTEMPT_SCHEMA = "source_table string, load_time timestamp_ntz"
 HISTORY_SCHEMA = "source_table string, load_time timestamp_ntz, load_type string, row_count long, version int"
 
 
@@ -68,11 +71,28 @@ class LoadResult:
     validation: str | None = None
 
 
+def log_table(wh: Warehouse, name: str, schema: str, base: str) -> DataFrame:
+    """Rows about one table in one of the small tables that loads write to."""
+    if not wh.exists(wh.main(name)):
+        create_table(wh, wh.main(name), local_rows(wh.spark, [], schema))
+    return wh.table(wh.main(name)).where(F.col("source_table") == base)
+
+
 def past_loads(wh: Warehouse, base: str) -> DataFrame:
     """Finished loads of a table."""
-    if not wh.exists(wh.main(HISTORY)):
-        create_table(wh, wh.main(HISTORY), local_rows(wh.spark, [], HISTORY_SCHEMA))
-    return wh.table(wh.main(HISTORY)).where(F.col("source_table") == base)
+    return log_table(wh, HISTORY, HISTORY_SCHEMA, base)
+
+
+def begin_attempt(wh: Warehouse, base: str, load_time: datetime) -> bool:
+    """Note that a batch is about to reach the main table; true if it was noted before.
+
+    Only then has the main table to be searched for rows of the batch.
+    """
+    seen = not log_table(wh, ATTEMPTS, ATTEMPT_SCHEMA, base).where(F.col("load_time") == ntz(load_time)).isEmpty()
+    if not seen:
+        row = local_rows(wh.spark, [(base, load_time.isoformat(sep=" "))], "source_table string, load_time string")
+        append_rows(wh, wh.main(ATTEMPTS), row)
+    return seen
 
 
 def write_stage(
@@ -96,6 +116,28 @@ def write_stage(
     return found["rows"], found["long"], types
 
 
+def stage_files(
+    wh: Warehouse, paths: str | list[str], base: str, fmt: DelimitedFormat, load_time: datetime, code: str
+) -> tuple[int, int, dict[str, str]]:
+    """Stage the files of a batch, without those that hold a record with too many fields.
+
+    Returns rows, rejected files, and the type of each column.
+    """
+    header, names = read_header(wh.spark, paths if isinstance(paths, str) else paths[0], fmt)
+    records = scan_delimited(wh.spark, paths, fmt, names, header)
+    rows, long, types = write_stage(wh, base, records, fmt, load_time, code)
+    if not long:
+        return rows, 0, types
+    kept, verdicts = reject_ragged(records, fmt, len(data_columns(records)))
+    failed = verdicts.where(~F.col("accepted"))
+    message = F.format_string("%d records have more fields than the header", F.col("long_records"))
+    quarantine_write(
+        wh, failed.select(F.col(FILE).alias("file_path"), message.alias("error"), ntz(load_time).alias("failed_at"))
+    )
+    rows, _, types = write_stage(wh, base, kept, fmt, load_time, code)
+    return rows, failed.count(), types
+
+
 def load_files(
     wh: Warehouse,
     paths: str | list[str],
@@ -117,21 +159,10 @@ def load_files(
     if done:
         return LoadResult(base, "already_loaded", done.load_type, done.row_count, done.version)
 
-    header, names = read_header(spark, paths if isinstance(paths, str) else paths[0], fmt)
     main = wh.table(wh.main(base)) if wh.exists(wh.main(base)) else None
     code = determine_load_type(main, mode, override)
-    records = scan_delimited(spark, paths, fmt, names, header)
-    rows, long, types = write_stage(wh, base, records, fmt, load_time, code)
-    rejected = 0
-    if long:
-        records, verdicts = reject_ragged(records, fmt, len(names))
-        failed = verdicts.where(~F.col("accepted"))
-        rejected = failed.count()
-        message = F.format_string("%d records have more fields than the header", F.col("long_records"))
-        quarantine_write(
-            wh, failed.select(F.col(FILE).alias("file_path"), message.alias("error"), ntz(load_time).alias("failed_at"))
-        )
-        rows, _, types = write_stage(wh, base, records, fmt, load_time, code)
+    with charset_rules(spark, fmt):
+        rows, rejected, types = stage_files(wh, paths, base, fmt, load_time, code)
     if rows == 0:
         return LoadResult(base, "empty", code, 0, rejected_files=rejected)
 
@@ -148,7 +179,7 @@ def load_files(
         ensure_metadata_columns(wh, wh.main(base))
         if not has_columns(wh, wh.main(base), types):
             sync_columns_add_only(wh, wh.main(base), types)
-    promote(wh, base, code, load_time)
+    promote(wh, base, code, load_time, again=begin_attempt(wh, base, load_time))
     ensure_backup(wh, base, main_types(wh, base), load_time)
     last = history.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
     version = snapshot_version(wh, base, load_time, last + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +20,13 @@ FILE, BLOCK, POSITION, RAW = "_file", "_block", "_pos", "_raw"
 POSITION_COLUMNS = [FILE, BLOCK, POSITION, RAW]
 
 
+# Encodings with other names here, those in which a line break is no single byte, and those
+# the reader takes only with its older rules for names.
+ENCODING_NAMES = {"ascii": "utf-8", "utf-8-sig": "utf-8", "cp1252": "windows-1252"}
+WIDE_ENCODINGS = ("utf-16", "utf-32")
+OLDER_ENCODINGS = ("windows-1252",)
+
+
 @dataclass(frozen=True)
 class DelimitedFormat:
     """How the files of a batch are written."""
@@ -31,6 +40,15 @@ class DelimitedFormat:
     encoding: str = "utf-8"
     multi_line: bool = False
 
+    @property
+    def charset(self) -> str:
+        return ENCODING_NAMES.get(self.encoding.lower(), self.encoding.lower())
+
+    @property
+    def whole_files(self) -> bool:
+        """Whether a file has to be read by one task: quoted line breaks, or line breaks of several bytes."""
+        return self.multi_line or self.charset.startswith(WIDE_ENCODINGS)
+
     @property
     def line_separator(self) -> str | None:
         """The separator to force, or None to let the reader accept LF, CRLF and CR."""
@@ -47,8 +65,8 @@ def _reader(spark: SparkSession, fmt: DelimitedFormat):
         "sep": fmt.column_delimiter,
         "quote": fmt.text_qualifier or "\u0000",
         "escape": fmt.text_qualifier or "\u0000",
-        "encoding": fmt.encoding,
-        "multiLine": fmt.multi_line,
+        "encoding": fmt.charset,
+        "multiLine": fmt.whole_files,
         "mode": "PERMISSIVE",
         "maxCharsPerColumn": "-1",
         "columnNameOfCorruptRecord": RAW,
@@ -57,12 +75,27 @@ def _reader(spark: SparkSession, fmt: DelimitedFormat):
     return reader.option("lineSep", fmt.line_separator) if fmt.line_separator else reader
 
 
+@contextmanager
+def charset_rules(spark: SparkSession, fmt: DelimitedFormat) -> Iterator[None]:
+    """Let the reader take the encoding while scans of this format are planned and run."""
+    key = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(key)
+    if fmt.charset in OLDER_ENCODINGS:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_header(spark: SparkSession, path: str, fmt: DelimitedFormat) -> tuple[list[str], list[str]]:
     """Header fields of a file as written, and as column names: valid, unique, blank ones still ``''``.
 
     Only the lines up to the header come to the driver.
     """
-    lines = [r.value for r in spark.read.text(path).limit(fmt.skip_lines + 1).collect()]
+    whole = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0000"}
+    text = _reader(spark, fmt).options(**whole).schema("value string").csv(path)
+    lines = [r.value for r in text.limit(fmt.skip_lines + 1).collect()]
     if len(lines) <= fmt.skip_lines:
         raise ValueError(f"{path} has no header line")
     fields = parse_fields(F.lit(lines[-1].rstrip("\r")), F.lit(fmt.column_delimiter), F.lit(fmt.text_qualifier))

@@ -192,3 +192,13 @@ def test_match_schema_finds_every_pair(spark):
     got = {(frozenset(r.file_names), frozenset(r.table_names)) for r in found}
     pairs = itertools.product(set(sets["f"].values()), set(sets["t"].values()))
     assert got == {(a, b) for a, b in pairs if len(a & b) / len(a | b) > 0.7}
+
+
+@pytest.mark.parametrize("encoding", ["cp1252", "utf-16", "iso-8859-1", "utf-8-sig"])
+def test_encodings(warehouse, write_file, encoding):
+    wh = warehouse
+    path = write_file("1.csv", "größe,id\nça – va,1\n".replace("–", "–" if encoding != "iso-8859-1" else "-").encode(encoding))
+    fmt = DelimitedFormat(encoding=encoding)
+    assert load_files(wh, path, "items", fmt, "append", DAYS[0]).status == "success"
+    dash = "-" if encoding == "iso-8859-1" else "–"
+    assert rows(wh, wh.main("items"), "gr__e", "id") == [(f"ça {dash} va", "1")]
