@@ -12,10 +12,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from refload.functions.times import ntz
-from refload.functions.types import canonical_type, width_bucket
+from refload.functions.types import width_bucket
 from refload.operators.evolve import data_fields, ensure_backup, ensure_metadata_columns, has_columns, sync_columns_add_only
 from refload.operators.load import (
     clean_rows,

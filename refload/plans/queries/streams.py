@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refload.functions.times import stamp_text
 from refload.operators.workflow import pending
 from refload.plans.catalogue import query, table
-from refload.plans.queries.formats import DETECT_SQL, text_files
 from refload.plans.queries.scans import FILE_ROWS, bucket_of, new_warehouse
-from refload.plans.queries.workflows import WORKFLOWS_SQL, requests, workflows
+from refload.plans.queries.workflows import WORKFLOWS_SQL, workflows
 from refload.session import local_rows, new_folder
 from refload.sources.delimited import DelimitedFormat, write_delimited
 from refload.streaming.dropfolder import dedupe_arrivals, stream_dropfolder
