@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -52,8 +54,10 @@ def stream_stability(listings: DataFrame, idle_ms: int | None = IDLE_MS) -> Data
     """Stable count of each scan in a stream with ``path, scan_id, size, mtime``; needs the RocksDB state store.
 
     Forgetting idle files takes a clock, and a query with a clock never runs out of work: give
-    ``idle_ms=None`` for a run that ends when everything has been read.
+    ``idle_ms=None`` for a run that ends when everything has been read. The processor travels by value, so
+    executors need not have this package.
     """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return listings.groupBy("path").transformWithStateInPandas(
         statefulProcessor=StabilityCounter(idle_ms),
         outputStructType=OUTPUT,
