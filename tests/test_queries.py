@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from refload.plans import catalogue
 from tests.conftest import SF
 from tests.oracle import connect, difference
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = dict(catalogue.QUERIES), dict(catalogue.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
