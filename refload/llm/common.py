@@ -5,7 +5,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,35 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """Deals rows out by ``key`` and gives ``fn`` many whole groups at a time, each in ``order``.
+
+    The cost is per batch, not per group, so millions of tiny groups are fine. Memory is a batch and one group: bound
+    the groups first.
+    """
+    dealt = df.repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key)
+            last = pc.equal(keys, keys[-1]).to_numpy(zero_copy_only=False)
+            whole = int(last.argmax())
+            if held and not held[-1].column(key)[-1].equals(keys[0]):
+                yield fn(pa.Table.from_batches(held))
+                held = []
+            if whole:
+                yield fn(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield fn(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, schema)
+
+
 def running_totals(df: DataFrame, group: list[str], order: list[str], values: list[str], label: str) -> DataFrame:
     """Adds to each row, within its group and order, ``rank`` (from 0) and for every value ``<value>_before``,
     the sum over the rows in front of it.
@@ -72,6 +103,23 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], values: li
     )
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components as the links a-b, as links to the smallest member."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    far = root != np.arange(len(nodes))
+    return nodes[far], nodes[root[far]]
+
+
 def components(links: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node in a link; root is the smallest node that can be reached. ``links``: a, b (long).
 

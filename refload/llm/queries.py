@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from refload.llm.curriculum import curriculum
+from refload.llm.hilbert import hilbert_shards
+from refload.llm.html import extract_pages
+from refload.llm.multi_index import near_vectors
 from refload.llm.simhash import simhash_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +36,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_simhash")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_classes(table(spark, sf, "documents"))
+
+
+@query("op3_hilbert_shards")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    dealt = hilbert_shards(table(spark, sf, "documents"), ["source", "lang", "n_chars"], 16, "rows")
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+@query("op8_curriculum_mix")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = curriculum(table(spark, sf, "documents"))
+    position = F.get("passes", F.lit(0))["position"]
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("first_position"))
+
+
+@query("op10_multi_index")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op2_mincut_text")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_pages(table(spark, sf, "pages"))
