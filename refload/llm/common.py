@@ -24,15 +24,17 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One Arrow batch in, one out; nothing is kept between batches."""
+#: Rows that a function sees at a time: what it makes of them (lists of words) is many times their size.
+ROWS = 1000
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = ROWS) -> DataFrame:
+    """``fn`` over pieces of Arrow batches, at most ``rows`` rows each; nothing is kept between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = fn(batch)
-                if made is not None and made.num_rows:
-                    yield made
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

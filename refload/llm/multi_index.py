@@ -9,7 +9,9 @@ by its cosine.
 The bound of a cell: whoever lives with codeword c of a half is nearer to c than to my own codeword o, so it lies
 beyond the plane midway between them, at (|x - c|^2 - |x - o|^2) / (2 |c - o|) from me. The two halves' bounds add up
 as squares. For a target recall of 1 the walk ends where the bound passes the largest distance a link can have, and
-every link is found; for less, where it passes what that share of true links in the sample needs.
+every link is found. For less it ends where it has passed what that share of links needs, links of the sample and links
+made for it: sampled vectors turned by the widest angle of a link in random directions. A link counts for both of its
+ends if either walk finds it, so more are found than the target says.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from refload.llm.common import components, map_batches, map_groups, stars
 from refload.session import materialize
 
 THRESHOLD = 0.98
+RECALL = 0.999
 #: Vectors that the codebooks are fitted on, at most; all vectors are indexed.
 SAMPLE = 16_384
 #: Codewords of a half grow with the square root of the vectors over this, up to the next figure.
@@ -99,16 +102,22 @@ def fit(sample: np.ndarray, words: int, threshold: float, recall: float) -> tupl
     farthest = 2 * (1 - threshold) + 1e-9
     if recall >= 1:
         return *books, farthest
-    needed = []
-    own1, low1 = bounds(sample[:, :half], books[0])
-    own2, low2 = bounds(sample[:, half:], books[1])
+    (own1, low1), (own2, low2) = bounds(sample[:, :half], books[0]), bounds(sample[:, half:], books[1])
+    reach = 0.0
     for at in range(0, len(sample), 1024):
         i, j = np.nonzero(sample[at : at + 1024] @ sample.T >= threshold)
-        i += at
-        far = i != j
-        needed.append(low1[i[far], own1[j[far]]] + low2[i[far], own2[j[far]]])
-    needed = np.concatenate(needed)
-    return *books, float(min(np.quantile(needed, recall, method="higher"), farthest)) if len(needed) else farthest
+        i, j = i[i + at != j] + at, j[i + at != j]
+        if len(i):
+            reach = max(reach, float(np.quantile(low1[i, own1[j]] + low2[i, own2[j]], recall, method="higher")))
+    rng = np.random.default_rng(0)
+    turned = rng.normal(size=sample.shape)
+    turned -= (turned * sample).sum(axis=1)[:, None] * sample
+    size = np.sqrt((turned * turned).sum(axis=1))[:, None]
+    turned = threshold * sample + np.sqrt(1 - threshold**2) * turned / np.maximum(size, 1e-12)
+    to1, to2 = bounds(turned[:, :half], books[0])[0], bounds(turned[:, half:], books[1])[0]
+    rows = np.arange(len(sample))
+    reach = max(reach, float(np.quantile(low1[rows, to1] + low2[rows, to2], recall, method="higher")))
+    return *books, min(reach, farthest)
 
 
 def vector_links(classes: DataFrame, threshold: float, recall: float, block: int, seed: int = 7) -> DataFrame:
@@ -149,14 +158,15 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
         cut = rows.join(load, ["label", "cell"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
         pair = (own, F.col("other")) if role == 0 else (F.col("other"), own)
         group = F.concat_ws(":", "cell", *[p.cast("string") for p in pair], "label")
-        return cut.select(group.alias("group"), F.lit(role).alias("role"), "id", "unit", "n")
+        return cut.select(group.alias("group"), F.lit(role).alias("role"), "id", "unit", "n", "home")
 
-    visiting = indexed.select("id", "label", "unit", "n", F.explode("walk").alias("cell"))
+    indexed = indexed.withColumn("home", F.col("cell"))
+    visiting = indexed.select("id", "label", "unit", "n", "home", F.explode("walk").alias("cell"))
     both = dealt(indexed, 0).unionByName(dealt(visiting, 1))
 
     def verify(table: pa.Table) -> pa.RecordBatch:
         keys = table.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
-        role, ids, n = (table.column(c).to_numpy() for c in ("role", "id", "n"))
+        role, ids, n, home = (table.column(c).to_numpy() for c in ("role", "id", "n", "home"))
         flat = table.column("unit").combine_chunks().flatten().to_numpy()
         x = flat.reshape(len(ids), -1)
         edges = np.flatnonzero(np.diff(keys)) + 1
@@ -168,12 +178,19 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
             hit = (x[cut:hi] @ x[lo:cut].T >= threshold) & (ids[cut:hi, None] != ids[lo:cut])
             if not hit.any():
                 continue
-            linked = np.flatnonzero(hit.any(axis=1))
-            out_a.append(ids[cut:hi][linked])
-            out_b.append(np.full(len(linked), np.iinfo(np.int64).min))
-            out_n.append(hit[linked] @ n[lo:cut])
             i, j = np.nonzero(hit)
-            a, b = stars(ids[cut + i], ids[lo + j])
+            i, j = cut + i, lo + j
+            # A link that the member's own walk does not find is counted for the member here.
+            near = np.unique(j)
+            (_, low1), (_, low2) = bounds(x[near, :half], book1), bounds(x[near, half:], book2)
+            at = np.searchsorted(near, j)
+            alone = low1[at, home[i] // len(book2)] + low2[at, home[i] % len(book2)] > reach
+            ends, others = np.concatenate((i, j[alone])), np.concatenate((j, i[alone]))
+            own, which = np.unique(ends, return_inverse=True)
+            out_a.append(ids[own])
+            out_b.append(np.full(len(own), np.iinfo(np.int64).min))
+            out_n.append(np.bincount(which, weights=n[others]).astype(np.int64))
+            a, b = stars(ids[i], ids[j])
             out_a.append(a)
             out_b.append(b)
             out_n.append(np.zeros(len(a), np.int64))
@@ -185,7 +202,7 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = THRESHOLD, recall: float = 1.0, block: int = BLOCK,
+    vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK,
     id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
 ) -> DataFrame:
     """(id, label, n_links, component_id, kept), one row for every row of ``vectors``.

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refload.llm.chat import PERSPECTIVES_SQL, perspectives
 from refload.llm.curriculum import curriculum
+from refload.llm.factorization import score_quality, train
 from refload.llm.hilbert import hilbert_shards
 from refload.llm.html import extract_pages
 from refload.llm.multi_index import near_vectors
+from refload.llm.packing import pack
+from refload.llm.perplexity import quality_rules
+from refload.llm.rollup import corpus_rollup
 from refload.llm.simhash import simhash_classes
+from refload.session import new_folder
 
+#: Folder of public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -61,3 +69,30 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_mincut_text")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return extract_pages(table(spark, sf, "pages"))
+
+
+@query("op5_ngram_perplexity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules(table(spark, sf, "documents"))
+
+
+@query("op6_factorization_machine")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return score_quality(docs, train(docs, table(spark, sf, "labels")))
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"))
+
+
+@query("op9_perspectives", PERSPECTIVES_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    made = perspectives(table(spark, sf, "conversations"))
+    return made.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("mask_from", "mask_to")})
+
+
+@query("op4_delta_rollup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_rollup(table(spark, sf, "documents"), new_folder(spark, "rollup"), TOKENIZERS)

@@ -59,7 +59,18 @@ def test_dense_groups_copies_and_blocks(spark, block):
     center = rng.normal(size=(4, 8))
     made = [c + rng.normal(scale=0.09, size=8) for c in center for _ in range(40)] + [center[0]] * 30
     rows = [{"vec_id": 1000 - k, "embedding": x.astype(np.float32).tolist(), "label": k % 2} for k, x in enumerate(made)]
-    assert found(op.near_vectors(frame(spark, rows), block=block)) == plain(rows)
+    assert found(op.near_vectors(frame(spark, rows), recall=1, block=block)) == plain(rows)
+
+
+def test_default_recall_in_many_dimensions(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 64))
+    x = np.concatenate((x, x + rng.normal(scale=0.18, size=x.shape) * rng.random((900, 1))))
+    rows = [{"vec_id": k, "embedding": v.astype(np.float32).tolist(), "label": k % 3} for k, v in enumerate(x)]
+    want = {w[0]: w[1] for w in plain(rows)}
+    got = {g[0]: g[1] for g in found(op.near_vectors(frame(spark, rows)))}
+    assert all(got[k] <= want[k] for k in want) and sum(got.values()) >= 0.99 * sum(want.values()) > 500
+    assert sum(got.values()) % 2 == 0
 
 
 def test_less_recall_reaches_its_target():
@@ -90,7 +101,7 @@ def test_odd_rows(spark):
         {"vec_id": 11, "embedding": [3.0, 0.0, 0.0], "label": 1}, {"vec_id": 12, "embedding": [5.0], "label": 1},
         {"vec_id": 13, "embedding": [1e-30, 0.0], "label": 1},
     ]
-    assert found(op.near_vectors(frame(spark, rows))) == plain(rows)
+    assert found(op.near_vectors(frame(spark, rows), recall=1)) == plain(rows)
     nameless = [{"vec_id": None, "embedding": [1.0, 0.0], "label": 1}, *rows[:2], rows[0]]
     got = op.near_vectors(frame(spark, nameless)).collect()
     assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == [
@@ -98,4 +109,4 @@ def test_odd_rows(spark):
     ]
     assert op.near_vectors(frame(spark, [])).collect() == []
     clash = frame(spark, rows).selectExpr("*", "1 AS id", "2 AS unit", "3 AS a", "4 AS n")
-    assert found(op.near_vectors(clash)) == plain(rows)
+    assert found(op.near_vectors(clash, recall=1)) == plain(rows)
