@@ -115,54 +115,51 @@ def _size(key: str = "key") -> Column:
     return F.shiftright(key, 56)
 
 
+def _suffix(key: Column, n: Column) -> Column:
+    """The last ``n`` symbols of an n-gram."""
+    low = key.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (n * 8).cast("int")) - 1)
+    return low.bitwiseOR(F.call_function("shiftleft", n.cast("long"), F.lit(56)))
+
+
 def fit_model(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER) -> DataFrame:
     """(lang, key, logp, back), stored: an n-gram's log-probability, and the log of what it hands down as a context.
 
     ``back`` is null where the n-gram is no context. Only contexts and n-grams of the corpus have rows.
     """
-    events = materialize(gram_counts(docs, lang, text, order), "ngram-events")
-    level = events.filter(_size() == order).select("lang", "key", F.col("n").alias("a"))
-    levels = {order: level}
-    for n in range(order - 1, 0, -1):
-        suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)).bitwiseOR(F.lit(n << 56))
-        below = levels[n + 1].select("lang", suffix.alias("key")).groupBy("lang", "key").agg(F.count("*").alias("a"))
-        if n > 1:  # what starts a word has nothing in front of it: its own counts hold
-            starts = F.shiftright(F.col("key").bitwiseAND(F.lit(LOW)), 8 * (n - 1)) == 32
-            below = below.filter(~starts).union(events.filter(_size() == n).select("lang", "key", F.col("n").alias("a")))
-        levels[n] = materialize(below, "ngram-level")
-    done: dict[int, DataFrame] = {}
-    contexts = None
-    for n in range(1, order + 1):
-        tally = [F.sum((F.col("a") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        spread = levels[n].groupBy("lang").agg(*tally)
-        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-        cuts = []
-        for i in (1, 2, 3):
-            d = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))
-            cuts.append(F.least(F.greatest(d, F.lit(0.05)), F.lit(float(i))).alias(f"d{i}"))
-        spread = materialize(spread.select(F.col("lang").alias("of"), *cuts), "ngram-discounts")
-        rows = levels[n].join(spread, F.col("lang") == F.col("of"))
-        cut = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = F.shiftright(F.col("key").bitwiseAND(F.lit(LOW)), 8).bitwiseOR(F.lit((n - 1) << 56))
-        rows = rows.select("lang", "key", "a", cut.alias("cut"), context.alias("context"))
-        same = Window.partitionBy("lang", "context")  # at most one row for each byte
-        rows = rows.withColumn("total", F.sum("a").over(same)).withColumn("hand", F.sum("cut").over(same) / F.col("total"))
-        own = (F.col("a") - F.col("cut")) / F.col("total")
-        if n == 1:
-            p = rows.select("lang", "key", "context", "hand", (own + F.col("hand") * UNSEEN).alias("p"))
-        else:
-            lower = done[n - 1].select(F.col("lang").alias("of"), F.col("key").alias("suffix"), F.col("p").alias("less"))
-            suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)).bitwiseOR(F.lit((n - 1) << 56))
-            joined = rows.join(lower, (suffix == F.col("suffix")) & (F.col("lang") == F.col("of")))
-            p = joined.select("lang", "key", "context", "hand", (own + F.col("hand") * F.col("less")).alias("p"))
-        done[n] = materialize(p, "ngram-probabilities")
-        handed = done[n].select("lang", F.col("context").alias("key"), "hand").distinct()
-        contexts = handed if contexts is None else contexts.union(handed)
-    seen = done[1].select("lang", "key", "p")
-    for n in range(2, order + 1):
-        seen = seen.union(done[n].select("lang", "key", "p"))
-    both = seen.join(contexts, ["lang", "key"], "full_outer")
-    return materialize(both.select("lang", "key", F.log("p").alias("logp"), F.log("hand").alias("back")), "ngram-model")
+    events = gram_counts(docs, lang, text, order)
+    shorter = F.transform(F.sequence(F.lit(1), _size().cast("int")), lambda n: _suffix(F.col("key"), n))
+    spread = events.select("lang", F.col("key").alias("whole"), "n", F.explode(shorter).alias("key"))
+    raw = F.sum(F.when(F.col("key") == F.col("whole"), F.col("n")).otherwise(0))
+    seen = materialize(spread.groupBy("lang", "key").agg(raw.alias("raw")), "ngrams")
+    # Counts: an n-gram's own where nothing can stand in front of it, else how many symbols do.
+    longer = seen.filter(_size() > 1).select("lang", _suffix(F.col("key"), _size() - 1).alias("key"))
+    fronts = longer.groupBy("lang", "key").agg(F.count("*").alias("fronts"))
+    count = F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.col("fronts"))
+    counted = seen.join(fronts, ["lang", "key"], "left").select("lang", "key", count.alias("a"))
+    counted = materialize(counted.withColumn("size", _size().cast("int")), "ngram-counts")
+    tally = [F.sum((F.col("a") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+    cuts = []
+    for i in (1, 2, 3):
+        d = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))
+        cuts.append(F.least(F.greatest(d, F.lit(0.05)), F.lit(float(i))).alias(f"d{i}"))
+    discounts = counted.groupBy("lang", "size").agg(*tally).select("lang", "size", *cuts)
+    cut = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+    front = F.shiftright(F.col("key").bitwiseAND(F.lit(LOW)), 8).bitwiseOR((_size() - 1) * F.lit(1 << 56))
+    rows = counted.join(discounts, ["lang", "size"]).select("lang", "key", "size", "a", cut.alias("cut"), front.alias("context"))
+    same = Window.partitionBy("lang", "context")  # at most one row for each byte
+    total = F.sum("a").over(same)
+    rows = rows.withColumn("own", (F.col("a") - F.col("cut")) / total).withColumn("hand", F.sum("cut").over(same) / total)
+    rows = materialize(rows.select("lang", "key", "size", "context", "own", "hand"), "ngram-shares")
+    # An n-gram's probability adds up over its suffixes: each one's own share, and what it hands down.
+    suffixes = F.transform(F.sequence(F.lit(1), F.col("size")), lambda n: _suffix(F.col("key"), n))
+    chain = rows.select("lang", F.col("key").alias("whole"), F.explode(suffixes).alias("key"))
+    parts = F.sort_array(F.collect_list(F.struct("size", "own", "hand")))
+    p = F.aggregate(parts, F.lit(UNSEEN), lambda p, part: part["own"] + part["hand"] * p)
+    known = chain.join(rows, ["lang", "key"]).groupBy("lang", "whole").agg(F.log(p).alias("logp"))
+    handed = rows.groupBy("lang", "context").agg(F.log(F.first("hand")).alias("back"))
+    both = known.withColumnRenamed("whole", "key").join(handed.withColumnRenamed("context", "key"), ["lang", "key"], "full_outer")
+    return materialize(both.select("lang", "key", "logp", "back"), "ngram-model")
 
 
 class SortedModel:
