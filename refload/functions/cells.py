@@ -32,9 +32,13 @@ def classify_cell(c: Column) -> Column:
 
 
 def quoted_run(quote: Column) -> Column:
-    """Pattern for a quoted piece with doubled quotes inside; the closing quote may be missing."""
+    """Pattern for a quoted piece with doubled quotes inside; the closing quote may be missing.
+
+    The repeated group is possessive: it never has to give a pair back, and the matcher then loops instead of
+    calling itself once per pair.
+    """
     return F.concat(
-        quote, F.lit("[^"), quote, F.lit("]*(?:"), quote, quote, F.lit("[^"), quote, F.lit("]*)*"), quote, F.lit("?")
+        quote, F.lit("[^"), quote, F.lit("]*(?:"), quote, quote, F.lit("[^"), quote, F.lit("]*)*+"), quote, F.lit("?")
     )
 
 

@@ -15,9 +15,6 @@ from refload.functions.text import is_blank, strip
 # Fixed values --------------------------------------------------------------------------------------
 # Candidate column delimiters; the first wins a tie.
 DELIMITERS = [",", ";", "|", "\t"]
-# Lines looked at for the delimiter, and data lines looked at for the usual number of fields.
-SCORED_LINES = 10
-TYPICAL_LINES = 100
 # Lines whose fields are shown with a format.
 SHOWN_LINES = 3
 # Words that show that a first line names columns, and the share of columns that must hold one.
@@ -42,6 +39,11 @@ ENCODING_WINDOWS = "Windows-1252"
 # ---------------------------------------------------------------------------------------------------
 
 
+# What the bytes 80 to 9F are in Windows-1252; five of them are nothing and stay control characters.
+WINDOWS_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS_CHARACTERS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def detect_encoding(content: Column) -> Column:
     """Encoding of a file's bytes: byte order mark, then UTF-8 validity, then one of two byte encodings."""
     mark = F.hex(F.substring(content, 1, 4))
@@ -60,10 +62,12 @@ def detect_encoding(content: Column) -> Column:
 def decode_content(content: Column, encoding: Column) -> Column:
     """Text of a file's bytes in the detected encoding, without the byte order mark."""
     as_utf8 = F.make_valid_utf8(content.cast("string"))
+    latin = F.decode(content, "ISO-8859-1")
     return (
         F.when(encoding == ENCODING_UTF16, F.decode(content, "UTF-16"))
         .when(encoding == ENCODING_UTF32, F.decode(content, "UTF-32"))
-        .when(encoding.isin(ENCODING_LATIN, ENCODING_WINDOWS), F.decode(content, "ISO-8859-1"))
+        .when(encoding == ENCODING_LATIN, latin)
+        .when(encoding == ENCODING_WINDOWS, F.translate(latin, WINDOWS_CONTROLS, WINDOWS_CHARACTERS))
         .when(encoding == ENCODING_UTF8_BOM, F.regexp_replace(as_utf8, "^﻿", ""))
         .otherwise(as_utf8)
     )
@@ -164,21 +168,20 @@ def typical_width(widths: Column) -> Column:
 
 
 def typical_lines(filled: Column, headed: Column) -> Column:
-    """The data lines whose widths are compared: after the header, before the last line."""
+    """The data lines whose widths are compared: all between the header and the last line."""
     skipped = headed.cast("int")
-    wanted = F.greatest(F.least(F.lit(TYPICAL_LINES), F.size(filled) - 1 - skipped), F.lit(0))
-    return F.slice(filled, skipped + 1, wanted)
+    return F.slice(filled, skipped + 1, F.greatest(F.size(filled) - 1 - skipped, F.lit(0)))
 
 
-def with_lines(df: DataFrame, content: str) -> DataFrame:
-    """Add ``lines``, ``filled`` (those that are not blank) and ``head`` (the filled ones of the first lines)."""
-    out = df.withColumn("lines", split_lines(F.col(content)))
-    return out.withColumns(
-        {
-            "filled": F.filter("lines", lambda x: ~is_blank(x)),
-            "head": F.filter(F.slice("lines", 1, SCORED_LINES), lambda x: ~is_blank(x)),
-        }
-    )
+def with_lines(df: DataFrame, content: str, scored_lines: int | None = None) -> DataFrame:
+    """Add ``lines``, ``filled`` (those that are not blank) and ``head`` (those that the delimiter is judged by).
+
+    All filled lines are judged, or with ``scored_lines`` the filled ones among so many first lines.
+    """
+    out = df.withColumn("lines", split_lines(F.col(content))).withColumn("filled", F.filter("lines", lambda x: ~is_blank(x)))
+    if scored_lines is None:
+        return out.withColumn("head", F.col("filled"))
+    return out.withColumn("head", F.filter(F.slice("lines", 1, scored_lines), lambda x: ~is_blank(x)))
 
 
 def with_delimiter(df: DataFrame) -> DataFrame:
@@ -244,14 +247,16 @@ def sample_rows(df: DataFrame) -> Column:
     return F.transform(shown, lambda x: parse_fields(x, F.col("column_delimiter"), F.col("text_qualifier")))
 
 
-def detect_format(df: DataFrame, content: str) -> DataFrame:
+def detect_format(df: DataFrame, content: str, scored_lines: int | None = None) -> DataFrame:
     """Add every format column to a relation of one row per file with its whole text.
 
+    The number of columns is the usual width of the data lines, or that of the first line where there are none.
+
     A file that cannot be judged keeps its row: it gets the default format, confidence 0 and ``error``.
     """
     kept = df.columns
     text = F.col(content)
-    steps = with_trailer(with_header(with_qualifier(with_delimiter(with_lines(df, content)), content)))
+    steps = with_trailer(with_header(with_qualifier(with_delimiter(with_lines(df, content, scored_lines)), content)))
     steps = steps.withColumn("sample", sample_rows(steps))
     error = F.when(text.isNull() | (strip(text) == ""), F.lit(EMPTY_FILE)).when(F.size("lines") < 2, F.lit(ONE_LINE))
     steps = steps.withColumn("error", error)
@@ -268,7 +273,7 @@ def detect_format(df: DataFrame, content: str) -> DataFrame:
         unless_bad(F.col("has_header"), True).alias("has_header"),
         unless_bad(F.col("has_trailer"), False).alias("has_trailer"),
         F.when(~bad, F.col("trailer_line")).alias("trailer_line"),
-        unless_bad(F.coalesce(F.size(F.get("sample", F.lit(0))), F.lit(0))).alias("estimated_columns"),
+        unless_bad(F.coalesce("typical_width", F.size(F.get("sample", F.lit(0))), F.lit(0))).alias("estimated_columns"),
         F.when(~bad, F.size("lines")).alias("sample_rows"),
         unless_bad(detection_confidence(text, F.col("evenness"), F.col("text_qualifier")), 0.0).alias(
             "detection_confidence"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,24 +98,6 @@ def infer_widths(df: DataFrame, columns: list[str], keys: list[str] | None = Non
     return rows.withColumn("data_type", width_bucket(F.col("longest")))
 
 
-def sampled_widths(df: DataFrame, columns: list[str], order: list[Column], rows: int, values: int) -> DataFrame:
-    """The same from a sample: of the first ``rows`` rows, the first ``values`` filled cells of each column.
-
-    The sample is as small as its sizes, which is the point of it; use ``infer_widths`` for whole data.
-    """
-    head = df.orderBy(*order).limit(rows).select(*columns)
-    cells = head.select(F.monotonically_increasing_id().alias("_n"), *columns).select(
-        "_n", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("_s")
-    )
-    filled = cells.select("_n", "_s.c", "_s.v").where((F.col("v").isNotNull()) & (F.col("v") != ""))
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("_n"))
-    longest = filled.withColumn("_r", rank).where(F.col("_r") <= values).groupBy("c").agg(F.max(F.length("v")).alias("w"))
-    names = local_rows(df.sparkSession, [(c,) for c in columns], "c string")
-    return names.join(longest, "c", "left").select(
-        F.col("c").alias("column_name"), F.col("w").alias("longest"), width_bucket(F.col("w")).alias("data_type")
-    )
-
-
 def _physical(declared: str) -> str:
     base = declared.lower().split("(")[0].strip()
     return {"datetime": "TIMESTAMP_NTZ", "int": "INT", "int not null": "INT", "bigint": "BIGINT"}.get(base, "STRING")
@@ -195,10 +177,13 @@ def _rewrite_as_text(wh: Warehouse, table: str, types: dict[str, str]) -> None:
         for f in rows.schema.fields
     )
     by = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
-    wh.spark.sql(f"DROP TABLE {table}")
-    wh.spark.sql(f"CREATE TABLE {table} ({parts}) USING parquet {by} LOCATION '{location}'")
+    # The new table is whole under a name of its own before the old one goes.
+    beside = f"{table}__{location.rsplit('/', 1)[1]}"
+    wh.spark.sql(f"CREATE TABLE {beside} ({parts}) USING parquet {by} LOCATION '{location}'")
     if partitions:
-        wh.spark.sql(f"MSCK REPAIR TABLE {table}")
+        wh.spark.sql(f"MSCK REPAIR TABLE {beside}")
+    wh.spark.sql(f"DROP TABLE {table}")
+    wh.spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
 
 
 def _apply_types(wh: Warehouse, table: str, types: dict[str, str]) -> None:

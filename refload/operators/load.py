@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from refload.functions.text import clean_null_tokens, sanitize_identifier
 from refload.functions.times import ntz
 from refload.operators.tables import (
-    LOAD_COLUMNS,
     LOAD_TIME,
     LOAD_TYPE,
     Warehouse,
@@ -98,15 +97,16 @@ def full_load(main: DataFrame, stage: DataFrame) -> DataFrame:
     return align_to(stage, main)
 
 
-def already_loaded(main: DataFrame, load_time: datetime) -> bool:
-    """Whether a batch with this load time is in the table; the filter reaches the scan."""
-    return not main.where(F.col(LOAD_TIME) == ntz(load_time)).limit(1).isEmpty()
+def already_loaded(main: DataFrame, load_time: datetime, earlier: int = 0) -> bool:
+    """Whether the table has more rows of this load time than ``earlier`` batches of it; the filter reaches the scan."""
+    return main.where(F.col(LOAD_TIME) == ntz(load_time)).limit(earlier + 1).count() > earlier
 
 
-def promote(wh: Warehouse, base: str, code: str, load_time: datetime, again: bool = True) -> None:
+def promote(wh: Warehouse, base: str, code: str, load_time: datetime, again: bool = True, earlier: int = 0) -> None:
     """Move the stage rows into the main table by load type.
 
-    A batch that may have come this far before (``again``) is appended only if the table has none of its rows.
+    A batch that may have come this far before (``again``) is appended only if the table has none of its rows:
+    of its load time it then holds just the ``earlier`` ones, of batches that are done.
     """
     stage, name = wh.table(wh.stage(base)), wh.main(base)
     if not wh.exists(name):
@@ -114,7 +114,7 @@ def promote(wh: Warehouse, base: str, code: str, load_time: datetime, again: boo
     elif code == FULL:
         align_columns(stage, wh.table(name))
         replace_rows(wh, name, stage)
-    elif not (again and already_loaded(wh.table(name), load_time)):
+    elif not (again and already_loaded(wh.table(name), load_time, earlier)):
         align_columns(stage, wh.table(name))
         append_rows(wh, name, stage)
 
@@ -173,6 +173,3 @@ def quarantine_write(wh: Warehouse, errors: DataFrame, table: str = "load_errors
     else:
         create_table(wh, name, errors)
 
-
-def metadata_columns() -> list[str]:
-    return list(LOAD_COLUMNS)

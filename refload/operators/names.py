@@ -9,26 +9,29 @@ from pyspark.sql import functions as F
 def dedupe_header(names: Column) -> Column:
     """Array of names with ``_1``, ``_2``... added to repeats, passing over names already given.
 
-    Blank names stay blank. Works name by name, because a suffix may hit a name given earlier.
+    Names are compared without case, as tables do. Blank names stay blank. Works name by name, because a suffix
+    may hit a name given earlier.
     """
     start = F.struct(
-        F.array().cast("array<string>").alias("given"), F.create_map().cast("map<string,int>").alias("used")
-    )
+        F.array().cast("array<string>").alias("given"), F.array().cast("array<string>").alias("low"),
+        F.create_map().cast("map<string,int>").alias("used"),
+    )
 
     def step(acc: Column, name: Column) -> Column:
-        given, used = acc["given"], acc["used"]
-        last = F.coalesce(used[name], F.lit(0))
-        stem = F.concat(name, F.lit("_"))
-        taken = F.filter(given, lambda x: x.startswith(stem))
+        low, used, key = acc["low"], acc["used"], F.lower(name)
+        last = F.coalesce(used[key], F.lit(0))
+        stem = F.concat(key, F.lit("_"))
+        taken = F.filter(low, lambda x: x.startswith(stem))
         tries = F.transform(F.sequence(last + 1, last + 1 + F.size(taken)), lambda k: F.concat(stem, k.cast("string")))
         free = F.get(F.array_except(tries, taken), F.lit(0))
-        repeated = (name != "") & F.array_contains(given, name)
+        repeated = (name != "") & F.array_contains(low, key)
         counter = F.substring(free, F.length(stem) + 1, F.length(free)).cast("int")
-        counted = F.map_concat(F.map_filter(used, lambda k, v: k != name), F.create_map(name, counter))
+        counted = F.map_concat(F.map_filter(used, lambda k, v: k != key), F.create_map(key, counter))
+        chosen = F.when(repeated, F.concat(name, F.lit("_"), counter.cast("string"))).otherwise(name)
         return F.struct(
-            F.concat(given, F.array(F.when(repeated, free).otherwise(name))).alias("given"),
+            F.concat(acc["given"], F.array(chosen)).alias("given"), F.concat(low, F.array(F.lower(chosen))).alias("low"),
             F.when(repeated, counted).otherwise(used).alias("used"),
-        )
+        )
 
     return F.aggregate(names, start, step)["given"]
 
@@ -36,18 +39,19 @@ def dedupe_header(names: Column) -> Column:
 def dedupe_names(columns: DataFrame, file: str, position: str, name: str) -> DataFrame:
     """The same over a relation of one row per column: add ``unique_name``.
 
-    Repeats are numbered within (file, name). One shuffle by file serves all windows and joins: the columns
+    Repeats are numbered within (file, name without case). One shuffle by file serves all windows and joins: the columns
     of a file are as many as fit into its header line. Only files in which a numbered name equals another name of
     the file need the name-by-name walk; those headers are gathered as one array per file.
     """
-    repeat = F.row_number().over(Window.partitionBy(file, name).orderBy(position)) - 1
+    repeat = F.row_number().over(Window.partitionBy(file, F.lower(name)).orderBy(position)) - 1
     numbered = columns.repartition(file).withColumn("_repeat", F.when(F.col(name) == "", F.lit(0)).otherwise(repeat))
     plain = F.when(F.col("_repeat") == 0, F.col(name)).otherwise(F.concat(name, F.lit("_"), F.col("_repeat")))
     numbered = numbered.withColumn("unique_name", plain)
     # A numbered name can only equal a name that itself ends like a number, and those are few.
-    alike = numbered.where((F.col("_repeat") == 0) & F.col(name).rlike("_[0-9]+$")).select(file, "unique_name")
-    given = numbered.where(F.col("_repeat") > 0).select(file, "unique_name")
-    clashing = alike.join(given, [file, "unique_name"], "left_semi").select(file).distinct()
+    low = F.lower("unique_name").alias("_low")
+    alike = numbered.where((F.col("_repeat") == 0) & F.col(name).rlike("_[0-9]+$")).select(file, low)
+    given = numbered.where(F.col("_repeat") > 0).select(file, low)
+    clashing = alike.join(given, [file, "_low"], "left_semi").select(file).distinct()
     smooth = numbered.join(clashing, file, "left_anti").drop("_repeat")
     walked = (
         numbered.join(clashing, file, "left_semi")

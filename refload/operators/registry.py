@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refload.session import materialize
@@ -139,8 +139,19 @@ def rank_candidates(matches: DataFrame, score: str, ties: list[str]) -> DataFram
     return matches.orderBy(F.desc(score), *ties)
 
 
-def top_candidates(matches: DataFrame, group: list[str], score: str, ties: list[str]) -> DataFrame:
-    """The best match of each group as one aggregate, so no group is sorted."""
-    key = F.struct(F.col(score), *[F.col(t) for t in ties])
-    return matches.groupBy(*group).agg(F.max(key).alias("best")).select(*group, "best.*")
+def place_candidates(matches: DataFrame, score: str, ties: list[str]) -> DataFrame:
+    """Every match with its ``place``, the best first.
 
+    Matches are laid out by range and stored; a row's place is its place in its range plus the rows of the
+    ranges before, which are counted, one number a range.
+    """
+    order = [F.desc(score), *ties]
+    laid = matches.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = materialize(laid, "places")
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = laid.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    starts = ranges.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = laid.withColumn("_part", part).join(starts, "_part")
+    place = (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("place")
+    return placed.select(*matches.columns, place)

@@ -85,13 +85,23 @@ def create_table(wh: Warehouse, table: str, df: DataFrame, declared: dict[str, s
     register_table(wh, table, write_beside(wh, table, df), df, declared)
 
 
-def replace_rows(wh: Warehouse, table: str, df: DataFrame) -> None:
-    """Replace all rows of a table, keeping its columns; ``df`` may read the table itself."""
-    location = write_beside(wh, table, align_to(df, wh.table(table)))
+def point_table(wh: Warehouse, table: str, location: str) -> None:
+    """Have a table show another folder."""
     wh.spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
     wh.spark.catalog.refreshTable(table)
 
 
+def table_location(wh: Warehouse, table: str) -> str:
+    """The folder that a table shows."""
+    rows = wh.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'")
+    return rows.first()["data_type"]
+
+
+def replace_rows(wh: Warehouse, table: str, df: DataFrame) -> None:
+    """Replace all rows of a table, keeping its columns; ``df`` may read the table itself."""
+    point_table(wh, table, write_beside(wh, table, align_to(df, wh.table(table))))
+
+
 def append_rows(wh: Warehouse, table: str, df: DataFrame) -> None:
     """Add rows to a table, keeping its columns."""
     align_to(df, wh.table(table)).write.insertInto(table)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -17,7 +18,9 @@ from refload.operators.tables import (
     Warehouse,
     align_to,
     declared_schema,
-    replace_rows,
+    point_table,
+    table_location,
+    write_beside,
 )
 from refload.session import local_rows, materialize
 
@@ -80,11 +83,12 @@ def snapshot_version(wh: Warehouse, base: str, at: datetime, version: int | None
         version = max(stored_versions(wh, base), default=0) + 1
     backup = wh.table(wh.backup(base))
     rows = align_to(snapshot_rows(main, version, at), backup).drop(VERSION)
-    rows.createOrReplaceTempView("_refload_snapshot")
-    wh.spark.sql(
-        f"INSERT OVERWRITE {wh.backup(base)} PARTITION ({VERSION} = {version}) SELECT * FROM _refload_snapshot"
-    )
-    wh.spark.catalog.dropTempView("_refload_snapshot")
+    view = f"_refload_snapshot_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    try:
+        wh.spark.sql(f"INSERT OVERWRITE {wh.backup(base)} PARTITION ({VERSION} = {version}) SELECT * FROM {view}")
+    finally:
+        wh.spark.catalog.dropTempView(view)
     return version
 
 
@@ -135,7 +139,8 @@ def rollback_rows(backup: DataFrame, main: DataFrame, version: int) -> DataFrame
 def rollback_to_version(wh: Warehouse, base: str, version: int) -> Rollback:
     """Put a version back into the main table, and into the stage table if there is one.
 
-    Each table is swapped in one step after its rows are written; a failure leaves the main table alone.
+    The rows of both are written beside them, then both are swapped; if the second swap fails the first is taken
+    back. A version that is not there is refused.
     """
     if not base or not BASE_NAME.match(base):
         return Rollback("invalid_base_name")
@@ -143,12 +148,22 @@ def rollback_to_version(wh: Warehouse, base: str, version: int) -> Rollback:
         return Rollback("main_missing")
     try:
         backup = wh.table(wh.backup(base))
+        if version not in stored_versions(wh, base):
+            return Rollback("version_missing")
         rows = filter_by_version(backup, version).count()
-        replace_rows(wh, wh.main(base), rollback_rows(backup, wh.table(wh.main(base)), version))
-        if not wh.exists(wh.stage(base)):
-            return Rollback("success", rows)
-        replace_rows(wh, wh.stage(base), rollback_rows(backup, wh.table(wh.stage(base)), version))
-        return Rollback("success", rows, rows)
+        names = [wh.main(base), *([wh.stage(base)] if wh.exists(wh.stage(base)) else [])]
+        made = {n: write_beside(wh, n, rollback_rows(backup, wh.table(n), version)) for n in names}
+        before = {n: table_location(wh, n) for n in names}
+        swapped: list[str] = []
+        try:
+            for name in names:
+                point_table(wh, name, made[name])
+                swapped.append(name)
+        except Exception:
+            for name in swapped:
+                point_table(wh, name, before[name])
+            raise
+        return Rollback("success", rows, rows if len(names) > 1 else 0)
     except Exception as problem:
         return Rollback("error", error=str(problem))
 

@@ -79,9 +79,9 @@ def purge_completed(
     return workflows.where(~gone), statistic
 
 
-def purge_statistics(stats: DataFrame, kept: DataFrame, key: str = "workflow_id") -> DataFrame:
-    """Statistics whose workflow is still there."""
-    return stats.join(kept.select(key).distinct(), key, "left_semi")
+def purge_statistics(stats: DataFrame, gone: DataFrame, key: str = "workflow_id") -> DataFrame:
+    """Statistics without those of the workflows that went; what belongs to no workflow stays."""
+    return stats.join(gone.select(key).distinct(), key, "left_anti")
 
 
 def recent_window_filter(rows: DataFrame, ts: str, as_of: datetime, days: int = RECENT_DAYS) -> DataFrame:

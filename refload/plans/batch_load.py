@@ -36,7 +36,7 @@ from refload.operators.tables import (
     write_beside,
 )
 from refload.operators.validate import Rule, validate_stage, validation_json
-from refload.operators.versions import snapshot_version
+from refload.operators.versions import snapshot_version, stored_versions
 from refload.sources.delimited import (
     FILE,
     POSITION_COLUMNS,
@@ -53,8 +53,8 @@ from refload.session import local_rows
 HISTORY = "load_history"
 ATTEMPTS = "load_attempts"
 REGISTRY = "load_registry"
-ATTEMPT_SCHEMA = "source_table string, load_time timestamp_ntz"
-HISTORY_SCHEMA = "source_table string, load_time timestamp_ntz, load_type string, row_count long, version int"
+ATTEMPT_SCHEMA = "source_table string, load_time timestamp_ntz, batch string, version int"
+HISTORY_SCHEMA = "source_table string, load_time timestamp_ntz, load_type string, row_count long, version int, batch string"
 
 
 @dataclass(frozen=True)
@@ -82,16 +82,30 @@ def past_loads(wh: Warehouse, base: str) -> DataFrame:
     return log_table(wh, HISTORY, HISTORY_SCHEMA, base)
 
 
-def begin_attempt(wh: Warehouse, base: str, load_time: datetime) -> bool:
-    """Note that a batch is about to reach the main table; true if it was noted before.
+def batch_key(wh: Warehouse, paths: str | list[str]) -> str:
+    """Name of a batch by its files: how many, and a hash over their paths, sizes and times. Contents are not read."""
+    files = wh.spark.read.format("binaryFile").load(paths).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    found = files.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x")).first()
+    return f"{found.n}-{found.x & (2**64 - 1):016x}"
 
-    Only then has the main table to be searched for rows of the batch.
+
+def begin_attempt(wh: Warehouse, base: str, load_time: datetime, batch: str) -> tuple[bool, int]:
+    """Note that a batch is about to reach the main table, with the version it will be stored as.
+
+    True with the version noted before if the batch comes again; only then has the main table to be searched
+    for its rows, and only then may a version be written over. A new version is above all that loads have noted
+    and all that are stored, by whatever way.
     """
-    seen = not log_table(wh, ATTEMPTS, ATTEMPT_SCHEMA, base).where(F.col("load_time") == ntz(load_time)).isEmpty()
-    if not seen:
-        row = local_rows(wh.spark, [(base, load_time.isoformat(sep=" "))], "source_table string, load_time string")
-        append_rows(wh, wh.main(ATTEMPTS), row)
-    return seen
+    noted = log_table(wh, ATTEMPTS, ATTEMPT_SCHEMA, base)
+    mine = noted.where((F.col("load_time") == ntz(load_time)) & (F.col("batch") == batch)).agg(F.max("version")).first()[0]
+    if mine is not None:
+        return True, mine
+    used = [r[0] or 0 for log in (noted, past_loads(wh, base)) for r in log.agg(F.max("version")).collect()]
+    stored = stored_versions(wh, base) if wh.exists(wh.backup(base)) else []
+    version = max([*used, *stored], default=0) + 1
+    row = [(base, load_time.isoformat(sep=" "), batch, version)]
+    append_rows(wh, wh.main(ATTEMPTS), local_rows(wh.spark, row, ATTEMPT_SCHEMA.replace("timestamp_ntz", "string")))
+    return False, version
 
 
 def write_stage(
@@ -149,12 +163,14 @@ def load_files(
 ) -> LoadResult:
     """Load files of one table: stage, check, promote, snapshot, register.
 
-    ``load_time`` names the batch: loading it again changes nothing. Files with a record of too many fields
-    are set aside and the others loaded. A broken rule stops before the main table is touched.
+    Files and ``load_time`` name the batch: loading it again changes nothing, other files of the same time are
+    another batch. Files with a record of too many fields are set aside and the others loaded. A broken rule stops
+    before the main table is touched.
     """
     spark = wh.spark
-    history = past_loads(wh, base)
-    done = history.where(F.col("load_time") == ntz(load_time)).first()
+    batch = batch_key(wh, paths)
+    timed = past_loads(wh, base).where(F.col("load_time") == ntz(load_time))
+    done = timed.where(F.col("batch") == batch).first()
     if done:
         return LoadResult(base, "already_loaded", done.load_type, done.row_count, done.version)
 
@@ -178,12 +194,13 @@ def load_files(
         ensure_metadata_columns(wh, wh.main(base))
         if not has_columns(wh, wh.main(base), types):
             sync_columns_add_only(wh, wh.main(base), types)
-    promote(wh, base, code, load_time, again=begin_attempt(wh, base, load_time))
+    again, version = begin_attempt(wh, base, load_time, batch)
+    earlier = timed.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n")).first()["n"] if again else 0
+    promote(wh, base, code, load_time, again, earlier)
     ensure_backup(wh, base, main_types(wh, base), load_time)
-    last = history.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
-    version = snapshot_version(wh, base, load_time, last + 1)
+    snapshot_version(wh, base, load_time, version)
     register(wh, base)
-    done_now = [(base, load_time.isoformat(sep=" "), code, rows, version)]
+    done_now = [(base, load_time.isoformat(sep=" "), code, rows, version, batch)]
     append_rows(wh, wh.main(HISTORY), local_rows(spark, done_now, HISTORY_SCHEMA.replace("timestamp_ntz", "string")))
     return LoadResult(base, "success", code, rows, version, rejected, validation)
 

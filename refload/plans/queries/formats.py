@@ -129,7 +129,7 @@ DETECT_SQL = (
     f"WITH files AS ({FILES_SQL}), "
     "lined AS (SELECT *, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM files), "
     f"headed AS (SELECT *, list_filter(lines, lambda x: {sql_strip('x')} <> '') AS filled, "
-    f"list_filter(lines[1:10], lambda x: {sql_strip('x')} <> '') AS head FROM lined), "
+    f"list_filter(lines, lambda x: {sql_strip('x')} <> '') AS head FROM lined), "
     "counted AS (SELECT *, "
     + ", ".join(
         f"list_transform(head, lambda x: length(x) - length(replace(x, {d}, ''))) AS c{i}" for i, d in enumerate(_DELIMITERS)
@@ -150,7 +150,7 @@ DETECT_SQL = (
     + f"(len(list_filter(first_row, lambda c: {sql_classify('c', ALL_DIGITS, DATE_START)} <> 'string')) = 0 AND "
     + f"len(list_filter(second_row, lambda c: {sql_classify('c', ALL_DIGITS, DATE_START)} = 'number')) > 0) OR "
     + f"len(list_filter(first_row, lambda c: regexp_matches(lower(c), '{'|'.join(HEADER_WORDS)}'))) > len(first_row) * CAST(0.3 AS DOUBLE) AS has_header FROM rowed), "
-    + f"measured AS (SELECT *, list_transform(filled[(1 + CAST(has_header AS INTEGER)):least(100 + CAST(has_header AS INTEGER), len(filled) - 1)], lambda x: {sql_width('x', 'd', 'q')}) AS widths, "
+    + f"measured AS (SELECT *, list_transform(filled[(1 + CAST(has_header AS INTEGER)):len(filled) - 1], lambda x: {sql_width('x', 'd', 'q')}) AS widths, "
     + f"{sql_width('filled[len(filled)]', 'd', 'q')} AS last_width, "
     + f"CASE WHEN len(filled) > 1 THEN {sql_width('filled[len(filled) - 1]', 'd', 'q')} END AS prev_width FROM judged), "
     + "usual AS (SELECT *, list_max(list_transform(range(1, len(widths) + 1), lambda i: "
@@ -235,7 +235,7 @@ def detection_confidence_query(spark: SparkSession, sf: str) -> DataFrame:
     "CASE WHEN error IS NULL THEN has_header ELSE true END AS has_header, "
     "CASE WHEN error IS NULL THEN has_trailer ELSE false END AS has_trailer, "
     "CASE WHEN error IS NULL THEN trailer_line END AS trailer_line, "
-    "CASE WHEN error IS NULL THEN CAST(coalesce(len(sample), 0) AS VARCHAR) END AS estimated_columns, "
+    "CASE WHEN error IS NULL THEN CAST(coalesce(typical, len(sample), 0) AS VARCHAR) END AS estimated_columns, "
     "CASE WHEN error IS NULL THEN CAST(len(lines) AS VARCHAR) END AS sample_rows, "
     "CASE WHEN error IS NULL THEN confidence ELSE 0 END AS confidence, error FROM final",
 )
@@ -278,23 +278,23 @@ def parse_fields_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "detect_encoding",
-    r"""WITH texts AS (SELECT doc_id, doc_id % 4 AS kind, regexp_replace(text, '[^\x{00}-\x{ff}]', '?', 'g') AS text FROM documents)
-    SELECT doc_id, CASE kind WHEN 1 THEN 'UTF-16' WHEN 2 THEN 'UTF-8-SIG'
-      ELSE CASE WHEN NOT regexp_matches(text, '[^\x{00}-\x{7f}]') THEN 'ascii' WHEN kind = 0 THEN 'utf-8'
-        WHEN regexp_matches(text, '[\x{80}-\x{9f}]') THEN 'Windows-1252' ELSE 'ISO-8859-1' END END AS encoding, text
+    r"""WITH texts AS (SELECT doc_id, text, CASE WHEN doc_id % 5 > 2 AND regexp_matches(text, '[^\x{00}-\x{7f}\x{a0}-\x{ff}]') THEN 0 ELSE doc_id % 5 END AS kind FROM documents)
+    SELECT doc_id, CASE WHEN kind = 1 THEN 'UTF-16' WHEN kind = 2 THEN 'UTF-8-SIG' WHEN kind = 3 THEN 'Windows-1252'
+        WHEN NOT regexp_matches(text, '[^\x{00}-\x{7f}]') THEN 'ascii' WHEN kind = 0 THEN 'utf-8' ELSE 'ISO-8859-1' END AS encoding,
+      CASE WHEN kind = 3 THEN text || ' ‘100 €’ – …' ELSE text END AS text
     FROM texts""",
 )
 def detect_encoding_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Each text in one of four encodings, recognised and decoded again."""
-    plain = F.regexp_replace("text", r"[^\x{00}-\x{ff}]", "?")
-    docs = table(spark, sf, "documents").select("doc_id", plain.alias("text"))
-    content = pick(
-        F.col("doc_id"),
-        F.encode("text", "UTF-8"),
-        F.encode("text", "UTF-16"),
-        F.encode(F.concat(F.lit("﻿"), "text"), "UTF-8"),
-        F.encode("text", "ISO-8859-1"),
+    """Each text in one of five encodings, recognised and decoded again; a text that a byte encoding cannot hold is UTF-8."""
+    wide = F.col("text").rlike(r"[^\x{00}-\x{7f}\x{a0}-\x{ff}]")
+    kind = F.when((F.col("doc_id") % 5 > 2) & wide, F.lit(0)).otherwise(F.col("doc_id") % 5)
+    content = (
+        F.when(kind == 0, F.encode("text", "UTF-8"))
+        .when(kind == 1, F.encode("text", "UTF-16"))
+        .when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+        .when(kind == 3, F.concat(F.encode("text", "ISO-8859-1"), F.unhex(F.lit("209131303020809220962085"))))
+        .otherwise(F.encode("text", "ISO-8859-1"))
     )
-    files = docs.select("doc_id", content.alias("content"))
+    files = table(spark, sf, "documents").select("doc_id", content.alias("content"))
     named = files.withColumn("encoding", detect_encoding(F.col("content")))
     return named.select("doc_id", "encoding", decode_content(F.col("content"), F.col("encoding")).alias("text"))

@@ -205,7 +205,7 @@ def timestamped_name_query(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word,
         generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
     named AS (SELECT doc_id, pos, {sql_sanitize('word')} AS name FROM words),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY pos) - 1 AS n FROM named)
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY pos) - 1 AS n FROM named)
     SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN n = 0 OR name = '' THEN name ELSE name || '_' || n END AS unique_name
     FROM numbered""",
 )

@@ -12,16 +12,14 @@ from refload.functions.types import canonical_type
 from refload.operators.evolve import (
     backup_rotate,
     column_set_ops,
-    describe_table,
     ensure_metadata_columns,
     infer_widths,
-    sampled_widths,
     schema_diff,
     sync_backup_schema,
     sync_columns_add_only,
     sync_columns_widen,
 )
-from refload.operators.registry import REGISTRY_COLUMNS, match_one, match_schema, rank_candidates, upsert_registry
+from refload.operators.registry import REGISTRY_COLUMNS, match_one, match_schema, place_candidates, upsert_registry
 from refload.operators.tables import VERSION, create_table
 from refload.operators.versions import create_backup, snapshot_version
 from refload.plans.catalogue import query, table
@@ -64,20 +62,6 @@ def infer_widths_query(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("table_name", "column_name", "longest", "data_type")
 
 
-@query(
-    "sampled_widths",
-    """WITH head AS (SELECT * FROM documents ORDER BY doc_id LIMIT 5000),
-    cells AS (SELECT doc_id, 'text' AS column_name, text AS v FROM head UNION ALL SELECT doc_id, 'source', source FROM head),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY doc_id) AS r FROM cells WHERE v <> '')
-    SELECT column_name, CAST(max(length(v)) AS INTEGER) AS longest, """
-    + sql_bucket("max(length(v))")
-    + " AS data_type FROM ranked WHERE r <= 1000 GROUP BY column_name",
-)
-def sampled_widths_query(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return sampled_widths(docs, ["text", "source"], [F.col("doc_id")], 5000, 1000)
-
-
 @query(
     "persist_inferred_schema",
     """WITH widths AS (SELECT source, 'lang' AS column_name, max(length(lang)) AS longest FROM documents GROUP BY source
@@ -111,12 +95,6 @@ FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in
 """
 
 
-@query("describe_table", DESCRIBE_SQL)
-def describe_table_query(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [describe_table(spark, table(spark, sf, t)).withColumn("table_name", F.lit(t)) for t in ALL_TABLES]
-    return reduce(DataFrame.unionByName, parts).select("table_name", "name", "position", "data_type")
-
-
 @query(
     "schema_diff",
     """WITH expected AS (SELECT p_brand, lower(p_name) AS name, 'varchar(' || max(p_size) || ')' AS type FROM part WHERE p_size < 40 GROUP BY ALL),
@@ -196,13 +174,11 @@ def match_schema_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rank_candidates",
     SIGNATURE_SQL
-    + "SELECT *, row_number() OVER (ORDER BY match_percentage DESC, file_example, table_example) AS place FROM matches "
-    "ORDER BY place LIMIT 50",
+    + "SELECT *, row_number() OVER (ORDER BY match_percentage DESC, file_example, table_example) AS place FROM matches",
 )
 def rank_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The fifty best matches in order."""
-    best = rank_candidates(_event_matches(spark, sf), "match_percentage", ["file_example", "table_example"]).limit(50)
-    return best.select("*", (F.monotonically_increasing_id() + 1).alias("place"))
+    """All matches with their place, the best first."""
+    return place_candidates(_event_matches(spark, sf), "match_percentage", ["file_example", "table_example"])
 
 
 @query(

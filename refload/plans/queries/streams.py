@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refload.operators.validate import in_domain, not_null, unique_key
 from refload.operators.workflow import pending
 from refload.plans.catalogue import query, table
 from refload.plans.queries.scans import FILE_ROWS, bucket_of, new_warehouse
@@ -67,24 +68,45 @@ def stream_dropfolder_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_ingest",
-    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, 'A' AS ref_data_loadtype, 'completed' AS status FROM customer""",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, 'A' AS ref_data_loadtype, 'w0:completed,w1:completed,w2:completed,w3:error' AS status FROM customer""",
 )
 def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers in two files, approved one after the other, each loaded once."""
+    """Customers in files of three formats, approved at two times, each loaded once; a table with a broken rule is not.
+
+    The third approval says nothing of its format: quotes, delimiter and trailer come from the format registry.
+    """
     wh = new_warehouse(spark, "streamload")
     customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    fmt = DelimitedFormat()
-    approvals = []
-    for part in (0, 1):
-        path = new_folder(spark, "approved")
-        write_delimited(customers.where(F.col("c_custkey") % 2 == part), path, fmt)
-        approvals.append((f"w{part}", path, "customer", ",", "append", f"2024-01-3{part} 12:00:00"))
+    own, other = new_folder(spark, "approved"), new_folder(spark, "approved")
+    write_delimited(customers.where(F.col("c_custkey") % 3 == 0), own, DelimitedFormat())
+    write_delimited(customers.where(F.col("c_custkey") % 3 == 1), other, DelimitedFormat(column_delimiter="|"))
+    third = customers.where(F.col("c_custkey") % 3 == 2)
+    row = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), "c_mktsegment")
+    lines = third.select(F.lit(1).alias("part"), F.col("c_custkey").alias("k"), row.alias("value"))
+    lines = lines.unionByName(local_rows(spark, [(1, -1, "c_custkey;c_name;c_mktsegment")], "part int, k long, value string"))
+    total = F.concat(F.lit("TOTAL;"), F.count("*").cast("string")).alias("value")
+    lines = lines.unionByName(third.agg(total).select(F.lit(1).alias("part"), F.lit(2**62).alias("k"), "value"))
+    folder = new_folder(spark, "approved")
+    lines.repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(folder)
+    registry = new_folder(spark, "formats")
+    stream_dropfolder(spark, f"{folder}/*/", registry, new_folder(spark, "drop-checkpoint"), once=True, glob="*.txt").awaitTermination()
+    formats = spark.read.parquet(registry)
+    path = formats.select("path").first()["path"]
+    first, later = "2024-01-30 12:00:00", "2024-01-31 12:00:00"
+    approvals = [
+        ("w0", own, "customer", ",", "append", first, None, None, None, None, None),
+        ("w1", other, "customer", "|", "append", first, '"', "utf-8", True, False, 0),
+        ("w2", path, "customer", None, "append", later, None, None, None, None, None),
+        ("w3", own, "broken", ",", "append", later, None, None, None, None, None),
+    ]
     folder = new_folder(spark, "approvals")
     local_rows(spark, approvals, APPROVAL_SCHEMA).coalesce(1).write.json(folder)
     stream = spark.readStream.schema(APPROVAL_SCHEMA).json(folder)
-    stream_ingest(wh, stream, new_folder(spark, "ingest-checkpoint"), once=True).awaitTermination()
-    states = wh.table(wh.main(EVENTS)).select("status").distinct()
-    return wh.table(wh.main("customer")).drop("ref_data_loadtime").withColumn("status", states.scalar())
+    checks = {"customer": [not_null(1, "c_custkey"), unique_key(2, "c_custkey")], "broken": [in_domain(1, "c_mktsegment", ["none"])]}
+    stream_ingest(wh, stream, new_folder(spark, "ingest-checkpoint"), True, formats, checks.__getitem__).awaitTermination()
+    states = wh.table(wh.main(EVENTS))
+    told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "workflow_id", "status"))), ",")
+    return wh.table(wh.main("customer")).drop("ref_data_loadtime").withColumn("status", states.agg(told).scalar())
 
 
 @query(

@@ -11,7 +11,6 @@ from refload.functions.times import stamp_text
 from refload.operators.load import stamp_load_metadata
 from refload.operators.tables import VERSION, Warehouse, append_rows, create_table
 from refload.operators.versions import (
-    backup_inventory,
     filter_by_version,
     list_versions,
     next_version,
@@ -27,7 +26,7 @@ from refload.plans.catalogue import query, table
 from refload.plans.queries.scans import new_warehouse
 
 FIRST, SECOND = datetime(2024, 1, 31, 12, 0), datetime(2024, 2, 1, 12, 0)
-NAMES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def yearly(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,21 +125,6 @@ def page_version_rows_query(spark: SparkSession, sf: str) -> DataFrame:
     return page.withColumn("total_rows", total.scalar())
 
 
-@query(
-    "backup_inventory",
-    """SELECT * FROM (VALUES ('nation_backup', 'nation', false, false, 1, 1), ('orders_backup', 'orders', true, true, 2, 2))
-      v(backup_table, base_name, has_main, has_stage, version_count, latest_version)
-    WHERE (SELECT count(*) FROM orders) > 0""",
-)
-def backup_inventory_query(spark: SparkSession, sf: str) -> DataFrame:
-    wh = two_versions(spark, sf, "inventory")
-    create_table(wh, wh.stage("orders"), wh.table(wh.main("orders")))
-    create_table(wh, wh.main("nation"), table(spark, sf, "nation"))
-    snapshot_version(wh, "nation", FIRST)
-    spark.sql(f"DROP TABLE {wh.main('nation')}")
-    return backup_inventory(wh)
-
-
 @query(
     "post_migration_counts",
     " UNION ALL ".join(

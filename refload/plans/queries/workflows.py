@@ -35,7 +35,7 @@ from refload.operators.workflow import (
     workflow_transitions,
 )
 from refload.plans.catalogue import query, table
-from refload.plans.queries.names import pick
+from refload.plans.queries.names import pick, text
 from refload.plans.queries.sqltext import sql_stamp
 
 AS_OF = datetime(2001, 8, 1)
@@ -90,14 +90,18 @@ def purge_completed_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "purge_statistics",
-    f"""SELECT l_orderkey AS workflow_id, l_linenumber AS stat FROM lineitem WHERE l_orderkey IN
-      (SELECT workflow_id FROM ({WORKFLOWS_SQL}) WHERE NOT coalesce({OLD_SQL}, false))""",
+    f"""SELECT workflow_id, stat FROM (SELECT CAST(l_orderkey AS VARCHAR) AS workflow_id, l_linenumber AS stat FROM lineitem
+        UNION ALL SELECT 'SYSTEM', o_custkey FROM orders)
+      WHERE workflow_id NOT IN (SELECT CAST(workflow_id AS VARCHAR) FROM ({WORKFLOWS_SQL}) WHERE coalesce({OLD_SQL}, false))""",
 )
 def purge_statistics_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as statistics of their order's workflow."""
-    stats = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("workflow_id"), F.col("l_linenumber").alias("stat"))
-    kept, _ = purge_completed(workflows(spark, sf), AS_OF, 365)
-    return purge_statistics(stats, kept)
+    """Line items as statistics of their order's workflow, and earlier purges, which belong to no workflow."""
+    stats = table(spark, sf, "lineitem").select(text("l_orderkey").alias("workflow_id"), F.col("l_linenumber").cast("long").alias("stat"))
+    stats = stats.unionByName(table(spark, sf, "orders").select(F.lit("SYSTEM").alias("workflow_id"), F.col("o_custkey").alias("stat")))
+    flows = workflows(spark, sf)
+    kept, _ = purge_completed(flows, AS_OF, 365)
+    gone = flows.join(kept.select("workflow_id"), "workflow_id", "left_anti").select(text("workflow_id").alias("workflow_id"))
+    return purge_statistics(stats, gone)
 
 
 @query(

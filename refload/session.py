@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,10 +39,13 @@ def build_session(master: str = "local[8]", app: str = "refload", **extra: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a folder made here.
+    Only where none is named and everything runs on one machine (tests) is a folder made here; on a cluster, where
+    each executor would write to its own disk, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="refload-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -91,7 +91,8 @@ def charset_rules(spark: SparkSession, fmt: DelimitedFormat) -> Iterator[None]:
 def read_header(spark: SparkSession, path: str, fmt: DelimitedFormat) -> tuple[list[str], list[str]]:
     """Header fields of a file as written, and as column names: valid, unique, blank ones still ``''``.
 
-    Only the lines up to the header come to the driver.
+    A file without a header has no fields and the names ``column_1``, ``column_2``... by the width of its first
+    record. Only the lines up to the header come to the driver.
     """
     whole = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0000"}
     text = _reader(spark, fmt).options(**whole).schema("value string").csv(path)
@@ -100,6 +101,8 @@ def read_header(spark: SparkSession, path: str, fmt: DelimitedFormat) -> tuple[l
         raise ValueError(f"{path} has no header line")
     fields = parse_fields(F.lit(lines[-1].rstrip("\r")), F.lit(fmt.column_delimiter), F.lit(fmt.text_qualifier))
     cut = spark.range(1).select(fields.alias("raw"))
+    if not fmt.has_header:
+        return [], [f"column_{i}" for i in range(1, len(cut.first()["raw"]) + 1)]
     row = cut.select("raw", dedupe_header(F.transform("raw", sanitize_identifier)).alias("names")).first()
     return list(row["raw"]), list(row["names"])
 
@@ -109,6 +112,17 @@ def header_names(spark: SparkSession, path: str, fmt: DelimitedFormat) -> list[s
     return read_header(spark, path, fmt)[1]
 
 
+def reader_checks(fmt: DelimitedFormat, header: list[str] | None) -> bool:
+    """Whether the reader can hold the first line of every file against ``header`` (unique names, none blank)."""
+    folded = [h.lower() for h in header or []]
+    return fmt.has_header and fmt.skip_lines == 0 and bool(folded) and all(folded) and len(set(folded)) == len(folded)
+
+
+def must_compare(fmt: DelimitedFormat, header: list[str] | None) -> bool:
+    """Whether headers have to be compared as records, because the reader cannot."""
+    return fmt.has_header and bool(header) and not reader_checks(fmt, header)
+
+
 def scan_records(
     spark: SparkSession, paths: str | list[str], names: list[str], fmt: DelimitedFormat, header: list[str] | None = None
 ) -> DataFrame:
@@ -116,12 +130,11 @@ def scan_records(
 
     A column whose name is blank is read under a number and dropped. ``_raw`` is filled only where the
     number of fields differs from the number of names. With ``header``, the fields the first lines must hold,
-    a file with other columns fails the scan instead of being read into the wrong ones; names that are
-    blank or repeated cannot be checked this way.
+    a file with other columns fails the scan instead of being read into the wrong ones; a header that the reader
+    cannot check is left among the records.
     """
-    plain_header = fmt.has_header and fmt.skip_lines == 0
-    folded = [h.lower() for h in header or []]
-    checked = plain_header and bool(header) and all(folded) and len(set(folded)) == len(folded)
+    plain_header = fmt.has_header and fmt.skip_lines == 0 and not must_compare(fmt, header)
+    checked = reader_checks(fmt, header)
     read = list(header) if checked else [name or f"_unnamed{i}" for i, name in enumerate(names)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*read, RAW]])
     reader = _reader(spark, fmt).schema(schema).option("header", plain_header).option("enforceSchema", not checked)
@@ -179,6 +192,17 @@ def drop_trailer(numbered: DataFrame) -> DataFrame:
     return numbered.where(F.col("_record") < F.col("_records") - 1)
 
 
+def refuse_other_headers(numbered: DataFrame, fmt: DelimitedFormat, names: list[str], header: list[str]) -> None:
+    """Raise if a file's header record is not ``header``; the first such files are named."""
+    same = F.col(RAW).isNull()
+    for name, field in zip(names, header, strict=True):
+        if name:
+            same = same & (F.col(f"`{name}`") == field)
+    other = numbered.where((F.col("_record") == fmt.skip_lines) & ~same).select(FILE).limit(5).collect()
+    if other:
+        raise ValueError("files with other columns: " + ", ".join(sorted(r[FILE] for r in other)))
+
+
 def scan_delimited(
     spark: SparkSession,
     paths: str | list[str],
@@ -189,16 +213,20 @@ def scan_delimited(
     """Read files of one table as strings, with skipped lines, header and trailer gone and places kept.
 
     Without lines to skip or a trailer this is one lazy scan; otherwise records are stored once, because
-    first and last lines can only be told apart by position.
+    first and last lines can only be told apart by position. The header of every file is compared with that of the
+    first: other columns, or the same ones in another order, are an error.
     """
     if names is None:
         first = paths if isinstance(paths, str) else paths[0]
         header, names = read_header(spark, first, fmt)
     records = scan_records(spark, paths, names, fmt, header)
-    if fmt.skip_lines == 0 and not fmt.has_trailer:
+    compare = must_compare(fmt, header)
+    if fmt.skip_lines == 0 and not fmt.has_trailer and not compare:
         return records
     numbered = number_records(materialize(records, "records"))
-    if fmt.skip_lines:
+    if compare:
+        refuse_other_headers(numbered, fmt, names, header)
+    if fmt.skip_lines or compare:
         numbered = skip_leading_lines(numbered, fmt.skip_lines + int(fmt.has_header))
     if fmt.has_trailer:
         numbered = drop_trailer(numbered)

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from refload.operators.tables import Warehouse, append_rows, create_table
+from refload.operators.validate import Rule
 from refload.operators.workflow import COMPLETED, ERROR, STATES
 from refload.plans.batch_load import load_files
 from refload.sources.delimited import DelimitedFormat
 from refload.session import local_rows
 
-APPROVAL_SCHEMA = "workflow_id string, file_path string, base string, delimiter string, mode string, load_time string"
+# What an approval says of its file; what it leaves open is taken from the format found for the file, else a default.
+FORMAT_COLUMNS = {
+    "column_delimiter": ("delimiter", ","), "text_qualifier": ("text_qualifier", '"'), "encoding": ("encoding", "utf-8"),
+    "has_header": ("has_headers", True), "has_trailer": ("has_trailer", False), "skip_lines": ("skip_lines", 0),
+}
+APPROVAL_SCHEMA = (
+    "workflow_id string, file_path string, base string, delimiter string, mode string, load_time string, "
+    "text_qualifier string, encoding string, has_headers boolean, has_trailer boolean, skip_lines int"
+)
 EVENT_SCHEMA = "workflow_id string, status string, at string, seq long, error_message string, row_count long"
 EVENTS = "workflow_events"
+# Failures that lie in the data or the settings: trying again would not help.
+OTHER_COLUMNS = "CSV header does not conform to the schema"
 
 
 def append_events(wh: Warehouse, events: DataFrame, table: str = EVENTS) -> None:
@@ -27,36 +40,89 @@ def append_events(wh: Warehouse, events: DataFrame, table: str = EVENTS) -> None
         create_table(wh, name, events)
 
 
-def load_approved(wh: Warehouse, approvals: DataFrame, batch_id: int) -> None:
+def with_formats(approvals: DataFrame, formats: DataFrame | None = None) -> DataFrame:
+    """Approvals with a value for every format column; ``formats`` is the registry of profiled files, by ``path``."""
+    found = approvals
+    if formats is not None:
+        known = [c for c in FORMAT_COLUMNS if c in formats.columns]
+        profile = F.struct(*known)
+        newest = formats.groupBy(file_key(F.col("path")).alias("_key")).agg(F.max(profile).alias("_found"))
+        found = found.join(newest, file_key(F.col("file_path")) == F.col("_key"), "left").drop("_key")
+    else:
+        known = []
+    out = {}
+    for name, (given, default) in FORMAT_COLUMNS.items():
+        choices = [F.col(given)] if given in approvals.columns else []
+        choices += [F.col(f"_found.{name}")] if name in known else []
+        out[f"_{name}"] = F.coalesce(*choices, F.lit(default))
+    return found.withColumns(out)
+
+
+def file_key(path: Column) -> Column:
+    """A path without scheme, as listings and approvals may write it either way."""
+    return F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
+
+
+def data_problem(problem: Exception) -> bool:
+    """Whether a failed load would fail again: wrong settings, or files that do not fit one another."""
+    return isinstance(problem, (ValueError, AnalysisException, IllegalArgumentException)) or OTHER_COLUMNS in str(problem)
+
+
+def load_approved(
+    wh: Warehouse,
+    approvals: DataFrame,
+    batch_id: int,
+    formats: DataFrame | None = None,
+    rules: Callable[[str], list[Rule]] | None = None,
+) -> None:
     """Load the files approved in one micro-batch: one load per table, format and load time.
 
-    What comes to the driver is file names, as many as a trigger lets in. A batch that is replayed finds its
-    load times in the load history and changes nothing.
+    ``rules`` gives the checks of a table. What comes to the driver is file names, as many as a trigger lets in
+    (``maxFilesPerTrigger`` of the approvals). A load that data or settings make impossible is an error of its
+    workflows; any other failure fails the micro-batch, which is then tried again. A batch that is replayed
+    finds its loads in the load history and its events in the event table, and changes nothing.
     """
+    keys = ["base", "mode", "load_time", *[f"_{c}" for c in FORMAT_COLUMNS]]
     groups = (
-        approvals.groupBy("base", "delimiter", "mode", "load_time")
+        with_formats(approvals, formats)
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_set("file_path")).alias("files"), F.sort_array(F.collect_set("workflow_id")).alias("ids"))
-        .orderBy("load_time", "base")
+        .orderBy("load_time", "base", F.element_at("ids", 1))
         .collect()
     )
+    events = wh.main(EVENTS)
+    told = set()
+    if wh.exists(events):
+        told = {r.workflow_id for r in wh.table(events).where(F.col("seq") == batch_id).select("workflow_id").collect()}
     for group in groups:
-        fmt = DelimitedFormat(column_delimiter=group.delimiter)
+        fmt = DelimitedFormat(**{c: group[f"_{c}"] for c in FORMAT_COLUMNS})
         at = datetime.fromisoformat(group.load_time)
+        checks = rules(group.base) if rules else []
         try:
-            result = load_files(wh, group.files, group.base, fmt, group.mode, at)
+            result = load_files(wh, group.files, group.base, fmt, group.mode, at, checks)
             status = COMPLETED if result.status in ("success", "already_loaded") else ERROR
             message, rows = (None, result.rows) if status == COMPLETED else (result.validation or result.status, 0)
         except Exception as problem:
+            if not data_problem(problem):
+                raise
             status, message, rows = ERROR, str(problem), 0
-        events = [(i, status, group.load_time, batch_id, message, rows) for i in group.ids]
-        append_events(wh, local_rows(wh.spark, events, EVENT_SCHEMA))
-
-
-def stream_ingest(wh: Warehouse, approvals: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Load files as their approvals arrive."""
+        new = [(i, status, group.load_time, batch_id, message, rows) for i in group.ids if i not in told]
+        if new:
+            append_events(wh, local_rows(wh.spark, new, EVENT_SCHEMA))
+
+
+def stream_ingest(
+    wh: Warehouse,
+    approvals: DataFrame,
+    checkpoint: str,
+    once: bool = False,
+    formats: DataFrame | None = None,
+    rules: Callable[[str], list[Rule]] | None = None,
+) -> StreamingQuery:
+    """Load files as their approvals arrive, in the formats approved or found, behind the checks of their tables."""
     trigger = {"availableNow": True} if once else {"processingTime": "15 seconds"}
     return (
-        approvals.writeStream.foreachBatch(lambda df, batch_id: load_approved(wh, df, batch_id))
+        approvals.writeStream.foreachBatch(lambda df, batch_id: load_approved(wh, df, batch_id, formats, rules))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

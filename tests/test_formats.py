@@ -110,3 +110,35 @@ def test_encodings(spark):
     for row in coded.select("k", "e", decode_content(F.col("content"), F.col("e")).alias("t")).collect():
         assert row.e == row.k
         assert row.t == ("plain" if row.k == "ascii" else text)
+
+
+def test_a_million_doubled_quotes(spark):
+    """The matcher neither overflows its stack nor takes long."""
+    cell = '"' + '""' * 1_000_000 + '"'
+    rows = spark.createDataFrame([(f"a,b\n1,{cell}\n2,x\n",)], "t string")
+    line = F.lit(f"1,{cell},y")
+    cut = spark.range(1).select(parse_fields(line, F.lit(","), F.lit('"')).alias("f"), field_count(line, F.lit(","), F.lit('"')).alias("n"))
+    row = cut.first()
+    assert row.n == 3 and [len(x) for x in row.f] == [1, 1_000_000, 1]
+    found = detect_format(rows, "t").drop("t").first()
+    assert (found.column_delimiter, found.text_qualifier, found.estimated_columns) == (",", '"', 2)
+
+
+def test_windows_characters(spark):
+    text = "price: 5 € – “now”… Ž\x81"
+    content = text.encode("cp1252", "surrogateescape") if "\x81" not in text else text[:-1].encode("cp1252") + b"\x81"
+    row = spark.createDataFrame([(bytearray(content),)], "content binary").withColumn("e", detect_encoding(F.col("content")))
+    got = row.select("e", decode_content(F.col("content"), F.col("e")).alias("t")).first()
+    assert (got.e, got.t) == ("Windows-1252", text)
+
+
+def test_formats_are_judged_by_whole_files(spark):
+    """A delimiter that only later lines show, and widths beyond the first hundred lines."""
+    late = "a b\n" * 12 + "1;2;3;4;5;6;7;8\n" * 300
+    wide = "x,y\n" + "1,2\n" * 110 + "1,2,3\n" * 400 + "1,2,3\nTOTAL,7\n"
+    rows = spark.createDataFrame([("late", late), ("wide", wide)], "k string, t string")
+    found = {r.k: r for r in detect_format(rows, "t").drop("t").collect()}
+    assert found["late"].column_delimiter == ";"
+    assert found["wide"].estimated_columns == 3 and found["wide"].has_trailer
+    first = detect_format(rows, "t", scored_lines=10).drop("t").where("k = 'late'").first()
+    assert first.column_delimiter == ","

@@ -59,20 +59,21 @@ def test_sanitize_filename(spark):
 
 def one_by_one(names):
     """The rule spelled out, name after name."""
-    counters, given_names = {}, []
+    counters, given_names, low = {}, [], set()
     for name in names:
         chosen = name
-        if name and name in given_names:
-            number = counters.get(name, 0) + 1
-            while f"{name}_{number}" in given_names:
+        if name and name.lower() in low:
+            number = counters.get(name.lower(), 0) + 1
+            while f"{name}_{number}".lower() in low:
                 number += 1
-            counters[name] = number
+            counters[name.lower()] = number
             chosen = f"{name}_{number}"
         given_names.append(chosen)
+        low.add(chosen.lower())
     return given_names
 
 
-headers = st.lists(st.sampled_from(["a", "b", "a_1", "a_2", "a_1_1", ""]), min_size=1, max_size=9)
+headers = st.lists(st.sampled_from(["a", "A", "b", "a_1", "A_2", "a_2", "a_1_1", ""]), min_size=1, max_size=9)
 
 
 @settings(max_examples=5, deadline=None)
