@@ -39,20 +39,6 @@ def file_inventory(spark: SparkSession, folder: str, glob: str = "*.csv", recurs
     )
 
 
-def file_contents(spark: SparkSession, folder: str, glob: str = "*.csv", max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Files with their bytes, one row each; larger files are left out before they are read.
-
-    A row holds a whole file, so the size limit for letting files in is also what bounds memory here.
-    """
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .load(folder)
-        .where(F.col("length") <= max_bytes)
-        .select(F.col("path").alias("file_path"), F.col("length").alias("size_bytes"), "modificationTime", "content")
-    )
-
-
 def admit_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Add ``errors`` and ``valid`` to a listing with ``filename``, ``size_bytes`` and ``size_mb``."""
     limit = max_bytes / MEGABYTE

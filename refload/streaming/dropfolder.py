@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from refload.functions.detect import decode_content, detect_encoding, detect_format
-from refload.sources.inventory import MAX_FILE_BYTES
+from refload.session import materialize
+from refload.sources.profiles import WHOLE_FILE_BYTES, file_formats
 
 # Fixed value: how often the folder is looked at.
 SCAN_INTERVAL = "15 seconds"
@@ -21,9 +20,9 @@ def arrivals(
     files_per_batch: int = 1000,
     archive: str | None = None,
 ) -> DataFrame:
-    """Stream of new files with their bytes; finished ones move to ``archive`` if one is named.
+    """Stream of new files, of any size, without their bytes; finished ones move to ``archive`` if one is named.
 
-    Files above the size limit for letting files in are dropped before their bytes are used.
+    Spark's file sources list no file of zero bytes.
     """
     reader = (
         spark.readStream.format("binaryFile")
@@ -33,27 +32,29 @@ def arrivals(
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.load(folder).where(F.col("length") <= MAX_FILE_BYTES)
-
-
-def profiled(files: DataFrame) -> DataFrame:
-    """Files with encoding and format in place of their bytes."""
-    coded = files.withColumn("encoding", detect_encoding(F.col("content")))
-    texts = coded.withColumn("text", decode_content(F.col("content"), F.col("encoding"))).drop("content")
-    return detect_format(texts, "text").drop("text")
+    return reader.load(folder).select("path", "modificationTime", "length")
 
 
 def stream_dropfolder(
-    spark: SparkSession, folder: str, registry: str, checkpoint: str, once: bool = False, glob: str = "*.csv"
+    spark: SparkSession,
+    folder: str,
+    registry: str,
+    checkpoint: str,
+    once: bool = False,
+    glob: str = "*.csv",
+    archive: str | None = None,
+    whole_bytes: int = WHOLE_FILE_BYTES,
 ) -> StreamingQuery:
-    """Profile every new file and append its format to the registry folder."""
-    writer = (
-        profiled(arrivals(spark, folder, glob))
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .option("path", registry)
-        .outputMode("append")
-    )
+    """Profile every new file and add its format to the registry folder, one part a trigger.
+
+    A trigger that is run again writes over its own part.
+    """
+
+    def profile(files: DataFrame, batch_id: int) -> None:
+        found = file_formats(files.sparkSession, materialize(files, "arrivals"), whole_bytes)
+        found.write.mode("overwrite").parquet(f"{registry}/trigger={batch_id}")
+
+    writer = arrivals(spark, folder, glob, archive=archive).writeStream.foreachBatch(profile).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": SCAN_INTERVAL}
     return writer.trigger(**trigger).start()
 
