@@ -44,18 +44,20 @@ def upsert_registry(current: DataFrame, incoming: DataFrame, key: str, columns:
     return merged.select(key, *[chosen[c].alias(c) for c in columns], "action")
 
 
-def _signatures(columns: DataFrame, owner: str, name: str, tag: str) -> DataFrame:
-    """Distinct column sets with the number of owners each; equal sets are compared once.
+def column_sets(columns: DataFrame, owner: str, name: str) -> DataFrame:
+    """(set_id, owner, names): the set of column names of each owner, under an id that equal sets share.
 
     A set is as large as one header. Names are made distinct before they are gathered.
     """
-    sets = (
-        columns.select(owner, F.lower(name).alias("n"))
-        .distinct()
-        .groupBy(owner)
-        .agg(F.array_sort(F.collect_list("n")).alias("names"))
-    )
-    return sets.groupBy("names").agg(F.count("*").alias(f"{tag}_owners"), F.min(owner).alias(f"{tag}_example"))
+    names = columns.select(F.col(owner).alias("owner"), F.lower(name).alias("n")).distinct()
+    sets = names.groupBy("owner").agg(F.array_sort(F.collect_list("n")).alias("names"))
+    return sets.select(F.sha1(F.array_join("names", "\u001f").cast("binary")).alias("set_id"), "owner", "names")
+
+
+def _distinct_sets(members: DataFrame, tag: str) -> DataFrame:
+    """Each set once, with the number of its owners and the first of them; equal sets are compared once."""
+    owners = F.count("*").alias(f"{tag}_owners"), F.min("owner").alias(f"{tag}_example")
+    return members.groupBy("set_id").agg(F.first("names").alias("names"), *owners)
 
 
 def _prefix(names: Column, share: float) -> Column:
@@ -69,13 +71,13 @@ def match_schema(
 ) -> DataFrame:
     """Column sets of files and of tables that overlap by more than ``share`` (common over all names).
 
-    Works on distinct sets, so any number of equal headers is one comparison. Candidates come from an
-    equi-join on the rarest names of each set: two sets over the share cannot miss each other there, while
-    names that nearly every table has are not joined on. Each candidate is then measured exactly. The sets
-    are stored once, since every step reads them.
+    Works on distinct sets, named by id, so any number of equal headers is one comparison; ``column_sets`` tells all
+    owners of an id. Candidates come from an equi-join on the rarest names of each set: two sets over the share
+    cannot miss each other there, while names that nearly every table has are not joined on. Each candidate is
+    then measured exactly. The sets are stored once, since every step reads them.
     """
-    left = materialize(_signatures(files, file, name, "file"), "file-sets")
-    right = materialize(_signatures(tables, table, name, "table"), "table-sets")
+    left = materialize(_distinct_sets(column_sets(files, file, name), "file"), "file-sets")
+    right = materialize(_distinct_sets(column_sets(tables, table, name), "table"), "table-sets")
     counts = (
         left.select(F.explode("names").alias("n"))
         .unionByName(right.select(F.explode("names").alias("n")))
@@ -85,36 +87,40 @@ def match_schema(
 
     def rare_first(sets: DataFrame, tag: str) -> DataFrame:
         ranked = (
-            sets.select("names", F.explode("names").alias("n"))
+            sets.select("set_id", F.explode("names").alias("n"))
             .join(counts, "n")
-            .groupBy("names")
+            .groupBy("set_id")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("uses", "n"))), lambda x: x["n"]).alias("rare"))
         )
         return ranked.select(
-            F.col("names").alias(f"{tag}_names"), F.explode(_prefix(F.col("rare"), share)).alias("token")
+            F.col("set_id").alias(f"{tag}_set"), F.size("rare").alias(f"{tag}_size"), F.explode(_prefix(F.col("rare"), share)).alias("token")
         )
 
     candidates = (
         rare_first(left, "file")
         .join(rare_first(right, "table"), "token")
-        .where(
-            (F.size("file_names") > F.size("table_names") * share)
-            & (F.size("table_names") > F.size("file_names") * share)
-        )
-        .select("file_names", "table_names")
+        .where((F.col("file_size") > F.col("table_size") * share) & (F.col("table_size") > F.col("file_size") * share))
+        .select("file_set", "table_set")
         .distinct()
     )
+    pairs = candidates.join(left.withColumnsRenamed({"set_id": "file_set", "names": "file_names"}), "file_set").join(
+        right.withColumnsRenamed({"set_id": "table_set", "names": "table_names"}), "table_set"
+    )
     shared = F.size(F.array_intersect("file_names", "table_names"))
     total = F.size("file_names") + F.size("table_names") - shared
     return (
-        candidates.withColumns({"matching_columns": shared, "total_columns": total})
+        pairs.withColumns({"matching_columns": shared, "total_columns": total})
         .withColumn("match_percentage", F.col("matching_columns") / F.col("total_columns"))
         .where(F.col("match_percentage") > share)
-        .join(left.withColumnRenamed("names", "file_names"), "file_names")
-        .join(right.withColumnRenamed("names", "table_names"), "table_names")
     )
 
 
+def match_owners(matches: DataFrame, tables: DataFrame, table: str, name: str) -> DataFrame:
+    """Every table that fits each file set: (file_set, table) for all owners of the matched sets."""
+    members = column_sets(tables, table, name).select(F.col("set_id").alias("table_set"), F.col("owner").alias(table))
+    return matches.select("file_set", "file_example", "table_set", "match_percentage").join(members, "table_set").drop("table_set")
+
+
 def match_one(header: DataFrame, tables: DataFrame, table: str, name: str, share: float = MATCH_SHARE) -> DataFrame:
     """Tables that fit one header (a relation with column ``name``), best first.
 

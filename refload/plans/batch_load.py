@@ -54,6 +54,8 @@ HISTORY = "load_history"
 ATTEMPTS = "load_attempts"
 REGISTRY = "load_registry"
 ATTEMPT_SCHEMA = "source_table string, load_time timestamp_ntz, batch string, version int"
+LOG = "load_log"
+LOG_SCHEMA = "source_table string, load_time timestamp_ntz, phase string, at timestamp_ntz, rows long, message string"
 HISTORY_SCHEMA = "source_table string, load_time timestamp_ntz, load_type string, row_count long, version int, batch string"
 
 
@@ -151,6 +153,20 @@ def stage_files(
     return rows, failed.count(), types
 
 
+class PhaseLog:
+    """When each phase of a load began and ended, with its rows; what ``load_throughput`` measures by ``phase``."""
+
+    def __init__(self, base: str, load_time: datetime) -> None:
+        self.key, self.rows = (base, load_time.isoformat(sep=" ")), []
+
+    def note(self, phase: str, rows: int = 0, message: str | None = None) -> None:
+        self.rows.append((*self.key, phase, datetime.now().isoformat(sep=" "), rows, message))
+
+    def write(self, wh: Warehouse) -> None:
+        log_table(wh, LOG, LOG_SCHEMA, self.key[0])
+        append_rows(wh, wh.main(LOG), local_rows(wh.spark, self.rows, LOG_SCHEMA.replace("timestamp_ntz", "string")))
+
+
 def load_files(
     wh: Warehouse,
     paths: str | list[str],
@@ -165,8 +181,32 @@ def load_files(
 
     Files and ``load_time`` name the batch: loading it again changes nothing, other files of the same time are
     another batch. Files with a record of too many fields are set aside and the others loaded. A broken rule stops
-    before the main table is touched.
+    before the main table is touched. Every attempt is written to the load log, whatever becomes of it.
     """
+    log = PhaseLog(base, load_time)
+    log.note("load")
+    try:
+        result = _load_files(wh, paths, base, fmt, mode, load_time, rules, override, log)
+        log.note("load", result.rows, result.validation or result.status)
+        return result
+    except Exception as problem:
+        log.note("load", 0, str(problem)[:2000])
+        raise
+    finally:
+        log.write(wh)
+
+
+def _load_files(
+    wh: Warehouse,
+    paths: str | list[str],
+    base: str,
+    fmt: DelimitedFormat,
+    mode: str,
+    load_time: datetime,
+    rules: list[Rule] | Callable[[DataFrame], list[Rule]],
+    override: str | None,
+    log: PhaseLog,
+) -> LoadResult:
     spark = wh.spark
     batch = batch_key(wh, paths)
     timed = past_loads(wh, base).where(F.col("load_time") == ntz(load_time))
@@ -176,8 +216,10 @@ def load_files(
 
     main = wh.table(wh.main(base)) if wh.exists(wh.main(base)) else None
     code = determine_load_type(main, mode, override)
+    log.note("stage")
     with charset_rules(spark, fmt):
         rows, rejected, types = stage_files(wh, paths, base, fmt, load_time, code)
+    log.note("stage", rows)
     if rows == 0:
         return LoadResult(base, "empty", code, 0, rejected_files=rejected)
 
@@ -185,8 +227,10 @@ def load_files(
     checks = rules(stage) if callable(rules) else list(rules)
     validation = None
     if checks:
+        log.note("validate")
         issues = validate_stage(stage, checks)
         validation = validation_json(issues).first()["validation"]
+        log.note("validate", rows, validation)
         if not validation.startswith('{"validation_result":0'):
             return LoadResult(base, "validation_failed", code, rows, None, rejected, validation)
 
@@ -194,11 +238,15 @@ def load_files(
         ensure_metadata_columns(wh, wh.main(base))
         if not has_columns(wh, wh.main(base), types):
             sync_columns_add_only(wh, wh.main(base), types)
+    log.note("promote")
     again, version = begin_attempt(wh, base, load_time, batch)
     earlier = timed.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n")).first()["n"] if again else 0
     promote(wh, base, code, load_time, again, earlier)
+    log.note("promote", rows)
+    log.note("snapshot")
     ensure_backup(wh, base, main_types(wh, base), load_time)
     snapshot_version(wh, base, load_time, version)
+    log.note("snapshot", rows)
     register(wh, base)
     done_now = [(base, load_time.isoformat(sep=" "), code, rows, version, batch)]
     append_rows(wh, wh.main(HISTORY), local_rows(spark, done_now, HISTORY_SCHEMA.replace("timestamp_ntz", "string")))

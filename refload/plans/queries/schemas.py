@@ -19,7 +19,7 @@ from refload.operators.evolve import (
     sync_columns_add_only,
     sync_columns_widen,
 )
-from refload.operators.registry import REGISTRY_COLUMNS, match_one, match_schema, place_candidates, upsert_registry
+from refload.operators.registry import REGISTRY_COLUMNS, match_one, match_owners, match_schema, place_candidates, upsert_registry
 from refload.operators.tables import VERSION, create_table
 from refload.operators.versions import create_backup, snapshot_version
 from refload.plans.catalogue import query, table
@@ -146,7 +146,7 @@ matches AS (SELECT file_example, file_owners, table_example, table_owners, CAST(
 """
 
 
-def _event_matches(spark: SparkSession, sf: str) -> DataFrame:
+def _event_columns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf, "events")
 
     def kind(extra: F.Column) -> F.Column:
@@ -154,6 +154,11 @@ def _event_matches(spark: SparkSession, sf: str) -> DataFrame:
 
     files = events.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("file"), kind(F.hour("ts")))
     tables = events.select((F.dayofyear("ts") * 100 + F.hour("ts")).cast("long").alias("table"), kind(F.col("user_id")))
+    return files, tables
+
+
+def _event_matches(spark: SparkSession, sf: str) -> DataFrame:
+    files, tables = _event_columns(spark, sf)
     return match_schema(files, tables, "file", "table", "n").select(
         "file_example",
         "file_owners",
@@ -171,6 +176,21 @@ def match_schema_query(spark: SparkSession, sf: str) -> DataFrame:
     return _event_matches(spark, sf)
 
 
+@query(
+    "match_owners",
+    SIGNATURE_SQL
+    + """SELECT m.file_example, o.owner AS "table", m.match_percentage FROM (SELECT *, round(shared / total, 6) AS match_percentage
+      FROM (SELECT f.file_example, t.names AS table_names, len(list_intersect(f.names, t.names)) AS shared,
+        len(f.names) + len(t.names) - len(list_intersect(f.names, t.names)) AS total FROM file_sets f, table_sets t) WHERE shared / total > 0.7) m
+      JOIN (SELECT owner, list_sort(list(n)) AS names FROM tables GROUP BY owner) o ON o.names = m.table_names""",
+)
+def match_owners_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Every table that fits each distinct header."""
+    files, tables = _event_columns(spark, sf)
+    found = match_owners(match_schema(files, tables, "file", "table", "n"), tables, "table", "n")
+    return found.select("file_example", "table", F.round("match_percentage", 6).alias("match_percentage"))
+
+
 @query(
     "rank_candidates",
     SIGNATURE_SQL

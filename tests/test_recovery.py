@@ -172,3 +172,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_folder(Elsewhere)
+
+
+def test_loads_log_their_phases(spark, warehouse, write_file):
+    from refload.operators.report import load_throughput
+    from refload.plans.batch_load import LOG
+
+    load_files(warehouse, write_file("a.csv", "id,v\n1,x\n2,y\n"), "items", DelimitedFormat(), "append", AT, [not_null(1, "id")])
+    broken = load_files(warehouse, write_file("b.csv", "id,v\n,x\n"), "items", DelimitedFormat(), "append", LATER, [not_null(1, "id")])
+    assert broken.status == "validation_failed"
+    log = warehouse.table(warehouse.main(LOG))
+    measured = {r.phase: r for r in load_throughput(log.where("load_time < '2024-02-01'"), "phase", "at", F.col("rows")).collect()}
+    assert set(measured) == {"load", "stage", "validate", "promote", "snapshot"}
+    assert all(r.rows == 2 and r.seconds > 0 for r in measured.values())
+    failed = log.where("load_time >= '2024-02-01' AND phase = 'load' AND message IS NOT NULL").first()
+    assert "issue_id" in failed.message
