@@ -68,6 +68,16 @@ def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table
     return dealt.mapInArrow(run, schema)
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` for what comes out of a shuffle and is far smaller than the corpus, in an eighth of the files.
+
+    Adaptive execution merges small partitions by itself where it may; this holds where it may not.
+    """
+    spark = df.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.coalesce(max(spark.sparkContext.defaultParallelism, shuffles // 8)), label)
+
+
 def running_totals(df: DataFrame, group: list[str], order: list[str], values: list[str], label: str) -> DataFrame:
     """Adds to each row, within its group and order, ``rank`` (from 0) and for every value ``<value>_before``,
     the sum over the rows in front of it.
@@ -131,7 +141,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = materialize(edges, f"{label}-edges")
+    edges = store(edges, f"{label}-edges")
     while True:
         seen = edges.groupBy("u").agg(F.count("*").alias("n"))
         chained = edges.select(F.col("v").alias("u")).join(seen.select("u"), "u", "left_semi")
@@ -141,9 +151,9 @@ def components(links: DataFrame, label: str) -> DataFrame:
             )
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = materialize(low.select("u", F.least("u", "m").alias("m")), f"{label}-low")
+        low = store(low.select("u", F.least("u", "m").alias("m")), f"{label}-low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, f"{label}-large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-low")
+        large = store(large, f"{label}-large")
+        low = store(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-low")
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-edges")
+        edges = store(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-edges")

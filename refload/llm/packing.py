@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refload.llm.common import running_totals
+from refload.llm.common import running_totals, store
 from refload.session import materialize
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -92,7 +92,7 @@ def pack(
     )
     facts = materialize(facts.withColumn("key", F.xxhash64(F.lit(seed), "id", "text_crc32")), "packing-facts")
     ranked = running_totals(facts, [], ["key", "id", "text_crc32", "size"], [], "packing-order")
-    ranked = materialize(ranked.select("id", "text_crc32", "size", "rank"), "packing-ranks")
+    ranked = store(ranked.select("id", "text_crc32", "size", "rank"), "packing-ranks")
     pieces = F.expr(f"size div {longest}")
     whole = ranked.withColumn("pieces", pieces).filter("pieces > 0")
     whole = whole.select("id", "text_crc32", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from refload.llm.common import ROWS, map_batches, utf8
+from refload.llm.common import ROWS, map_batches, store, utf8
 from refload.session import materialize
 
 ORDER = 5
@@ -130,13 +130,13 @@ def fit_model(docs: DataFrame, lang: str = "lang", text: str = "text", order: in
     shorter = F.transform(F.sequence(F.lit(1), _size().cast("int")), lambda n: _suffix(F.col("key"), n))
     spread = events.select("lang", F.col("key").alias("whole"), "n", F.explode(shorter).alias("key"))
     raw = F.sum(F.when(F.col("key") == F.col("whole"), F.col("n")).otherwise(0))
-    seen = materialize(spread.groupBy("lang", "key").agg(raw.alias("raw")), "ngrams")
+    seen = store(spread.groupBy("lang", "key").agg(raw.alias("raw")), "ngrams")
     # Counts: an n-gram's own where nothing can stand in front of it, else how many symbols do.
     longer = seen.filter(_size() > 1).select("lang", _suffix(F.col("key"), _size() - 1).alias("key"))
     fronts = longer.groupBy("lang", "key").agg(F.count("*").alias("fronts"))
     count = F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.col("fronts"))
     counted = seen.join(fronts, ["lang", "key"], "left").select("lang", "key", count.alias("a"))
-    counted = materialize(counted.withColumn("size", _size().cast("int")), "ngram-counts")
+    counted = store(counted.withColumn("size", _size().cast("int")), "ngram-counts")
     tally = [F.sum((F.col("a") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
     cuts = []
@@ -150,7 +150,7 @@ def fit_model(docs: DataFrame, lang: str = "lang", text: str = "text", order: in
     same = Window.partitionBy("lang", "context")  # at most one row for each byte
     total = F.sum("a").over(same)
     rows = rows.withColumn("own", (F.col("a") - F.col("cut")) / total).withColumn("hand", F.sum("cut").over(same) / total)
-    rows = materialize(rows.select("lang", "key", "size", "context", "own", "hand"), "ngram-shares")
+    rows = store(rows.select("lang", "key", "size", "context", "own", "hand"), "ngram-shares")
     # An n-gram's probability adds up over its suffixes: each one's own share, and what it hands down.
     suffixes = F.transform(F.sequence(F.lit(1), F.col("size")), lambda n: _suffix(F.col("key"), n))
     chain = rows.select("lang", F.col("key").alias("whole"), F.explode(suffixes).alias("key"))
@@ -159,7 +159,7 @@ def fit_model(docs: DataFrame, lang: str = "lang", text: str = "text", order: in
     known = chain.join(rows, ["lang", "key"]).groupBy("lang", "whole").agg(F.log(p).alias("logp"))
     handed = rows.groupBy("lang", "context").agg(F.log(F.first("hand")).alias("back"))
     both = known.withColumnRenamed("whole", "key").join(handed.withColumnRenamed("context", "key"), ["lang", "key"], "full_outer")
-    return materialize(both.select("lang", "key", "logp", "back"), "ngram-model")
+    return store(both.select("lang", "key", "logp", "back"), "ngram-model")
 
 
 class SortedModel:
@@ -294,7 +294,7 @@ def bands(scored: DataFrame) -> DataFrame:
     cuts = F.percentile_approx(loss, [0.25, 0.5, 0.75], 10_000)
     found = scored.filter("n_words >= 20").groupBy("lang").agg(cuts.alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(FLOOR))
-    return materialize(found.select("lang", F.col("q")[1].alias("middle"), spread.alias("spread")), "ngram-bands")
+    return store(found.select("lang", F.col("q")[1].alias("middle"), spread.alias("spread")), "ngram-bands")
 
 
 def verdict(scored: DataFrame, limits: DataFrame) -> DataFrame:
