@@ -9,6 +9,7 @@ are blocks of one parent. The minimum cut is the labelling that pays least for s
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import deque
 from html import unescape
 
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from refload.llm.common import map_batches
 
+#: A quote opens a value only right behind the equals sign; an unquoted value ends at white space or '>'.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|[^>])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.DOTALL,
 )
 NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-RAW = set("script style noscript template textarea iframe svg math title object canvas".split())
+RAW = set("script style noscript template textarea iframe svg title canvas annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -48,20 +51,44 @@ AGAINST = set(
 FOR = set("article content post entry story main body text prose".split())
 #: With one of these a header is the article's own.
 OWN_HEADER = set("article post entry story title".split())
+#: Words that say what page surrounds an element, not what the element is: has-sidebar, with-comments, no-footer.
+MODIFIERS = set("has with without no not non hide show is".split())
+#: Last words of a name that leave its meaning to the word in front: footer-links, menu-item.
+STRUCTURE = set(
+    "list lists item items link links box bar wrapper wrap container area section block blocks panel inner outer group row col column"
+    " left right top bottom button buttons icon icons slot unit count title heading posts articles stories module component".split()
+)
+#: Tags that a form has only where it goes round a page.
+WRAPPED = re.compile(r"<(?:(/form)|(?:article|main|nav|header|footer|h1))\b", re.IGNORECASE)
+ARTICLE = re.compile(r"<article\b", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SMOOTH = 1.5
 SIBLINGS = 0.5
 
 
-def _evidence(tag: str, attributes: str, inside: bool) -> float:
-    """What an element says about all that is in it; ``inside``: it stands in an article."""
-    score = ELEMENTS.get(tag, 0.0)
-    if tag == "header" and inside:
+def _names(words: list[str]) -> str | None:
+    """The word of ``AGAINST`` that a class, id or role of these words is the name of, if it is one."""
+    if not MODIFIERS.isdisjoint(words):
+        return None
+    k = len(words)
+    while k > 1 and words[k - 1] in STRUCTURE:
+        k -= 1
+    return words[k - 1] if k and words[k - 1] in AGAINST else None
+
+
+def _evidence(tag: str, attributes: str, inside: bool, wrapper: bool = False) -> tuple[float, float]:
+    """What an element says about all that is in it: for good, and until an article or main in it says otherwise.
+
+    ``inside``: it stands in an article; ``wrapper``: it is a form round a page.
+    """
+    score, names = ELEMENTS.get(tag, 0.0), 0.0
+    if (tag == "header" and inside) or wrapper:
         score = 0.0
     if not attributes or tag in ("html", "body"):
-        return score
+        return score, names
     words: set[str] = set()
+    against: set[str] = set()
     for name, *values in NAMED.findall(attributes):
         value = "".join(values)
         name = name.lower()
@@ -71,21 +98,28 @@ def _evidence(tag: str, attributes: str, inside: bool) -> float:
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             score -= 14.0
         elif name in ("class", "id", "role"):
-            words.update(WORD.findall(CAMEL.sub(" ", value).lower()))
-    against = words & AGAINST
+            for token in value.split():
+                parts = WORD.findall(CAMEL.sub(" ", token).lower())
+                words.update(parts)
+                if found := _names(parts):
+                    against.add(found)
     if against == {"header"} and (inside or words & OWN_HEADER):
         against = set()
     if against:
-        score -= 12.0
+        names -= 12.0
     elif words & FOR:
         score += 3.0
-    return score
+    return score, names
 
 
 def blocks(html: str) -> list[tuple[str, float, float, int]]:
     """(text, score, nearness to the block before, parent) of every block with text, in page order."""
     made: list[tuple[str, float, float, int]] = []
-    stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]  # tag, evidence so far, in an article, number
+    # tag, evidence so far, in an article, number, part of the evidence that an article or main in it ends
+    stack: list[tuple[str, float, bool, int, float]] = [("", 0.0, False, 0, 0.0)]
+    marks = [(m.start(), bool(m[1])) for m in WRAPPED.finditer(html)] if "<form" in html.lower() else []
+    spots = [m[0] for m in marks]
+    single = len(ARTICLE.findall(html)) == 1
     pieces: list[str] = []
     linked = 0
     lowest = depth_before = count = 0
@@ -157,9 +191,12 @@ def blocks(html: str) -> list[tuple[str, float, float, int]]:
             lowest = min(lowest, len(stack) - 1)
             if not attributes.endswith("/") or tag in BLOCKS:
                 count += 1
-                _, before, inside, _ = stack[-1]
-                evidence = before + _evidence(tag, attributes, inside)
-                stack.append((tag, evidence, inside or tag in ("article", "main"), count))
+                _, before, inside, _, open_names = stack[-1]
+                if tag == "main" or (tag == "article" and single):
+                    before, open_names = before - open_names, 0.0
+                k = bisect_right(spots, match.start()) if tag == "form" else len(marks)
+                lasting, names = _evidence(tag, attributes, inside, k < len(marks) and not marks[k][1])
+                stack.append((tag, before + lasting + names, inside or tag in ("article", "main"), count, open_names + names))
                 anchors += tag == "a"
     flush()
     return made
@@ -246,6 +283,11 @@ def main_text(html: str | None) -> tuple[str, int, int]:
 def extract_pages(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, and text, n_chars, n_kept, n_blocks: one row for every row of ``pages``.
 
+    A class, id or role speaks against what is in it where it names the element itself (its last word that says
+    more than "list" or "box"); has-, with- and no- name something else. main, and the article of a page that has
+    one, take back what such names around them say; what elements say (nav, aside, hidden) stays. A form that goes
+    round headings, articles or menus is the page, not a form.
+
     Null and empty pages, and pages without content, have the empty text. Unclosed elements end with what holds them;
     a page cut short is read to its end. Character references are decoded in text, runs of white space become one
     space, blocks are joined by a line feed. A page's cost is about linear in its length.

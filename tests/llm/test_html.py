@@ -89,3 +89,29 @@ def test_odd_pages(spark):
     got = op.extract_pages(spark.createDataFrame(table)).collect()
     assert sorted(r.n_chars for r in got)[:2] == [0, 0] and len(got) == 3 and max(r.n_chars for r in got) > 100
     assert op.extract_pages(spark.createDataFrame(table.slice(0, 0))).collect() == []
+
+
+def test_wrappers_do_not_speak_for_the_article():
+    body = "Paragraph of the article with quite some words to say, and it says them to the end. " * 3
+    menu = '<nav><a href=/a>One</a></nav><div class="site-footer"><p>Words at the foot of every page, which are not wanted here.</p></div>'
+    article = f"<article><h1>Title</h1><p>{body}</p></article>"
+    want = f"Title\n{body.strip()}"
+    wraps = ["class='layout has-sidebar'", "class=with-comments", "class=search-result", "class=ad-free", "class=no-footer", 'id="legal-blog"']
+    for wrap in wraps:
+        assert op.main_text(f"<body>{menu}<div {wrap}>{article}</div></body>")[0] == want
+        assert op.main_text(f"<body>{menu}<div {wrap}><p>{body}</p></div></body>")[0] == body.strip()
+    assert op.main_text(f"<body>{menu}<div class=sidebar>{article}</div></body>")[0] == want
+    bare = f"{menu}<h1>Title</h1><p>{body}</p>"
+    assert op.main_text(f"<body><form id=f action=/x>{bare}</form></body>")[0] == op.main_text(f"<body>{bare}</body>")[0] != ""
+    assert op.main_text(f"<body><form>{article}</form></body>")[0] == want
+    for name in ("sidebar", "post-comments", "footer-links", "cookieBanner", "related-posts"):
+        assert op.main_text(f"<body>{article}<div class='{name}'><p>{body}</p></div></body>")[0] == want
+    cards = f"<article><p>{body}</p></article>" * 3
+    assert op.main_text(f"<body><main><p>{body}</p></main><div class=related>{cards}</div></body>")[0] == body.strip()
+
+
+def test_stray_quotes_and_embedded_text():
+    body = "Paragraph of the article with quite some words to say, and it says them to the end. " * 3
+    page = f"<article><p title=it's>{body}</p><p>{body}It's <math><mi>x</mi></math> and <object>this</object> too.</p></article>"
+    assert op.main_text(page)[0] == f"{body.strip()}\n{body}It's x and this too."
+    assert op.main_text(f"<article><p data-a='1 > 0' data-b=\"a>b\">{body}</p></article>")[0] == body.strip()
