@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refload.llm.common import map_batches, utf8
+from refload.llm.common import map_batches, running_totals, utf8
 from refload.session import materialize
 
 KEYS = ("source", "lang", "version")
@@ -141,6 +141,9 @@ def corpus_rollup(
     "arrived" brings all documents in, by their words and by a guess of their tokens (a quarter of the bytes).
     "counted" revises the guess to the tokenizer's count. "copies" takes out every document whose text another of
     smaller id has. "counted" comes once more, as after a lost answer, and is known.
+
+    A document is a row: its id, its text's hashes, and its number among the rows that share them. So rows with a null
+    id and several texts under one id all count. A row that repeats id and text is a copy too; null ids are no copies.
     """
     spark = docs.sparkSession
     version, make = byte_pair_counter(tokenizers)
@@ -148,23 +151,25 @@ def corpus_rollup(
     facts = docs.select(
         F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
         F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"), F.octet_length(body).alias("bytes"),
-        F.xxhash64(body).alias("print"), F.crc32(body.cast("binary")).alias("check"),
+        F.xxhash64(body).alias("print"), F.crc32(body.cast("binary")).alias("check"), F.col(text).alias("body"),
     )
-    facts = materialize(facts, "rollup-facts")
+    packed = facts.select(F.struct("id", "source", "lang", "words", "bytes", "print", "check").alias("id"), "body")
+    facts = materialize(token_counts(packed, make, "id", "body").select("id.*", "tokens"), "rollup-facts")
+    # Rows that are equal in source and language too are told apart by nothing, so any of them may have any number.
+    facts = running_totals(facts, ["id", "print", "check"], ["source", "lang"], [], "rollup-numbered")
+    facts = materialize(facts.withColumn("row", F.struct("id", "print", "check", "rank")), "rollup-rows")
     kinds = F.explode(
         F.array(
             F.struct(F.lit("words").alias("version"), F.col("words").alias("tokens")),
             F.struct(F.lit(version).alias("version"), F.ceil(F.col("bytes") / 4).cast("long").alias("tokens")),
         )
     )
-    arrived = facts.select("id", "source", "lang", "print", "check", kinds.alias("k")).select("id", "source", "lang", "print", "check", "k.*")
+    arrived = facts.select("row", "source", "lang", kinds.alias("k")).select(F.col("row").alias("id"), "source", "lang", "k.*")
     arrived = arrived.withColumn("deleted", F.lit(False))
-    counted = docs.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), text)
-    packed = counted.select(F.struct("id", "source", "lang").alias("id"), text)
-    counted = token_counts(packed, make, "id", text)
-    counted = materialize(counted.select("id.*", F.lit(version).alias("version"), "tokens", F.lit(False).alias("deleted")), "rollup-counts")
+    counted = facts.select(F.col("row").alias("id"), "source", "lang", F.lit(version).alias("version"), "tokens", F.lit(False).alias("deleted"))
     first = materialize(facts.groupBy("print", "check").agg(F.min("id").alias("first")), "rollup-first")
-    copies = arrived.join(first, ["print", "check"]).filter("id > first").withColumn("deleted", F.lit(True))
+    same = (F.col("id.print") == F.col("print")) & (F.col("id.check") == F.col("check"))
+    copies = arrived.join(first, same).filter("id.id > first OR (id.id IS NOT NULL AND id.rank > 0)").drop("print", "check", "first").withColumn("deleted", F.lit(True))
     rollup = TokenRollup(spark, root)
     for name, events in (("arrived", arrived), ("counted", counted), ("copies", copies), ("counted", counted)):
         rollup.commit(name, events)

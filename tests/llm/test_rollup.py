@@ -87,3 +87,12 @@ def test_odd_texts(spark, documents):
     got = op.corpus_rollup(docs, new_folder(spark, "test-rollup"), TOKENIZERS).collect()
     assert sum(r.tokens for r in got if r.version == "words") == 50_002
     assert op.corpus_rollup(documents([]), new_folder(spark, "test-rollup"), TOKENIZERS).collect() == []
+
+
+def test_every_row_counts(spark, documents):
+    rows = [(None, "one two"), (None, "one two"), (None, "three"), (4, "four five six"), (4, "other"), (4, "other"), (9, "other"), (9, None)]
+    from refload.llm.queries import TOKENIZERS
+
+    got = op.corpus_rollup(documents(rows), new_folder(spark, "test-rollup"), TOKENIZERS).collect()
+    assert {(r.docs, r.tokens) for r in got if r.version == "words"} == {(6, 2 + 2 + 1 + 3 + 1 + 0)}
+    assert [r.docs for r in got] == [6, 6]
