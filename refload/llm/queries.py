@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from refload.llm.chat import PERSPECTIVES_SQL, perspectives
 from refload.llm.curriculum import curriculum
+from refload.llm.divergence import DIVERGENCE_SQL, source_divergence
 from refload.llm.factorization import score_quality, train
 from refload.llm.hilbert import hilbert_shards
 from refload.llm.html import extract_pages
@@ -96,3 +97,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_delta_rollup")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_rollup(table(spark, sf, "documents"), new_folder(spark, "rollup"), TOKENIZERS)
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents"))
