@@ -11,6 +11,7 @@ from refload.llm.chat import PERSPECTIVES_SQL, perspectives
 from refload.llm.curriculum import curriculum
 from refload.llm.divergence import DIVERGENCE_SQL, source_divergence
 from refload.llm.factorization import score_quality, train
+from refload.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from refload.llm.hilbert import hilbert_shards
 from refload.llm.html import extract_pages
 from refload.llm.multi_index import near_vectors
@@ -102,3 +103,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_source_divergence", DIVERGENCE_SQL)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return source_divergence(table(spark, sf, "documents"))
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
