@@ -14,6 +14,7 @@ from refload.llm.factorization import score_quality, train
 from refload.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from refload.llm.hilbert import hilbert_shards
 from refload.llm.html import extract_pages
+from refload.llm.licenses import scan_licenses
 from refload.llm.multi_index import near_vectors
 from refload.llm.packing import pack
 from refload.llm.perplexity import quality_rules
@@ -110,3 +111,9 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+# Its SQL stands in ``licenses_sql`` and is held against it in the tests: nullable whole numbers are no single type to all readers.
+@query("op13_license_scan")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents")).drop("places")
