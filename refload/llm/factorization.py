@@ -82,6 +82,16 @@ class Machine:
         rng = np.random.default_rng(seed)
         self.bias, self.w, self.v = bias, np.zeros(FEATURES), rng.normal(scale=0.02, size=(FEATURES, RANK))
 
+    def parts(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """What is sent to tasks: numbers and arrays, which they can read without this package."""
+        return self.bias, self.w, self.v
+
+    @classmethod
+    def of(cls, parts: tuple[float, np.ndarray, np.ndarray]) -> Machine:
+        made = cls.__new__(cls)
+        made.bias, made.w, made.v = parts
+        return made
+
     def raw(self, at: np.ndarray, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of texts laid end to end (their first features at ``starts``), and sums by dimension."""
         scaled = self.v[at] * x[:, None]
@@ -175,10 +185,10 @@ def score_quality(
     The score hangs on the text and its stored length alone. Null and empty texts are scored by their statistics;
     null lengths count as 0; ids may be null (never held out) or repeated. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(machine.parts())  # of fixed size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = sent.value.score(batch.column("text").to_pylist(), batch.column("chars").to_pylist())
+        scores = Machine.of(sent.value).score(batch.column("text").to_pylist(), batch.column("chars").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("out"), pa.array(scores)], names=["id", "out", "score"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -194,13 +204,13 @@ def score_quality(
 
 def keep_predicted(docs: DataFrame, machine: Machine, text_column: str = "text", chars_column: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` whose score is at least one half, judged where they are read."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = docs.sparkSession.sparkContext.broadcast(machine.parts())
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series, chars: pd.Series) -> pd.Series:
         texts = [(t or "").encode() for t in text]
         lengths = [None if pd.isna(c) else int(c) for c in chars]
-        made = [sent.value.score(texts[i : i + ROWS], lengths[i : i + ROWS]) >= 0.5 for i in range(0, len(texts), ROWS)]
+        made = [Machine.of(sent.value).score(texts[i : i + ROWS], lengths[i : i + ROWS]) >= 0.5 for i in range(0, len(texts), ROWS)]
         return pd.Series(np.concatenate(made) if made else [], dtype=bool)
 
     return docs.filter(good(F.col(text_column), F.col(chars_column).cast("long")))

@@ -166,8 +166,7 @@ class SortedModel:
     """One language's model as arrays sorted by key."""
 
     def __init__(self, keys: np.ndarray, logp: np.ndarray, back: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.logp, self.back = keys[order], logp[order], np.nan_to_num(back[order])
+        self.keys, self.logp, self.back = keys, logp, back
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """Log-probability of each n-gram, falling back to shorter ones where it was never seen."""
@@ -193,17 +192,22 @@ class SortedModel:
         return self.keys[at] == keys, at
 
 
-def sorted_models(model: DataFrame) -> dict[str, SortedModel]:
+def sorted_arrays(model: DataFrame) -> dict[str, tuple[np.ndarray, ...]]:
+    """The model of each language as arrays: what is sent to tasks, which need no code of this package to read it."""
     rows = model.toArrow()
     tags = rows.column("lang").combine_chunks().dictionary_encode()
     number = tags.indices.to_numpy()
     keys = rows.column("key").to_numpy().astype(np.uint64)
     logp, back = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("logp", "back"))
-    return {t: SortedModel(*(c[number == i] for c in (keys, logp, back))) for i, t in enumerate(tags.dictionary.to_pylist())}
+    back = np.nan_to_num(back)
+    order = np.lexsort((keys, number))
+    ends = np.searchsorted(number[order], np.arange(len(tags.dictionary) + 1))
+    parts = [order[ends[i] : ends[i + 1]] for i in range(len(tags.dictionary))]
+    return {t: (keys[o], logp[o], back[o]) for t, o in zip(tags.dictionary.to_pylist(), parts, strict=True)}
 
 
 def score_texts(
-    models: dict[str, SortedModel], langs: list[str], split: list[list[bytes]], order: int
+    models: dict[str, tuple[np.ndarray, ...]], langs: list[str], split: list[list[bytes]], order: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Sum of log-probabilities, and number of symbols, of each text. Distinct words are scored once a batch."""
     total, symbols = np.zeros(len(split)), np.zeros(len(split), np.int64)
@@ -211,7 +215,7 @@ def score_texts(
     for i, tag in enumerate(langs):
         places.setdefault(tag, []).append(i)
     for tag, rows in places.items():
-        model = models.get(tag)
+        model = SortedModel(*models[tag]) if tag in models else None
         words: dict[bytes, int] = {}
         ids = [np.fromiter((words.setdefault(w, len(words)) for w in split[i]), np.int64, len(split[i])) for i in rows]
         if not words:
@@ -239,7 +243,7 @@ def score_rows(docs: DataFrame, model: DataFrame, lang: str, text: str, order: i
     kind = docs.schema["id"].dataType.simpleString()
     rows = docs.select("id", F.coalesce(F.col(lang), F.lit("")).alias("lang"), utf8(text).alias("text"))
     if model.count() <= most:
-        sent = docs.sparkSession.sparkContext.broadcast(sorted_models(model))
+        sent = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             split, facts = _facts(batch.column("text").to_pylist())
@@ -348,7 +352,7 @@ def keep_good(docs: DataFrame, lang_column: str = "lang", text_column: str = "te
         return docs.join(good, print_ == F.col("_print"), "left_semi")
     scored = materialize(score_rows(rows, model, "_lang", "_text", order, most), "ngram-scored")
     limits = {r.lang: (r.middle, r.spread) for r in bands(scored).collect()}  # a row a language
-    sent = docs.sparkSession.sparkContext.broadcast(sorted_models(model))
+    sent = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model))
 
     @F.pandas_udf("boolean")
     def good(lang: pd.Series, text: pd.Series) -> pd.Series:
