@@ -11,7 +11,7 @@ from refload.llm.curriculum import mix
 from refload.llm.factorization import keep_predicted, train
 from refload.llm.packing import pack
 from refload.llm.perplexity import keep_good
-from refload.llm.similar import keep_one
+from refload.llm.simhash import keep_one
 from refload.session import materialize
 
 
@@ -26,7 +26,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """The document of the smallest id of each group of near copies: fingerprints of four-word shingles within four bits."""
     return keep_one(docs)
 
 
