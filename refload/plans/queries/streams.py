@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,9 @@ from refload.plans.queries.workflows import WORKFLOWS_SQL, workflows
 from refload.session import local_rows, new_folder
 from refload.sources.delimited import DelimitedFormat, write_delimited
 from refload.streaming.dropfolder import dedupe_arrivals, stream_dropfolder
-from refload.streaming.ingest import APPROVAL_SCHEMA, EVENTS, ready_stream, run_to_folder, stream_ingest, transition_stream
+from refload.streaming.events import EVENTS
+from refload.streaming.ingest import APPROVAL_SCHEMA, ready_stream, run_to_folder, stream_ingest, transition_stream
+from refload.streaming.readiness import ready_files
 from refload.streaming.stability import stream_stability
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,6 +30,18 @@ def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB while streams run; the session's setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """The rows a stream gives until it has read all there is."""
     spark = stream.sparkSession
@@ -73,42 +90,82 @@ def stream_dropfolder_query(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
     """Customers in files of three formats, approved at two times, each loaded once; a table with a broken rule is not.
 
-    The third approval says nothing of its format: quotes, delimiter and trailer come from the format registry.
+    The third kind of file is dropped and profiled after the load stream first ran, and its approval says nothing of its
+    format: quotes, delimiter and trailer come from the registry, where an older profile of the same paths says otherwise.
     """
     wh = new_warehouse(spark, "streamload")
     customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     own, other = new_folder(spark, "approved"), new_folder(spark, "approved")
     write_delimited(customers.where(F.col("c_custkey") % 3 == 0), own, DelimitedFormat())
     write_delimited(customers.where(F.col("c_custkey") % 3 == 1), other, DelimitedFormat(column_delimiter="|"))
-    third = customers.where(F.col("c_custkey") % 3 == 2)
+    registry, asked, checkpoint = new_folder(spark, "formats"), new_folder(spark, "approvals"), new_folder(spark, "ingest-checkpoint")
+    checks = {"customer": [not_null(1, "c_custkey"), unique_key(2, "c_custkey")], "broken": [in_domain(1, "c_mktsegment", ["none"])]}
+    first, later = "2024-01-30 12:00:00", "2024-01-31 12:00:00"
+
+    def approve(rows: list[tuple]) -> None:
+        made = [(*r, *[None] * (14 - len(r))) for r in rows]
+        local_rows(spark, made, APPROVAL_SCHEMA).coalesce(1).write.mode("append").json(asked)
+        stream = spark.readStream.schema(APPROVAL_SCHEMA).json(asked)
+        stream_ingest(wh, stream, checkpoint, True, registry, checks.__getitem__).awaitTermination()
+
+    approve(
+        [
+            ("w0", own, "customer", ",", "append", first),
+            ("w1", other, "customer", "|", "append", first, '"', "utf-8", True, False, 0),
+            ("w3", own, "broken", ",", "append", later),
+        ]
+    )
+    third = customers.where(F.col("c_custkey") % 3 == 2).withColumn("part", F.pmod(F.xxhash64("c_custkey"), F.lit(4)))
     row = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), "c_mktsegment")
-    lines = third.select(F.lit(1).alias("part"), F.col("c_custkey").alias("k"), row.alias("value"))
-    lines = lines.unionByName(local_rows(spark, [(1, -1, "c_custkey;c_name;c_mktsegment")], "part int, k long, value string"))
-    total = F.concat(F.lit("TOTAL;"), F.count("*").cast("string")).alias("value")
-    lines = lines.unionByName(third.agg(total).select(F.lit(1).alias("part"), F.lit(2**62).alias("k"), "value"))
+    lines = third.select("part", F.col("c_custkey").alias("k"), row.alias("value"))
+    ends = third.groupBy("part").agg(F.concat(F.lit("TOTAL;"), F.count("*").cast("string")).alias("total"))
+    places = F.array(
+        F.struct(F.lit(-1).cast("long").alias("k"), F.lit("c_custkey;c_name;c_mktsegment").alias("value")),
+        F.struct(F.lit(2**62).alias("k"), F.col("total").alias("value")),
+    )
+    lines = lines.unionByName(ends.select("part", F.inline(places)))
     folder = new_folder(spark, "approved")
     lines.repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(folder)
-    registry = new_folder(spark, "formats")
     stream_dropfolder(spark, f"{folder}/*/", registry, new_folder(spark, "drop-checkpoint"), once=True, glob="*.txt").awaitTermination()
-    formats = spark.read.parquet(registry)
-    path = formats.select("path").first()["path"]
-    first, later = "2024-01-30 12:00:00", "2024-01-31 12:00:00"
-    approvals = [
-        ("w0", own, "customer", ",", "append", first, None, None, None, None, None),
-        ("w1", other, "customer", "|", "append", first, '"', "utf-8", True, False, 0),
-        ("w2", path, "customer", None, "append", later, None, None, None, None, None),
-        ("w3", own, "broken", ",", "append", later, None, None, None, None, None),
-    ]
-    folder = new_folder(spark, "approvals")
-    local_rows(spark, approvals, APPROVAL_SCHEMA).coalesce(1).write.json(folder)
-    stream = spark.readStream.schema(APPROVAL_SCHEMA).json(folder)
-    checks = {"customer": [not_null(1, "c_custkey"), unique_key(2, "c_custkey")], "broken": [in_domain(1, "c_mktsegment", ["none"])]}
-    stream_ingest(wh, stream, new_folder(spark, "ingest-checkpoint"), True, formats, checks.__getitem__).awaitTermination()
+    found = spark.read.parquet(registry)
+    before = F.col("modificationTime") - F.expr("INTERVAL 1 DAY")
+    found.drop("trigger").withColumns({"modificationTime": before, "column_delimiter": F.lit("~")}).write.parquet(f"{registry}/trigger=1000")
+    paths = [r.path for r in found.select("path").distinct().collect()]
+    approve([("w2", p, "customer", None, "append", later) for p in paths])
     states = wh.table(wh.main(EVENTS))
-    told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "workflow_id", "status"))), ",")
+    told = F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "workflow_id", "status"))), ",")
     return wh.table(wh.main("customer")).drop("ref_data_loadtime").withColumn("status", states.agg(told).scalar())
 
 
+@query(
+    "ready_files",
+    """WITH e AS (SELECT user_id, event_id, ts, event_type, CAST(floor(value / 80) AS BIGINT) AS size,
+        last_value(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 0 END IGNORE NULLS) OVER w AS busy,
+        sum(CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END) OVER w AS resets
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    looks AS (SELECT *, coalesce(lag(size) OVER w <> size OR lag(resets) OVER w <> resets, true) AS changed FROM e
+      WHERE event_type IN ('view', 'click') AND coalesce(busy, 0) = 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    runs AS (SELECT *, sum(CAST(changed AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM looks),
+    counted AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS n FROM runs)
+    SELECT '/drop/' || user_id AS path, size, event_id AS scan_id, n AS looks FROM counted WHERE n >= 2""",
+)
+def ready_files_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user as a file: views and clicks look at it, an error is its going, a purchase opens and a signup ends a workflow."""
+    events = stream_table(spark, sf, "events")
+    path = F.concat(F.lit("/drop/"), F.col("user_id").cast("string"))
+    looks = events.where(~F.col("event_type").isin("purchase", "signup")).select(
+        path.alias("path"), F.floor(F.col("value") / 80).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"),
+        F.col("event_id").alias("scan_id"), F.col("ts").cast("timestamp").alias("looked_at"), (F.col("event_type") == "error").alias("gone"),
+    )
+    flows = stream_table(spark, sf, "events").where(F.col("event_type").isin("purchase", "signup")).select(
+        path.alias("file_path"), F.when(F.col("event_type") == "signup", F.lit("completed")).otherwise(F.lit("approved")).alias("status"),
+        F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"),
+    )
+    with rocksdb(spark):
+        # Idle users are not forgotten here: the times of a year lie in one batch, whose clock moves when it is over.
+        return drained(ready_files(looks, flows, wanted=2), "ready").drop("mtime")
+
+
 @query(
     "stream_stability",
     """WITH scans AS (SELECT event_id, user_id, CAST(floor(value / 40) AS BIGINT) AS size, event_type IN ('view', 'click', 'purchase') AS mtime FROM events),
@@ -119,9 +176,7 @@ def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_stability_query(spark: SparkSession, sf: str) -> DataFrame:
     """Each user as a file that is looked at with every event, counted with state."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
+    with rocksdb(spark):
         listings = stream_table(spark, sf, "events").select(
             F.col("user_id").cast("string").alias("path"),
             F.col("event_id").alias("scan_id"),
@@ -129,11 +184,6 @@ def stream_stability_query(spark: SparkSession, sf: str) -> DataFrame:
             F.col("event_type").isin("view", "click", "purchase").cast("long").alias("mtime"),
         )
         return drained(stream_stability(listings, idle_ms=None), "stability")
-    finally:
-        if before:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-        else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 @query(

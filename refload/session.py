@@ -77,6 +77,8 @@ ARROW_TYPES = {
     "long": pa.int64(),
     "boolean": pa.bool_(),
     "timestamp_ntz": pa.timestamp("us"),
+    "timestamp": pa.timestamp("us", tz="UTC"),
+    "double": pa.float64(),
 }
 
 

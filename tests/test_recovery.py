@@ -114,7 +114,7 @@ def test_files_with_other_columns_are_refused(spark, write_file, one, two, skip)
 
 
 def approvals(spark, rows):
-    return local_rows(spark, [(*r, *[None] * (11 - len(r))) for r in rows], ingest.APPROVAL_SCHEMA)
+    return local_rows(spark, [(*r, *[None] * (14 - len(r))) for r in rows], ingest.APPROVAL_SCHEMA)
 
 
 def test_approved_formats_reach_the_load(spark, warehouse, write_file):
