@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refload.functions.times import ntz, seconds_crossed
@@ -102,6 +102,25 @@ def status_counts(workflows: DataFrame, status: str, created: str, retries: str)
     )
 
 
+def status_count_functions(spark: SparkSession, workflows: str, name: str = "workflow_status_counts") -> None:
+    """Make two table functions over a table or view of workflows that SQL can call: ``name()`` and ``name_of(statuses, since)``.
+
+    The first is ``status_counts``; the second counts the given statuses only (null: all that are not completed) of workflows
+    made since a time (null: ever). They hold for the session; filters on their arguments reach the scan.
+    """
+    columns = "status STRING, workflow_count BIGINT, oldest_workflow TIMESTAMP, newest_workflow TIMESTAMP, avg_retries INT"
+    counted = f"""SELECT status, count(*), CAST(min(created_at) AS TIMESTAMP), CAST(max(created_at) AS TIMESTAMP),
+      CAST(avg(CASE WHEN retry_count > 0 THEN retry_count END) AS INT) FROM {workflows}"""
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS TABLE ({columns}) RETURN {counted} WHERE status <> '{COMPLETED}' GROUP BY status"
+    )
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}_of(statuses ARRAY<STRING>, since TIMESTAMP) RETURNS TABLE ({columns}) RETURN {counted}
+        WHERE CASE WHEN {name}_of.statuses IS NULL THEN status <> '{COMPLETED}' ELSE array_contains({name}_of.statuses, status) END
+          AND ({name}_of.since IS NULL OR created_at >= {name}_of.since) GROUP BY status"""
+    )
+
+
 def latest_state(events: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Newest event per workflow, as an aggregate: each task keeps one row per workflow before the shuffle."""
     newest = F.max_by(F.struct(*columns), F.struct(*order))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refload.operators.validate import in_domain, not_null, unique_key
-from refload.operators.workflow import pending
 from refload.plans.catalogue import query, table
 from refload.plans.queries.scans import FILE_ROWS, bucket_of, new_warehouse
 from refload.plans.queries.workflows import WORKFLOWS_SQL, workflows
@@ -17,9 +16,10 @@ from refload.session import local_rows, new_folder
 from refload.sources.delimited import DelimitedFormat, write_delimited
 from refload.streaming.dropfolder import dedupe_arrivals, stream_dropfolder
 from refload.streaming.events import EVENTS
-from refload.streaming.ingest import APPROVAL_SCHEMA, ready_stream, run_to_folder, stream_ingest, transition_stream
+from refload.streaming.ingest import APPROVAL_SCHEMA, run_to_folder, stream_ingest
 from refload.streaming.readiness import ready_files
 from refload.streaming.stability import stream_stability
+from refload.streaming.transitions import recheck_stream, transition_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -188,11 +188,20 @@ def stream_stability_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_transitions",
-    """SELECT user_id AS workflow_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'excel_generated' WHEN 'click' THEN 'processing'
-      WHEN 'error' THEN 'error' ELSE 'approved' END AS status FROM events WHERE event_type <> 'purchase'""",
+    """WITH r AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'excel_generated' WHEN 'click' THEN 'processing'
+        WHEN 'error' THEN 'error' WHEN 'signup' THEN 'approved' ELSE event_type END AS status FROM events),
+    a AS (SELECT *, status <> 'purchase' AS accepted, last_value(CASE WHEN status <> 'purchase' THEN status END IGNORE NULLS) OVER w AS before,
+        last_value(CASE WHEN status <> 'purchase' THEN ts END IGNORE NULLS) OVER w AS before_ts, max(ts) OVER (PARTITION BY user_id) AS last_ts
+      FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM a WHERE accepted),
+    m AS (SELECT max(ts) - INTERVAL 10 MINUTES AS mark FROM r)
+    SELECT user_id AS workflow_id, event_id AS seq, status, coalesce(CASE WHEN before = 'processing' AND ts >= before_ts + INTERVAL 2 HOURS THEN 'error'
+        ELSE before END, '') AS previous, accepted, CASE WHEN accepted THEN '' ELSE 'Invalid workflow status: purchase' END AS reason FROM a
+    UNION ALL SELECT user_id, event_id, 'error', 'processing', true, 'Processing timeout after 2:00:00' FROM k, m
+      WHERE status = 'processing' AND (next_ts >= ts + INTERVAL 2 HOURS OR (next_ts IS NULL AND ts + INTERVAL 2 HOURS <= greatest(mark, last_ts)))""",
 )
 def stream_transitions_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests for states as a stream; unknown states are refused."""
+    """Requests for states as a stream with state: unknown states come out refused, long processing as an error by timer."""
     kind = F.col("event_type")
     status = (
         F.when(kind == "view", F.lit("excel_generated"))
@@ -201,24 +210,32 @@ def stream_transitions_query(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(kind)
     )
     asked = stream_table(spark, sf, "events").select(
-        F.col("user_id").alias("workflow_id"), F.col("event_id").alias("seq"), status.alias("status")
+        F.col("user_id").alias("workflow_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status")
     )
-    return drained(transition_stream(asked), "transitions")
+    with rocksdb(spark):
+        made = drained(transition_stream(asked), "transitions")
+    return made.select("workflow_id", "seq", "status", "previous", "accepted", "reason")
 
 
 @query(
     "stream_recheck",
-    f"""SELECT workflow_id, seq FROM (SELECT o_custkey % 2000 AS workflow_id, o_orderkey AS seq FROM orders WHERE o_totalprice > 250000)
+    f"""WITH newest AS (SELECT o_custkey % 2000 AS workflow_id, arg_max(o_totalprice > 250000, struct_pack(a := o_orderdate, s := o_orderkey)) AS ready
+        FROM orders GROUP BY 1)
+    SELECT workflow_id, CASE WHEN ready THEN 'excel_generated' ELSE 'pending_excel' END AS status FROM newest
       WHERE workflow_id IN (SELECT workflow_id FROM ({WORKFLOWS_SQL}) WHERE status IN ('pending_excel', 'excel_generated'))""",
 )
 def stream_recheck_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Changes of settings as a stream, met with the table of pending workflows."""
+    """Changes of settings as a stream; the newest of each pending workflow says whether its form is ready."""
     changes = stream_table(spark, sf, "orders").select(
         (F.col("o_custkey") % 2000).alias("workflow_id"),
         (F.col("o_totalprice") > 250000).alias("ready"),
+        F.col("o_orderdate").alias("at"),
         F.col("o_orderkey").alias("seq"),
     )
-    return drained(ready_stream(changes, pending(workflows(spark, sf))), "recheck").select("workflow_id", "seq")
+    path = new_folder(spark, "recheck")
+    recheck_stream(changes, lambda: workflows(spark, sf), path, new_folder(spark, "recheck-checkpoint"), once=True).awaitTermination()
+    last = spark.read.parquet(path).groupBy("workflow_id").agg(F.max_by("status", "batch").alias("status"))
+    return last.select("workflow_id", "status")
 
 
 @query("dedupe_arrivals", "SELECT DISTINCT user_id AS path, event_type FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from refload.operators.workflow import (
     recheck_pending,
     retry_failed,
     skip_in_flight,
+    status_count_functions,
     status_counts,
     timeout_stuck,
     workflow_durations,
@@ -136,11 +138,25 @@ def status_counts_query(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumns({**times, "avg_retries": F.col("avg_retries").cast("string")})
 
 
-@query("status_counts_tvf", STATUS_COUNTS_SQL)
-def status_counts_view_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The same as a view that SQL can name."""
-    status_counts_query(spark, sf).createOrReplaceTempView("workflow_status_counts")
-    return spark.sql("SELECT * FROM workflow_status_counts")
+@query(
+    "status_counts_tvf",
+    f"""SELECT 'all' AS asked, * FROM ({STATUS_COUNTS_SQL}) UNION ALL SELECT 'some', * FROM (
+      SELECT status, count(*) AS workflow_count, {sql_stamp('min(created_at)')} AS oldest_workflow, {sql_stamp('max(created_at)')} AS newest_workflow,
+        CAST(CAST(trunc(avg(CASE WHEN retry_count > 0 THEN retry_count END)) AS INTEGER) AS VARCHAR) AS avg_retries
+      FROM ({WORKFLOWS_SQL}) WHERE status IN ('error', 'completed') AND created_at >= TIMESTAMP '1997-01-01' GROUP BY status)""",
+)
+def status_counts_tvf_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts as table functions that SQL calls, without and with arguments."""
+    view = f"workflows_{uuid.uuid4().hex[:8]}"
+    workflows(spark, sf).createOrReplaceTempView(view)
+    name = f"{view}_counts"
+    status_count_functions(spark, view, name)
+    found = spark.sql(
+        f"""SELECT 'all' AS asked, * FROM {name}() UNION ALL
+        SELECT 'some', * FROM {name}_of(array('error', 'completed'), TIMESTAMP '1997-01-01 00:00:00')"""
+    )
+    times = {c: stamp_text(F.col(c).cast("timestamp_ntz")) for c in ("oldest_workflow", "newest_workflow")}
+    return found.withColumns({**times, "avg_retries": F.col("avg_retries").cast("string")})
 
 
 @query(

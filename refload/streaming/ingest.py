@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from refload.functions.text import base_name, table_base_name
 from refload.operators.tables import Warehouse
 from refload.operators.validate import Rule
-from refload.operators.workflow import COMPLETED, ERROR, STATES, canonical_load_config, validate_load_config
+from refload.operators.workflow import COMPLETED, ERROR, canonical_load_config, validate_load_config
 from refload.plans.batch_load import load_files
 from refload.session import local_rows, materialize
 from refload.sources.delimited import DelimitedFormat
@@ -192,16 +192,6 @@ def stream_ingest(
     )
 
 
-def transition_stream(requests: DataFrame) -> DataFrame:
-    """Requests with a known state; others are dropped from the event table."""
-    return requests.where(F.col("status").isin(STATES))
-
-
-def ready_stream(changes: DataFrame, pending: DataFrame, key: str = "workflow_id") -> DataFrame:
-    """Changes of settings, as they arrive, that make a pending workflow ready; ``pending`` is a table."""
-    return changes.where("ready").join(pending.select(key), key, "left_semi")
-
-
 def run_to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything there is and write it as parquet."""
     query = (
