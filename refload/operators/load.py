@@ -26,6 +26,8 @@ FULL_WORDS = ["F", "FULL", "FULLLOAD"]
 APPEND_WORDS = ["A", "APPEND"]
 MODES = {FULL: "fullload", APPEND: "append"}
 DEFAULT_MODE = "fullload"
+#: Property of a table that tells the load types of its rows.
+NOTED_TYPES = "refload.load_types"
 
 
 def load_code(word: str | None) -> str | None:
@@ -111,11 +113,16 @@ def promote(wh: Warehouse, base: str, code: str, load_time: datetime, again: boo
     stage, name = wh.table(wh.stage(base)), wh.main(base)
     if not wh.exists(name):
         create_table(wh, name, stage, declared_types(stage))
+        note_load_types(wh, name, {code})
     elif code == FULL:
         align_columns(stage, wh.table(name))
         replace_rows(wh, name, stage)
+        note_load_types(wh, name, {code})
     elif not (again and already_loaded(wh.table(name), load_time, earlier)):
         align_columns(stage, wh.table(name))
+        known = noted_load_types(wh, name)
+        if known is not None:
+            note_load_types(wh, name, known | {code})
         append_rows(wh, name, stage)
 
 
@@ -152,6 +159,34 @@ def determine_load_type(main: DataFrame | None, mode: str, override: str | None
     return FULL if seen["f"] else APPEND if seen["a"] else default
 
 
+def noted_load_types(wh: Warehouse, table: str) -> set[str] | None:
+    """The load types of a table's rows as its loads noted them, None if they did not."""
+    rows = wh.spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == NOTED_TYPES).collect()
+    return {t for t in rows[0]["value"].split(",") if t in (FULL, APPEND)} if rows else None
+
+
+def note_load_types(wh: Warehouse, table: str, codes: set[str]) -> None:
+    """Keep with a table which load types its rows have. A row's type is F, A, or that of a version put back."""
+    wh.spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{NOTED_TYPES}' = '{','.join(sorted(codes)) or '-'}')")
+
+
+def next_load_type(wh: Warehouse, base: str, mode: str, override: str | None = None) -> str:
+    """``determine_load_type`` of a stored table without reading its rows, but for the first time at a table made otherwise."""
+    forced, name = load_code(override), wh.main(base)
+    if forced or not wh.exists(name):
+        return forced or load_code(mode) or APPEND
+    known = noted_load_types(wh, name)
+    if known is None:
+        found = wh.table(name)
+        known = {c for c in (FULL, APPEND) if LOAD_TYPE in found.columns and holds_type(found, c)}
+        note_load_types(wh, name, known)
+    return FULL if FULL in known else APPEND if APPEND in known else load_code(mode) or APPEND
+
+
+def holds_type(rows: DataFrame, code: str) -> bool:
+    return not rows.where(F.upper(F.trim(F.col(LOAD_TYPE))) == code).limit(1).isEmpty()
+
+
 def dominant_load_type(rows: DataFrame, load_type: str, load_time: Column | str, keys: list[str]) -> DataFrame:
     """Mode to offer for the next load of each table: that of its latest stored load type, if known."""
     word = F.lower(F.trim(F.col(load_type)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refload.functions.times import ntz
+from refload.operators.load import note_load_types
 from refload.operators.tables import (
     BASE_NAME,
     LOAD_TIME,
@@ -22,13 +23,10 @@ from refload.operators.tables import (
     table_location,
     write_beside,
 )
-from refload.session import local_rows, materialize
+from refload.session import local_rows
 
-# Load type of a snapshot, page sizes.
+# Fixed value: load type of a snapshot.
 SNAPSHOT_TYPE = "backup"
-PAGE_DEFAULT, PAGE_MAX = 50, 1000
-# From this offset on a page is found through a stored range index instead of a top-n of offset + limit rows.
-DEEP_OFFSET = 100_000
 
 
 def next_version(backup: DataFrame) -> DataFrame:
@@ -159,6 +157,7 @@ def rollback_to_version(wh: Warehouse, base: str, version: int) -> Rollback:
             for name in names:
                 point_table(wh, name, made[name])
                 swapped.append(name)
+            note_load_types(wh, wh.main(base), set())
         except Exception:
             for name in swapped:
                 point_table(wh, name, before[name])
@@ -168,48 +167,6 @@ def rollback_to_version(wh: Warehouse, base: str, version: int) -> Rollback:
         return Rollback("error", error=str(problem))
 
 
-def clamp_page(limit: object = PAGE_DEFAULT, offset: object = 0) -> tuple[int, int]:
-    """Page size within 1..1000 and an offset that is not negative; nonsense becomes the default."""
-
-    def number(value: object, default: int) -> int:
-        try:
-            return int(value)  # type: ignore[call-overload]
-        except (TypeError, ValueError):
-            return default
-
-    return min(max(number(limit, PAGE_DEFAULT), 1), PAGE_MAX), max(number(offset, 0), 0)
-
-
-def page_version_rows(backup: DataFrame, version: int, limit: object = PAGE_DEFAULT, offset: object = 0) -> DataFrame:
-    """One page of a version in the order of its first column, all other columns breaking ties.
-
-    Near pages are a top-n. A top-n holds offset + limit rows, so far pages go through an index: the rows
-    are stored range by range, the ranges are counted, and only those the page touches are sorted.
-    """
-    size, start = clamp_page(limit, offset)
-    rows = filter_by_version(backup, version)
-    order = [F.col(c).asc_nulls_first() for c in rows.columns if c != VERSION]
-    if start < DEEP_OFFSET:
-        return rows.orderBy(*order).offset(start).limit(size)
-    return _deep_page(rows, order, size, start)
-
-
-def _deep_page(rows: DataFrame, order: list[Column], size: int, start: int) -> DataFrame:
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    stored = materialize(ranged, "page-index", partition_by=["_range"])
-    counts = stored.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
-    first, before, touched = None, 0, []
-    for row in counts:
-        if before + row.n > start and before < start + size:
-            first = before if first is None else first
-            touched.append(row["_range"])
-        before += row.n
-    if first is None:
-        return rows.limit(0)
-    page = stored.where(F.col("_range").isin(touched)).drop("_range").select(*rows.columns)
-    return page.orderBy(*order).offset(start - first).limit(size)
-
-
 def backup_inventory(wh: Warehouse) -> DataFrame:
     """Backup tables with flags for their main and stage tables, their versions and the latest one.
 

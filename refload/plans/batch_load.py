@@ -19,7 +19,7 @@ from refload.operators.evolve import data_fields, ensure_backup, ensure_metadata
 from refload.operators.load import (
     clean_rows,
     declared_types,
-    determine_load_type,
+    next_load_type,
     promote,
     quarantine_write,
     stamp_load_metadata,
@@ -215,7 +215,7 @@ def _load_files(
         return LoadResult(base, "already_loaded", done.load_type, done.row_count, done.version)
 
     main = wh.table(wh.main(base)) if wh.exists(wh.main(base)) else None
-    code = determine_load_type(main, mode, override)
+    code = next_load_type(wh, base, mode, override)
     log.note("stage")
     with charset_rules(spark, fmt):
         rows, rejected, types = stage_files(wh, paths, base, fmt, load_time, code)

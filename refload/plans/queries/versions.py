@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from refload.functions.times import stamp_text
 from refload.operators.load import stamp_load_metadata
+from refload.operators.pages import page_version_rows
 from refload.operators.tables import VERSION, Warehouse, append_rows, create_table
 from refload.operators.versions import (
     filter_by_version,
     list_versions,
     next_version,
-    page_version_rows,
     rollback_to_version,
     row_count,
     snapshot_version,
@@ -113,16 +113,29 @@ def list_versions_query(spark: SparkSession, sf: str) -> DataFrame:
     return list_versions(yearly(spark, sf))
 
 
+PAGED = "(SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS total FROM orders)"
+PAGES = (("near", 100, 150), ("far", 5000, 1000), ("over", 70, 2_000_000_000))
+
+
 @query(
     "page_version_rows",
-    f"""SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) FROM {YEARLY} WHERE ref_data_version_id = 2) AS total_rows
-    FROM {YEARLY} WHERE ref_data_version_id = 2 ORDER BY o_orderkey LIMIT 100 OFFSET 150""",
+    f"""SELECT 'near' AS page, o_orderkey, o_custkey, o_totalprice, total AS total_rows, 100 AS page_limit, 150 AS page_offset FROM {PAGED}
+      WHERE place BETWEEN 150 AND 249 UNION ALL SELECT 'far', o_orderkey, o_custkey, o_totalprice, total, 1000, 1000 FROM {PAGED}
+      WHERE place BETWEEN 1000 AND 1999""",
 )
 def page_version_rows_query(spark: SparkSession, sf: str) -> DataFrame:
-    backup = yearly(spark, sf)
-    total = row_count(filter_by_version(backup, 2)).withColumnRenamed("row_count", "total_rows")
-    page = page_version_rows(backup, 2, 100, 150).select("o_orderkey", "o_custkey", "o_totalprice")
-    return page.withColumn("total_rows", total.scalar())
+    """Pages of a stored version of orders: a near one, a far one that asks for too much, and one behind the end."""
+    wh = new_warehouse(spark, "pages")
+    create_table(wh, wh.main("orders"), table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    snapshot_version(wh, "orders", FIRST, 2)
+    result = None
+    for name, limit, offset in PAGES:
+        page = page_version_rows(wh, "orders", 2, limit, offset)
+        told = {"page": name, "total_rows": page.total, "page_limit": page.limit, "page_offset": page.offset}
+        rows = page.rows.select("o_orderkey", "o_custkey", "o_totalprice").withColumns({k: F.lit(v) for k, v in told.items()})
+        rows = rows.withColumns({"total_rows": F.lit(page.total).cast("long")})
+        result = rows if result is None else result.unionByName(rows)
+    return result
 
 
 @query(

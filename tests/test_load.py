@@ -7,19 +7,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from refload.operators.load import align_columns, determine_load_type, load_code
+from refload.operators.load import align_columns, determine_load_type, load_code, next_load_type, noted_load_types
+from refload.operators.pages import INDEX, clamp_page, page_version_rows
 from refload.operators.registry import match_schema
 from refload.operators.tables import VERSION, create_table, replace_rows
 from refload.operators.validate import not_null, unique_key
-from refload.operators.versions import (
-    DEEP_OFFSET,
-    _deep_page,
-    clamp_page,
-    page_version_rows,
-    rollback_to_version,
-    snapshot_version,
-    stored_versions,
-)
+from refload.operators.versions import rollback_to_version, snapshot_version, stored_versions
 from refload.plans.batch_load import REGISTRY, load_files
 from refload.sources.delimited import DelimitedFormat
 
@@ -157,21 +150,59 @@ def test_load_types(spark):
     assert determine_load_type(None, "fullload", "append") == "A"
 
 
+def test_load_types_are_noted_with_the_table(spark, warehouse, write_file, monkeypatch):
+    """The next load's type comes from what loads noted; the rows are not read."""
+    wh, name = warehouse, warehouse.main("items")
+    assert next_load_type(wh, "items", "fullload") == "F"
+    load_files(wh, write_file("1.csv", "id\n1\n"), "items", CSV, "append", DAYS[0])
+    assert noted_load_types(wh, name) == {"A"}
+    monkeypatch.setattr("refload.operators.load.determine_load_type", lambda *_: pytest.fail("rows were read"))
+    assert next_load_type(wh, "items", "fullload") == "A" and next_load_type(wh, "items", "append", "full") == "F"
+    load_files(wh, write_file("2.csv", "id\n2\n"), "items", CSV, "append", DAYS[1], override="F")
+    assert noted_load_types(wh, name) == {"F"}
+    load_files(wh, write_file("3.csv", "id\n3\n"), "items", CSV, "append", DAYS[2], override="A")
+    assert noted_load_types(wh, name) == {"A", "F"} and next_load_type(wh, "items", "append") == "F"
+    rollback_to_version(wh, "items", 1)
+    assert noted_load_types(wh, name) == set() and next_load_type(wh, "items", "append") == "A"
+    monkeypatch.undo()
+    create_table(wh, wh.main("other"), spark.sql("SELECT 1 AS id, 'F' AS ref_data_loadtype"))
+    assert noted_load_types(wh, wh.main("other")) is None
+    assert next_load_type(wh, "other", "append") == "F" and noted_load_types(wh, wh.main("other")) == {"F"}
+
+
 def test_no_common_columns(spark):
     with pytest.raises(ValueError):
         align_columns(spark.range(1).toDF("a"), spark.range(1).toDF("b"))
 
 
-def test_pages(spark):
+def test_pages(spark, warehouse):
     assert clamp_page("x", "y") == (50, 0)
     assert clamp_page(0, -3) == (1, 0)
     assert clamp_page(5000, "7") == (1000, 7)
-    assert DEEP_OFFSET > 1000
-    table = spark.range(997).select((F.col("id") * 31 % 997).alias("k"), F.lit(1).alias(VERSION))
-    near = [r.k for r in page_version_rows(table, 1, 25, 480).collect()]
-    far = [r.k for r in _deep_page(table, [F.col("k").asc_nulls_first()], 25, 480).collect()]
-    assert near == far == list(range(480, 505))
-    assert _deep_page(table, [F.col("k").asc_nulls_first()], 25, 2000).collect() == []
+    wh = warehouse
+    rows = spark.range(997).select((F.col("id") * 31 % 997 - 1).alias("k"), (F.col("id") % 3).alias("v"))
+    rows = rows.union(rows.where("k < 100")).withColumn("k", F.when(F.col("k") >= 0, F.col("k")))
+    create_table(wh, wh.main("numbers"), rows)
+    snapshot_version(wh, "numbers", DAYS[0])
+    want = sorted(((r.k, r.v) for r in rows.collect()), key=lambda t: (t[0] is not None, t))
+    got, offset = [], 0
+    while offset is not None:
+        page = page_version_rows(wh, "numbers", 1, 250, offset)
+        assert (page.total, page.limit, page.offset, page.columns[:2]) == (len(want), 250, offset, ["k", "v"])
+        got += [(r.k, r.v) for r in page.rows.collect()]
+        offset = page.next_offset
+    assert got == want
+    assert page_version_rows(wh, "numbers", 1, 10, 5000).rows.collect() == []
+    noted = wh.table(wh.main(INDEX)).count()
+    plan = page.rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "_place" in plan
+    assert wh.table(wh.main(INDEX)).count() == noted and len({r.location for r in wh.table(wh.main(INDEX)).collect()}) == 1
+    replace_rows(wh, wh.main("numbers"), rows.limit(3))
+    snapshot_version(wh, "numbers", DAYS[0], 1)  # stored anew: another index
+    assert page_version_rows(wh, "numbers", 1).total == 3
+    assert [page_version_rows(wh, *a).error for a in (("no such; name", 1), ("nothing", 1), ("numbers", 9))] == [
+        "invalid_base_name", "backup_missing", "version_missing",
+    ]
 
 
 def test_match_schema_finds_every_pair(spark):
