@@ -45,10 +45,9 @@ from refload.sources.delimited import (
     data_columns,
     read_header,
     record_width,
-    reject_ragged,
     scan_delimited,
 )
-from refload.session import local_rows
+from refload.session import local_rows, materialize
 
 HISTORY = "load_history"
 ATTEMPTS = "load_attempts"
@@ -110,25 +109,45 @@ def begin_attempt(wh: Warehouse, base: str, load_time: datetime, batch: str) ->
     return False, version
 
 
+LONG = "_record_too_long"
+
+
 def write_stage(
     wh: Warehouse, base: str, records: DataFrame, fmt: DelimitedFormat, load_time: datetime, code: str
-) -> tuple[int, int, dict[str, str]]:
-    """Write the stage table; returns rows, records with too many fields, and the type of each column."""
+) -> tuple[str, DataFrame, int, int, dict[str, int]]:
+    """Write the rows of the stage: folder, shape, rows, records with too many fields, and the width of each column.
+
+    The folder also tells each row's file, and whether its record was too long; the stage table does not show these.
+    """
     columns = data_columns(records)
     seen = Observation()
     cleaned = stamp_load_metadata(clean_rows(records, columns), load_time, code)
+    cleaned = cleaned.withColumn(LONG, record_width(records, fmt, len(columns)) > len(columns))
     watched = cleaned.observe(
-        seen,
-        F.count("*").alias("rows"),
-        F.count_if(record_width(records, fmt, len(columns)) > len(columns)).alias("long"),
-        *[F.max(F.length(c)).alias(f"w{i}") for i, c in enumerate(columns)],
-    ).drop(*POSITION_COLUMNS)
+        seen, F.count("*").alias("rows"), F.count_if(LONG).alias("long"), *[F.max(F.length(c)).alias(f"w{i}") for i, c in enumerate(columns)]
+    ).drop(*[c for c in POSITION_COLUMNS if c != FILE])
     location = write_beside(wh, wh.stage(base), watched)
     found = seen.get
-    widths = local_rows(wh.spark, [(c, found[f"w{i}"]) for i, c in enumerate(columns)], "c string, w int")
-    types = {r.c: r.t for r in widths.select("c", width_bucket(F.col("w")).alias("t")).collect()}
-    register_table(wh, wh.stage(base), location, watched, types)
-    return found["rows"], found["long"], types
+    return location, watched.drop(FILE, LONG), found["rows"], found["long"], {c: found[f"w{i}"] for i, c in enumerate(columns)}
+
+
+def without_ragged(wh: Warehouse, base: str, location: str, shape: DataFrame, load_time: datetime) -> tuple[str, int, int, dict[str, int]]:
+    """Write the stage anew without the files that hold a record too long; these are noted in the error table.
+
+    Reads what was stored, not the text. Returns the folder, rows, rejected files, and the width of each column.
+    """
+    stored = wh.spark.read.parquet(location)
+    bad = stored.where(LONG).groupBy(FILE).agg(F.count("*").alias("n"))
+    message = F.format_string("%d records have more fields than the header", F.col("n"))
+    failed = materialize(bad.select(F.col(FILE).alias("file_path"), message.alias("error"), ntz(load_time).alias("failed_at")), "ragged")
+    quarantine_write(wh, failed)
+    columns = [c for c in shape.columns if c not in (LOAD_TIME, LOAD_TYPE)]
+    seen = Observation()
+    kept = stored.join(failed.select(F.col("file_path").alias(FILE)), FILE, "left_anti").select(shape.columns)
+    kept = kept.observe(seen, F.count("*").alias("rows"), *[F.max(F.length(c)).alias(f"w{i}") for i, c in enumerate(columns)])
+    again = write_beside(wh, wh.stage(base), kept)
+    found = seen.get
+    return again, found["rows"], failed.count(), {c: found[f"w{i}"] for i, c in enumerate(columns)}
 
 
 def stage_files(
@@ -136,21 +155,18 @@ def stage_files(
 ) -> tuple[int, int, dict[str, str]]:
     """Stage the files of a batch, without those that hold a record with too many fields.
 
-    Returns rows, rejected files, and the type of each column.
+    Returns rows, rejected files, and the type of each column. The text is parsed once, whatever the files hold.
     """
     header, names = read_header(wh.spark, paths if isinstance(paths, str) else paths[0], fmt)
     records = scan_delimited(wh.spark, paths, fmt, names, header)
-    rows, long, types = write_stage(wh, base, records, fmt, load_time, code)
-    if not long:
-        return rows, 0, types
-    kept, verdicts = reject_ragged(records, fmt, len(data_columns(records)))
-    failed = verdicts.where(~F.col("accepted"))
-    message = F.format_string("%d records have more fields than the header", F.col("long_records"))
-    quarantine_write(
-        wh, failed.select(F.col(FILE).alias("file_path"), message.alias("error"), ntz(load_time).alias("failed_at"))
-    )
-    rows, _, types = write_stage(wh, base, kept, fmt, load_time, code)
-    return rows, failed.count(), types
+    location, shape, rows, long, widths = write_stage(wh, base, records, fmt, load_time, code)
+    rejected = 0
+    if long:
+        location, rows, rejected, widths = without_ragged(wh, base, location, shape, load_time)
+    measured = local_rows(wh.spark, list(widths.items()), "c string, w int")
+    types = {r.c: r.t for r in measured.select("c", width_bucket(F.col("w")).alias("t")).collect()}
+    register_table(wh, wh.stage(base), location, shape, types)
+    return rows, rejected, types
 
 
 class PhaseLog:

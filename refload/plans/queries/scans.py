@@ -106,7 +106,7 @@ def skip_leading_lines_query(spark: SparkSession, sf: str) -> DataFrame:
 def drop_trailer_query(spark: SparkSession, sf: str) -> DataFrame:
     path = write_lines(table(spark, sf, "orders"), order_line(), "o_orderkey", "trailer")
     records = materialize(scan_records(spark, path, ORDER_NAMES, PLAIN), "records")
-    return drop_trailer(number_records(records)).select(*ORDER_NAMES)
+    return drop_trailer(records).select(*ORDER_NAMES)
 
 
 RAGGED_NAMES = ["l_orderkey", "l_linenumber", "l_returnflag"]

@@ -11,9 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# Bytes below which a relation of known size is broadcast by hand.
-BROADCAST_LIMIT_ROWS = 200_000
-
 
 def build_session(master: str = "local[8]", app: str = "refload", **extra: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from refload.functions.cells import field_count, parse_fields
 from refload.functions.text import sanitize_identifier
 from refload.operators.names import dedupe_header
-from refload.session import BROADCAST_LIMIT_ROWS, materialize
+from refload.session import materialize
 
 # Columns that say where a record stood; all start with an underscore and never reach a table.
 FILE, BLOCK, POSITION, RAW = "_file", "_block", "_pos", "_raw"
@@ -154,14 +154,6 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in POSITION_COLUMNS]
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
-    """Mark a materialised relation for broadcast if its row count, read from file footers, is small.
-
-    Beyond the limit the join shuffles and adaptive execution takes care of skew.
-    """
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def number_records(records: DataFrame) -> DataFrame:
     """Add ``_record`` (0 for the first of its file) and ``_records`` (how many the file has).
 
@@ -178,7 +170,7 @@ def number_records(records: DataFrame) -> DataFrame:
         .withColumn("_records", F.sum("_count").over(by_file))
         .drop("_count")
     )
-    joined = records.join(bounded_broadcast(materialize(blocks, "blocks")), [FILE, BLOCK])
+    joined = records.join(materialize(blocks, "blocks"), [FILE, BLOCK])
     return joined.withColumn("_record", F.col(POSITION) - F.col("_first") + F.col("_before")).drop("_first", "_before")
 
 
@@ -187,9 +179,18 @@ def skip_leading_lines(numbered: DataFrame, lines: int) -> DataFrame:
     return numbered.where(F.col("_record") >= lines)
 
 
-def drop_trailer(numbered: DataFrame) -> DataFrame:
-    """Drop the last record of each file."""
-    return numbered.where(F.col("_record") < F.col("_records") - 1)
+def last_records(records: DataFrame) -> DataFrame:
+    """File and position of the last record of each file: one number a block, then one a file."""
+    blocks = records.groupBy(FILE, BLOCK).agg(F.max(POSITION).alias(POSITION))
+    return blocks.groupBy(FILE).agg(F.max_by(POSITION, BLOCK).alias(POSITION))
+
+
+def drop_trailer(records: DataFrame) -> DataFrame:
+    """Drop the last record of each file. ``records`` must be materialised, like those that are numbered.
+
+    What leaves is one row a file, so adaptive execution sends it to the tasks; the records are not numbered or moved.
+    """
+    return records.join(last_records(records), [FILE, POSITION], "left_anti")
 
 
 def refuse_other_headers(numbered: DataFrame, fmt: DelimitedFormat, names: list[str], header: list[str]) -> None:
@@ -223,14 +224,13 @@ def scan_delimited(
     compare = must_compare(fmt, header)
     if fmt.skip_lines == 0 and not fmt.has_trailer and not compare:
         return records
-    numbered = number_records(materialize(records, "records"))
+    stored = materialize(records, "records")
+    kept = drop_trailer(stored) if fmt.has_trailer else stored
     if compare:
-        refuse_other_headers(numbered, fmt, names, header)
+        refuse_other_headers(number_records(stored), fmt, names, header)
     if fmt.skip_lines or compare:
-        numbered = skip_leading_lines(numbered, fmt.skip_lines + int(fmt.has_header))
-    if fmt.has_trailer:
-        numbered = drop_trailer(numbered)
-    return numbered.drop("_record", "_records")
+        kept = skip_leading_lines(number_records(kept), fmt.skip_lines + int(fmt.has_header)).drop("_record", "_records")
+    return kept
 
 
 def record_width(records: DataFrame, fmt: DelimitedFormat, expected: int) -> Column:
@@ -262,8 +262,7 @@ def reject_ragged(records: DataFrame, fmt: DelimitedFormat, expected: int) -> tu
     """
     stored = materialize(records, "records")
     verdicts = materialize(file_verdicts(stored, fmt, expected), "verdicts")
-    rejected = verdicts.where(~F.col("accepted")).select(FILE)
-    return stored.join(bounded_broadcast(rejected), FILE, "left_anti"), verdicts
+    return stored.join(verdicts.where(~F.col("accepted")).select(FILE), FILE, "left_anti"), verdicts
 
 
 def write_delimited(df: DataFrame, path: str, fmt: DelimitedFormat) -> None:

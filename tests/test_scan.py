@@ -9,7 +9,6 @@ from refload.session import materialize
 from refload.sources.delimited import (
     FILE,
     DelimitedFormat,
-    bounded_broadcast,
     data_columns,
     drop_trailer,
     header_names,
@@ -67,7 +66,7 @@ def test_quoted_line_breaks(spark, write_file):
 
 
 def test_numbering_over_many_splits(spark, write_file):
-    """Files cut into many blocks are numbered as if read from the top, by broadcast and by shuffle."""
+    """Files cut into many blocks are numbered as if read from the top."""
     files = {f"f{i}.csv": [f"{i}-{j}" for j in range(200 + 37 * i)] for i in range(4)}
     folder = None
     for name, lines in files.items():
@@ -84,12 +83,9 @@ def test_numbering_over_many_splits(spark, write_file):
     assert all(r["_records"] == len(files[r.f]) for r in rows)
     kept = {r.x for r in drop_trailer(skip_leading_lines(numbered, 2)).select("x").collect()}
     assert kept == {x for xs in files.values() for x in xs[2:-1]}
-
-
-def test_broadcast_only_when_small(spark):
-    few = spark.range(10)
-    assert "ResolvedHint" in bounded_broadcast(few)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in bounded_broadcast(few, limit=5)._jdf.queryExecution().analyzed().toString()
+    shorter = drop_trailer(records)
+    assert sorted(r.x for r in shorter.collect()) == sorted(x for xs in files.values() for x in xs[:-1])
+    assert "Window" not in shorter._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ragged_file_fails_alone(spark, write_file):
