@@ -12,6 +12,7 @@ import re
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 LOAD_TIME, LOAD_TYPE, VERSION = "ref_data_loadtime", "ref_data_loadtype", "ref_data_version_id"
 LOAD_COLUMNS = {LOAD_TIME: "datetime", LOAD_TYPE: "varchar(255)"}
 STAGE_SUFFIX, BACKUP_SUFFIX = "_stage", "_backup"
+#: Option of tables whose rows may lie in folders within their folder.
+NESTED = "recursiveFileLookup"
 BASE_NAME = re.compile(r"^[A-Za-z0-9_]+$")
 
 
@@ -77,7 +80,7 @@ def register_table(
 ) -> None:
     """Make a folder the table of this name; an older table of that name is dropped (its folder stays)."""
     wh.spark.sql(f"DROP TABLE IF EXISTS {table}")
-    wh.spark.catalog.createTable(table, path=location, source="parquet", schema=declared_schema(df, declared))
+    wh.spark.catalog.createTable(table, path=location, source="parquet", schema=declared_schema(df, declared), **{NESTED: "true"})
 
 
 def create_table(wh: Warehouse, table: str, df: DataFrame, declared: dict[str, str] | None = None) -> None:
@@ -85,16 +88,34 @@ def create_table(wh: Warehouse, table: str, df: DataFrame, declared: dict[str, s
     register_table(wh, table, write_beside(wh, table, df), df, declared)
 
 
+def ensure_table(wh: Warehouse, table: str, empty: DataFrame) -> None:
+    """Make a table without rows if there is none. Of several that try at once one succeeds, and all go on with its table."""
+    if wh.exists(table):
+        return
+    location = write_beside(wh, table, empty)
+    try:
+        wh.spark.catalog.createTable(table, path=location, source="parquet", schema=declared_schema(empty), **{NESTED: "true"})
+    except AnalysisException as problem:
+        if problem.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+            raise
+
+
 def point_table(wh: Warehouse, table: str, location: str) -> None:
     """Have a table show another folder."""
     wh.spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
     wh.spark.catalog.refreshTable(table)
 
 
+def table_details(wh: Warehouse, table: str) -> dict[str, str]:
+    """What the catalog says of a table beside its columns."""
+    rows = wh.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
+    start = next(i for i, r in enumerate(rows) if r.col_name.startswith("# Detailed"))
+    return {r.col_name: r.data_type for r in rows[start + 1 :]}
+
+
 def table_location(wh: Warehouse, table: str) -> str:
     """The folder that a table shows."""
-    rows = wh.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'")
-    return rows.first()["data_type"]
+    return table_details(wh, table)["Location"]
 
 
 def replace_rows(wh: Warehouse, table: str, df: DataFrame) -> None:
@@ -103,8 +124,17 @@ def replace_rows(wh: Warehouse, table: str, df: DataFrame) -> None:
 
 
 def append_rows(wh: Warehouse, table: str, df: DataFrame) -> None:
-    """Add rows to a table, keeping its columns."""
-    align_to(df, wh.table(table)).write.insertInto(table)
+    """Add rows to a table, keeping its columns.
+
+    The rows go to a folder of their own within the table's, so that several appends at once do not share a job folder,
+    and a lost one leaves nothing that counts. A table that does not look into folders is added to as usual.
+    """
+    rows, details = align_to(df, wh.table(table)), table_details(wh, table)
+    if f"{NESTED}=true" in details.get("Storage Properties", ""):
+        rows.write.parquet(os.path.join(details["Location"], uuid.uuid4().hex[:12]))
+        wh.spark.catalog.refreshTable(table)
+    else:
+        rows.write.insertInto(table)
 
 
 def align_to(df: DataFrame, target: DataFrame) -> DataFrame:

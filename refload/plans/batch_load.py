@@ -24,13 +24,14 @@ from refload.operators.load import (
     quarantine_write,
     stamp_load_metadata,
 )
+from refload.operators.turns import Turn, turn
 from refload.operators.registry import REGISTRY_COLUMNS, registry_row, upsert_registry
 from refload.operators.tables import (
     LOAD_TIME,
     LOAD_TYPE,
     Warehouse,
     append_rows,
-    create_table,
+    ensure_table,
     register_table,
     replace_rows,
     write_beside,
@@ -50,9 +51,7 @@ from refload.sources.delimited import (
 from refload.session import local_rows, materialize
 
 HISTORY = "load_history"
-ATTEMPTS = "load_attempts"
 REGISTRY = "load_registry"
-ATTEMPT_SCHEMA = "source_table string, load_time timestamp_ntz, batch string, version int"
 LOG = "load_log"
 LOG_SCHEMA = "source_table string, load_time timestamp_ntz, phase string, at timestamp_ntz, rows long, message string"
 HISTORY_SCHEMA = "source_table string, load_time timestamp_ntz, load_type string, row_count long, version int, batch string"
@@ -73,8 +72,7 @@ class LoadResult:
 
 def log_table(wh: Warehouse, name: str, schema: str, base: str) -> DataFrame:
     """Rows about one table in one of the small tables that loads write to."""
-    if not wh.exists(wh.main(name)):
-        create_table(wh, wh.main(name), local_rows(wh.spark, [], schema))
+    ensure_table(wh, wh.main(name), local_rows(wh.spark, [], schema))
     return wh.table(wh.main(name)).where(F.col("source_table") == base)
 
 
@@ -90,23 +88,11 @@ def batch_key(wh: Warehouse, paths: str | list[str]) -> str:
     return f"{found.n}-{found.x & (2**64 - 1):016x}"
 
 
-def begin_attempt(wh: Warehouse, base: str, load_time: datetime, batch: str) -> tuple[bool, int]:
-    """Note that a batch is about to reach the main table, with the version it will be stored as.
-
-    True with the version noted before if the batch comes again; only then has the main table to be searched
-    for its rows, and only then may a version be written over. A new version is above all that loads have noted
-    and all that are stored, by whatever way.
-    """
-    noted = log_table(wh, ATTEMPTS, ATTEMPT_SCHEMA, base)
-    mine = noted.where((F.col("load_time") == ntz(load_time)) & (F.col("batch") == batch)).agg(F.max("version")).first()[0]
-    if mine is not None:
-        return True, mine
-    used = [r[0] or 0 for log in (noted, past_loads(wh, base)) for r in log.agg(F.max("version")).collect()]
+def last_version(wh: Warehouse, base: str) -> int:
+    """The highest version that a load has noted or that is stored, by whatever way."""
+    noted = past_loads(wh, base).agg(F.max("version")).first()[0] or 0
     stored = stored_versions(wh, base) if wh.exists(wh.backup(base)) else []
-    version = max([*used, *stored], default=0) + 1
-    row = [(base, load_time.isoformat(sep=" "), batch, version)]
-    append_rows(wh, wh.main(ATTEMPTS), local_rows(wh.spark, row, ATTEMPT_SCHEMA.replace("timestamp_ntz", "string")))
-    return False, version
+    return max([noted, *stored])
 
 
 LONG = "_record_too_long"
@@ -150,12 +136,21 @@ def without_ragged(wh: Warehouse, base: str, location: str, shape: DataFrame, lo
     return again, found["rows"], failed.count(), {c: found[f"w{i}"] for i, c in enumerate(columns)}
 
 
-def stage_files(
-    wh: Warehouse, paths: str | list[str], base: str, fmt: DelimitedFormat, load_time: datetime, code: str
-) -> tuple[int, int, dict[str, str]]:
-    """Stage the files of a batch, without those that hold a record with too many fields.
+@dataclass(frozen=True)
+class Staged:
+    """Rows of a batch in a folder that no table shows yet."""
+
+    location: str
+    shape: DataFrame
+    rows: int
+    rejected: int
+    types: dict[str, str]
+
+
+def stage_files(wh: Warehouse, paths: str | list[str], base: str, fmt: DelimitedFormat, load_time: datetime, code: str) -> Staged:
+    """Write the files of a batch, without those that hold a record with too many fields, to a folder of the stage's.
 
-    Returns rows, rejected files, and the type of each column. The text is parsed once, whatever the files hold.
+    The text is parsed once, whatever the files hold. Several batches of a table may do this at once.
     """
     header, names = read_header(wh.spark, paths if isinstance(paths, str) else paths[0], fmt)
     records = scan_delimited(wh.spark, paths, fmt, names, header)
@@ -165,8 +160,7 @@ def stage_files(
         location, rows, rejected, widths = without_ragged(wh, base, location, shape, load_time)
     measured = local_rows(wh.spark, list(widths.items()), "c string, w int")
     types = {r.c: r.t for r in measured.select("c", width_bucket(F.col("w")).alias("t")).collect()}
-    register_table(wh, wh.stage(base), location, shape, types)
-    return rows, rejected, types
+    return Staged(location, shape, rows, rejected, types)
 
 
 class PhaseLog:
@@ -223,22 +217,37 @@ def _load_files(
     override: str | None,
     log: PhaseLog,
 ) -> LoadResult:
-    spark = wh.spark
     batch = batch_key(wh, paths)
     timed = past_loads(wh, base).where(F.col("load_time") == ntz(load_time))
-    done = timed.where(F.col("batch") == batch).first()
-    if done:
-        return LoadResult(base, "already_loaded", done.load_type, done.row_count, done.version)
 
-    main = wh.table(wh.main(base)) if wh.exists(wh.main(base)) else None
+    def loaded() -> LoadResult | None:
+        done = wh.table(wh.main(HISTORY)).where((F.col("source_table") == base) & (F.col("load_time") == ntz(load_time)) & (F.col("batch") == batch))
+        row = done.first()
+        return LoadResult(base, "already_loaded", row.load_type, row.row_count, row.version) if row else None
+
+    if done := loaded():
+        return done
     code = next_load_type(wh, base, mode, override)
     log.note("stage")
-    with charset_rules(spark, fmt):
-        rows, rejected, types = stage_files(wh, paths, base, fmt, load_time, code)
-    log.note("stage", rows)
-    if rows == 0:
-        return LoadResult(base, "empty", code, 0, rejected_files=rejected)
-
+    with charset_rules(wh.spark, fmt):
+        staged = stage_files(wh, paths, base, fmt, load_time, code)
+    log.note("stage", staged.rows)
+    if staged.rows == 0:
+        return LoadResult(base, "empty", code, 0, rejected_files=staged.rejected)
+    # From here on one load of a table at a time, in the order of the versions they will be.
+    with turn(wh, base, f"{batch}@{load_time.isoformat()}", lambda: last_version(wh, base)) as mine:
+        if done := loaded():
+            return done
+        return _publish(wh, base, batch, staged, code, load_time, rules, log, mine, timed)
+
+
+def _publish(
+    wh: Warehouse, base: str, batch: str, staged: Staged, code: str, load_time: datetime,
+    rules: list[Rule] | Callable[[DataFrame], list[Rule]], log: PhaseLog, mine: Turn, timed: DataFrame,
+) -> LoadResult:
+    """Show the stage, check it, move it to the main table, store the version and note the load."""
+    rows, types = staged.rows, staged.types
+    register_table(wh, wh.stage(base), staged.location, staged.shape, types)
     stage = wh.table(wh.stage(base))
     checks = rules(stage) if callable(rules) else list(rules)
     validation = None
@@ -248,25 +257,24 @@ def _load_files(
         validation = validation_json(issues).first()["validation"]
         log.note("validate", rows, validation)
         if not validation.startswith('{"validation_result":0'):
-            return LoadResult(base, "validation_failed", code, rows, None, rejected, validation)
+            return LoadResult(base, "validation_failed", code, rows, None, staged.rejected, validation)
 
-    if main is not None:
+    if wh.exists(wh.main(base)):
         ensure_metadata_columns(wh, wh.main(base))
         if not has_columns(wh, wh.main(base), types):
             sync_columns_add_only(wh, wh.main(base), types)
     log.note("promote")
-    again, version = begin_attempt(wh, base, load_time, batch)
-    earlier = timed.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n")).first()["n"] if again else 0
-    promote(wh, base, code, load_time, again, earlier)
+    earlier = timed.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n")).first()["n"] if mine.again else 0
+    promote(wh, base, code, load_time, mine.again, earlier)
     log.note("promote", rows)
     log.note("snapshot")
     ensure_backup(wh, base, main_types(wh, base), load_time)
-    snapshot_version(wh, base, load_time, version)
+    snapshot_version(wh, base, load_time, mine.number)
     log.note("snapshot", rows)
     register(wh, base)
-    done_now = [(base, load_time.isoformat(sep=" "), code, rows, version, batch)]
-    append_rows(wh, wh.main(HISTORY), local_rows(spark, done_now, HISTORY_SCHEMA.replace("timestamp_ntz", "string")))
-    return LoadResult(base, "success", code, rows, version, rejected, validation)
+    done_now = [(base, load_time.isoformat(sep=" "), code, rows, mine.number, batch)]
+    append_rows(wh, wh.main(HISTORY), local_rows(wh.spark, done_now, HISTORY_SCHEMA.replace("timestamp_ntz", "string")))
+    return LoadResult(base, "success", code, rows, mine.number, staged.rejected, validation)
 
 
 def main_types(wh: Warehouse, base: str) -> dict[str, str]:
@@ -283,9 +291,15 @@ def register(wh: Warehouse, base: str) -> None:
     """Have the registry name this table with its real schema; an entry that says so already stays."""
     spark, name = wh.spark, wh.main(REGISTRY)
     incoming = spark.range(1).select(*registry_row(F.lit(wh.root), F.lit(wh.data_schema), F.lit(base)))
-    if not wh.exists(name):
-        create_table(wh, name, incoming)
-        return
-    merged = upsert_registry(wh.table(name), incoming, "ref_name", REGISTRY_COLUMNS)
-    if not merged.where(F.col("action").isin("insert", "update")).isEmpty():
-        replace_rows(wh, name, merged.drop("action"))
+    ensure_table(wh, name, incoming.limit(0))
+
+    def merged() -> DataFrame:
+        return upsert_registry(wh.table(name), incoming, "ref_name", REGISTRY_COLUMNS)
+
+    def news() -> bool:
+        return not merged().where(F.col("action").isin("insert", "update")).isEmpty()
+
+    if news():
+        with turn(wh, REGISTRY, base):  # loads of other tables write here too
+            if news():
+                replace_rows(wh, name, merged().drop("action"))
