@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refload.functions.errors import classify_error, suggest_fix
+from refload.functions.text import file_key
 from refload.operators.evolve import describe_table
 from refload.operators.tables import Warehouse
 from refload.operators.validate import validation_json
@@ -91,3 +92,27 @@ def collect_load_report(wh: Warehouse, base: str, issues: DataFrame, registry: D
 def error_report(errors: DataFrame, message: str) -> DataFrame:
     """Failed loads with the tags of their error and the advice for it."""
     return errors.withColumns({"tags": classify_error(F.col(message)), "advice": suggest_fix(F.col(message))})
+
+
+def failed_file_report(errors: DataFrame, profiles: DataFrame, message: str, path: str = "file_path", at: str | None = None) -> DataFrame:
+    """Failed loads with what is known of their file: format, columns, rows, size, first fields, beside tags and advice.
+
+    ``profiles`` is the registry of profiled files. A file is described by its newest profile, with ``at`` (the time of the failure)
+    by the newest not after it. A file that was never profiled has a row all the same, with ``profiled`` false. Profiles are cut to
+    one a failure by an aggregate before they meet the report.
+    """
+    order = [c for c in ("modificationTime", "trigger") if c in profiles.columns]
+    told = F.struct(
+        F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modified"), F.col("estimated_columns").alias("detected_columns"),
+        F.col("sample_rows").alias("row_count"), F.get("sample_data", F.lit(0)).alias("column_names"), "column_delimiter", "text_qualifier",
+        "encoding", "has_header", "has_trailer", F.col("error").alias("read_error"),
+    )
+    found = profiles.select(file_key(F.col("path")).alias("_key"), told.alias("_told"), F.struct(*order).alias("_order"))
+    failed = errors.withColumns({"_key": file_key(F.col(path)), "_at": F.col(at).cast("timestamp") if at else F.lit(None).cast("timestamp")})
+    met = failed.select("_key", "_at").distinct().join(found, "_key")
+    met = met.where(F.col("_at").isNull() | (F.col("_order.modificationTime") <= F.col("_at")))
+    newest = met.groupBy("_key", "_at").agg(F.max_by("_told", "_order").alias("_told"))
+    newest = newest.select(F.col("_key").alias("_of"), F.col("_at").alias("_until"), "_told")
+    joined = failed.join(newest, (F.col("_key") == F.col("_of")) & F.col("_at").eqNullSafe(F.col("_until")), "left")
+    joined = joined.select(*errors.columns, F.col("_told").isNotNull().alias("profiled"), "_told.*")
+    return error_report(joined, message)

@@ -68,6 +68,7 @@ class LoadResult:
     version: int | None = None
     rejected_files: int = 0
     validation: str | None = None
+    types: dict[str, str] | None = None
 
 
 def log_table(wh: Warehouse, name: str, schema: str, base: str) -> DataFrame:
@@ -274,7 +275,7 @@ def _publish(
     register(wh, base)
     done_now = [(base, load_time.isoformat(sep=" "), code, rows, mine.number, batch)]
     append_rows(wh, wh.main(HISTORY), local_rows(wh.spark, done_now, HISTORY_SCHEMA.replace("timestamp_ntz", "string")))
-    return LoadResult(base, "success", code, rows, mine.number, staged.rejected, validation)
+    return LoadResult(base, "success", code, rows, mine.number, staged.rejected, validation, types)
 
 
 def main_types(wh: Warehouse, base: str) -> dict[str, str]:

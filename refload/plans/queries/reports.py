@@ -14,6 +14,7 @@ from refload.operators.report import (
     backup_stats,
     collect_load_report,
     error_report,
+    failed_file_report,
     load_throughput,
     recent_logs,
     sample_rows,
@@ -25,6 +26,8 @@ from refload.plans.catalogue import query, table
 from refload.plans.queries.names import DEFAULT_ADVICE, MESSAGE_SQL, message
 from refload.plans.queries.scans import new_warehouse
 from refload.plans.queries.sqltext import sql_stamp
+from refload.session import materialize, new_folder
+from refload.sources.profiles import file_formats
 
 AT = datetime(2024, 1, 31, 12, 0)
 
@@ -132,3 +135,40 @@ def error_report_query(spark: SparkSession, sf: str) -> DataFrame:
         F.array_contains("tags", "database").alias("is_database"),
         F.get("advice", F.lit(0)).alias("first_step"),
     )
+
+
+FILES = 4
+
+
+@query(
+    "failed_file_report",
+    f"""WITH f AS (SELECT o_orderkey % {FILES} AS file, count(*) AS n FROM orders GROUP BY 1)
+    SELECT c_custkey, c_custkey % {FILES + 1} AS file, f.n IS NOT NULL AS profiled, CASE WHEN f.n IS NULL THEN '' ELSE ';' END AS column_delimiter,
+      CASE WHEN f.n IS NULL THEN '' ELSE 'order_id,priority,status' END AS column_names, CAST(coalesce(f.n + 3, -1) AS BIGINT) AS row_count,
+      'Check for duplicate keys in the data' AS first_step FROM customer LEFT JOIN f ON f.file = c_custkey % {FILES + 1}""",
+)
+def failed_file_report_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders in files that are dropped and profiled; each customer is a failed load of one of them, or of a file never seen."""
+    orders = table(spark, sf, "orders").withColumn("file", F.col("o_orderkey") % FILES)
+    row = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), "o_orderstatus")
+    lines = orders.select("file", F.col("o_orderkey").alias("k"), row.alias("value"))
+    total = F.concat(F.lit("TOTAL "), F.count("*").cast("string")).alias("total")
+    places = F.array(
+        F.struct(F.lit(-1).cast("long").alias("k"), F.lit("order_id;priority;status").alias("value")),
+        F.struct(F.lit(2**62).alias("k"), F.col("total").alias("value")),
+    )
+    lines = lines.unionByName(orders.groupBy("file").agg(total).select("file", F.inline(places)))
+    folder = new_folder(spark, "failed")
+    lines.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(folder)
+    listing = spark.read.format("binaryFile").load(f"{folder}/*/*.txt").select("path", "modificationTime", "length")
+    profiles = materialize(file_formats(spark, listing), "failed-profiles")
+    number = F.regexp_extract("path", r"file=(\d+)", 1).cast("long")
+    paths = profiles.select(number.alias("file"), F.col("path").alias("file_path"))
+    failed = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % (FILES + 1)).alias("file")).join(paths, "file", "left")
+    failed = failed.withColumns({"file_path": F.coalesce("file_path", F.lit("/nowhere.csv")), "message": F.lit("duplicate key in batch")})
+    report = failed_file_report(failed, profiles, "message")
+    return report.select(
+        "c_custkey", "file", "profiled", F.coalesce("column_delimiter", F.lit("")).alias("column_delimiter"),
+        F.coalesce(F.array_join("column_names", ","), F.lit("")).alias("column_names"), F.coalesce("row_count", F.lit(-1)).cast("long").alias("row_count"),
+        F.get("advice", F.lit(0)).alias("first_step"),
+    )

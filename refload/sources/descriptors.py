@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refload.functions.text import is_blank
+from refload.functions.text import base_name, file_key, is_blank
 
 # The layout of a descriptor and its constants.
 DESCRIPTOR_SCHEMA = (
@@ -84,3 +84,21 @@ def persist_inferred_schema(descriptors: DataFrame, widths: DataFrame, key: str,
     parsed = descriptors.join(types, key, "left").withColumn("_doc", parse_descriptor(F.col(document)))
     merged = F.col("_doc").withField("inferred_schema", F.coalesce("_types", "_doc.inferred_schema"))
     return parsed.withColumn(document, F.to_json(merged, {"ignoreNullFields": "false"})).drop("_types", "_doc")
+
+
+DESCRIPTORS = "format_descriptors"
+DESCRIPTOR_ROWS = "path string, at string, document string"
+
+
+def describe_profiles(profiles: DataFrame, at: Column) -> DataFrame:
+    """(path, at, document): the descriptors of profiled files."""
+    document = write_format_descriptor(
+        base_name(F.col("path")), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss"), F.col("header_delimiter"), F.col("column_delimiter"),
+        F.col("row_delimiter"), F.col("text_qualifier"), F.col("skip_lines"), F.col("trailer_line"), F.col("encoding"),
+    )
+    return profiles.select(file_key(F.col("path")).alias("path"), at.alias("at"), document.alias("document"))
+
+
+def newest_descriptors(stored: DataFrame) -> DataFrame:
+    """The last descriptor of each file."""
+    return stored.groupBy("path").agg(F.max_by("document", "at").alias("document"))

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from refload.functions.text import base_name, table_base_name
+from refload.functions.text import base_name, file_key, table_base_name
 from refload.operators.tables import Warehouse
 from refload.operators.validate import Rule
 from refload.operators.workflow import COMPLETED, ERROR, canonical_load_config, validate_load_config
 from refload.plans.batch_load import load_files
 from refload.session import local_rows, materialize
 from refload.sources.delimited import DelimitedFormat
-from refload.streaming.events import EVENT_SCHEMA, EVENTS, append_events, file_key
+from refload.sources.descriptors import DESCRIPTORS, newest_descriptors, persist_inferred_schema
+from refload.streaming.events import EVENT_SCHEMA, EVENTS, append_events
 
 # What an approval says of its file; what it leaves open is taken from the format found for the file, else a default.
 FORMAT_COLUMNS = {
@@ -166,11 +167,25 @@ def _load_group(wh: Warehouse, group, rules: Callable[[str], list[Rule]] | None)
         if not data_problem(problem):
             raise
         return ERROR, str(problem), 0
+    if result.types:
+        note_inferred(wh, files, result.types)
     if result.status in ("success", "already_loaded"):
         return COMPLETED, None, result.rows
     return ERROR, result.validation or result.status, 0
 
 
+def note_inferred(wh: Warehouse, files: list[str], types: dict[str, str]) -> None:
+    """Put the column types a load found into the descriptors of its files, as newer rows; files without one get none."""
+    name = wh.main(DESCRIPTORS)
+    if not wh.exists(name):
+        return
+    loaded = local_rows(wh.spark, [(f,) for f in files], "f string").select(file_key(F.col("f")).alias("path")).distinct()
+    stored = newest_descriptors(wh.table(name).join(loaded, "path", "left_semi"))
+    columns = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type")) for c, t in types.items()]))
+    told = persist_inferred_schema(stored, stored.select("path", columns), "path", "document")
+    append_events(wh, told.select("path", F.lit(datetime.now().isoformat(sep=" ", timespec="milliseconds")).alias("at"), "document"), DESCRIPTORS)
+
+
 def stream_ingest(
     wh: Warehouse,
     approvals: DataFrame,

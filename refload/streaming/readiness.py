@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from refload.functions.text import file_key
 from refload.operators.tables import Warehouse
 from refload.operators.workflow import COMPLETED, ERROR, GENERATED, current_workflows, skip_in_flight
 from refload.session import materialize
+from refload.sources.descriptors import DESCRIPTORS, describe_profiles
 from refload.sources.profiles import file_formats
-from refload.streaming.events import EVENTS, append_events, file_key
+from refload.streaming.events import EVENTS, append_events
 
 # Equal looks after which a file is ready, and milliseconds after which an unseen one is forgotten.
 LOOKS = 6
@@ -137,10 +139,12 @@ def profile_ready(wh: Warehouse, ready: DataFrame, batch_id: int, registry: str)
     formats = file_formats(spark, listing)
     formats.write.mode("overwrite").parquet(f"{registry}/trigger={batch_id}")
     found = spark.read.parquet(f"{registry}/trigger={batch_id}")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS")
+    append_events(wh, describe_profiles(found, now), DESCRIPTORS)
     key = file_key(F.col("path"))
     opened = found.select(
         F.concat(F.lit("wf_"), F.lower(F.hex(F.xxhash64(key, "modificationTime", F.lit(batch_id))))).alias("workflow_id"),
-        F.lit(GENERATED).alias("status"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS").alias("at"),
+        F.lit(GENERATED).alias("status"), now.alias("at"),
         F.lit(batch_id).cast("long").alias("seq"), F.col("error").alias("error_message"), F.lit(None).cast("long").alias("row_count"),
         key.alias("file_path"), F.lit(None).cast("string").alias("processed_by"), F.lit(None).cast("string").alias("load_time"),
     )

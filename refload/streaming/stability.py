@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -26,25 +27,24 @@ class StabilityCounter(StatefulProcessor):
         self.seen = handle.getValueState("seen", STATE, ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Scans of one file arrive in batches; within a batch they are put in order by number.
+        """Scans of one file arrive in batches, in any order; three numbers of each are held and put in order by scan.
 
         The count of a run of equal looks is its place in the run, plus what the state holds for the first run.
         """
-        scans = pd.concat(list(rows)).sort_values("scan_id", kind="stable")
-        look = scans[["size", "mtime"]]
-        changed = (look != look.shift()).any(axis=1)
-        run = changed.cumsum()
-        count = scans.groupby(run.to_numpy()).cumcount() + 1
+        parts = [(f["scan_id"].to_numpy(np.int64), f["size"].to_numpy(float), f["mtime"].to_numpy(np.int64)) for f in rows]
+        scan, size, mtime = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(scan, kind="stable")
+        scan, size, mtime = scan[order], size[order], mtime[order]
+        changed = np.concatenate(([True], (size[1:] != size[:-1]) | (mtime[1:] != mtime[:-1])))
+        places = np.arange(len(scan))
+        starts = np.maximum.accumulate(np.where(changed, places, 0))
+        count = places - starts + 1
         if self.seen.exists():
-            size, mtime, before = self.seen.get()
-            first = scans.iloc[0]
-            if first["size"] == size and first["mtime"] == mtime:
-                count = count + (run == 1) * before
-        last = scans.iloc[-1]
-        self.seen.update((float(last["size"]), int(last["mtime"]), int(count.iloc[-1])))
-        yield pd.DataFrame(
-            {"path": key[0], "scan_id": scans["scan_id"].astype("int64"), "stable_count": count.astype("int64")}
-        )
+            old_size, old_mtime, before = self.seen.get()
+            if size[0] == old_size and mtime[0] == old_mtime:
+                count = count + (starts == 0) * before
+        self.seen.update((float(size[-1]), int(mtime[-1]), int(count[-1])))
+        yield pd.DataFrame({"path": key[0], "scan_id": scan, "stable_count": count.astype(np.int64)})
 
     def close(self) -> None:
         pass

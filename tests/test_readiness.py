@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from refload.operators.workflow import current_workflows
 from refload.session import local_rows, new_folder
 from refload.sources.delimited import DelimitedFormat
+from refload.sources.descriptors import DESCRIPTORS, newest_descriptors, parse_descriptor
 from refload.sources.listing import folder_looks, listed
 from refload.streaming import ingest
 from refload.streaming.events import EVENT_SCHEMA, EVENTS, append_events
@@ -146,8 +147,15 @@ def test_ready_files_are_profiled_once_and_open_a_workflow(spark, warehouse, tmp
     assert [(r.path.rsplit("/", 1)[1], r.column_delimiter) for r in found] == [("a.csv", ";")]
     flows = current_workflows(full_events(warehouse)).collect()
     assert [(r.status, r.file_path) for r in flows] == [("excel_generated", os.fspath(folder / "a.csv"))]
+    described = parse_descriptor(F.col("document"))
+    documents = lambda: newest_descriptors(warehouse.table(warehouse.main(DESCRIPTORS))).select(described.alias("d")).collect()
+    assert [(r.d.csv_format.column_delimiter, r.d.inferred_schema) for r in documents()] == [(";", None)]
+    path = os.fspath(folder / "a.csv")
+    ingest.load_approved(warehouse, approve(spark, (flows[0].workflow_id, path, "items", None, "2024-01-31 12:00:00", None)), 0, registry)
+    assert [r.d.inferred_schema for r in documents()] == [{"id": "varchar(1024)", "v": "varchar(1024)"}]
     ready = local_rows(spark, [(os.fspath(folder / "a.csv"), 14, 0, 9, 6)], "path string, size long, mtime long, scan_id long, looks long")
-    profile_ready(warehouse, ready, 99, registry)  # asked for again while its workflow is open
+    append_events(warehouse, local_rows(spark, [("w9", "approved", "2999-01-01", 1, None, 0, path, None, None)], EVENT_SCHEMA))
+    profile_ready(warehouse, ready, 99, registry)  # asked for again while a workflow is open
     assert spark.read.parquet(registry).count() == 1
 
 
