@@ -121,6 +121,24 @@ def curriculum(
     )
 
 
+def in_order(plan: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """A curriculum whose ``passes`` also tell their place in the whole training: ``rank`` among all passes, ``start`` in words.
+
+    All passes of all documents are range-sorted by position and added up by range; equal positions come in the order of
+    ids, checksums and passes. Rows, not ids, are told apart.
+    """
+    stored = materialize(plan.withColumn("_row", F.monotonically_increasing_id()), "curriculum-rows")
+    passes = stored.select("_row", F.col(id_column).alias("id"), "text_crc32", F.explode("passes").alias("p")).select("_row", "id", "text_crc32", "p.*")
+    passes = materialize(passes, "curriculum-passes")
+    order = ["position", "id", "text_crc32", "pass", "_row"]
+    placed = running_totals(passes, [], order, ["words"], "curriculum-sorted")
+    told = F.struct("pass", "words", "position", "rank", F.col("words_before").alias("start"))
+    sorted_ = placed.groupBy("_row").agg(F.array_sort(F.collect_list(told)).alias("_passes"))
+    joined = stored.join(sorted_, "_row", "left")
+    empty = F.array().cast(sorted_.schema["_passes"].dataType)
+    return joined.withColumn("passes", F.coalesce("_passes", empty)).drop("_passes", "_row")
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The documents as the curriculum reads them, in its order: one row a pass, with the columns of ``docs``.
 

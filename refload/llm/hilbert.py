@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,24 @@ BITS = 8
 ACCURACY = 10_000
 
 
-def ordered_code(df: DataFrame, column: str) -> Column:
-    """A number in the order of the column: numbers and times as they are, strings by their first six bytes."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(column).cast("double")
+def value_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(value, rank): the distinct values of a column in their order, numbered by range; nulls have none.
+
+    A string is placed by the whole of it, however much it shares with others at its start.
+    """
+    values = materialize(df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct(), "hilbert-values")
+    return running_totals(values, [], ["value"], [], "hilbert-value-order").select("value", F.col("rank").cast("double").alias("rank"))
+
+
+def with_codes(facts: DataFrame, codes: list[str]) -> DataFrame:
+    """Columns ``codes`` as numbers in the order of their values: numbers and times as they are, strings by rank."""
+    for code in codes:
+        if isinstance(facts.schema[code].dataType, T.StringType):
+            ranks = value_ranks(facts, code)
+            facts = facts.join(ranks, F.col(code) == F.col("value"), "left").withColumn(code, F.col("rank")).drop("value", "rank")
+        else:
+            facts = facts.withColumn(code, F.col(code).cast("double"))
+    return facts
 
 
 def curve_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -89,13 +100,18 @@ def hilbert_shards(
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law!r}")
     text = F.coalesce(F.col(text_column), F.lit(""))
-    codes = [ordered_code(docs, d).alias(f"code{i}") for i, d in enumerate(dims)]
+    codes = [F.col(d).alias(f"code{i}") for i, d in enumerate(dims)]
     facts = docs.select(
         F.col(id_column).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), *codes,
     )
     facts = materialize(facts, "hilbert-facts")
-    placed = with_curve(facts, [f"code{i}" for i in range(len(dims))], bits)
+    names = [f"code{i}" for i in range(len(dims))]
+    if any(isinstance(facts.schema[n].dataType, T.StringType) for n in names):
+        facts = materialize(with_codes(facts, names), "hilbert-codes")
+    else:
+        facts = with_codes(facts, names)
+    placed = with_curve(facts, names, bits)
     placed = materialize(placed.select("id", "size", "text_crc32", "curve"), "hilbert-curve")
     order = ["curve", "id", "text_crc32", "size"]
     ranked = materialize(running_totals(placed, [], order, ["size"], "hilbert-order"), "hilbert-ranks")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refload.llm.chat import PERSPECTIVES_SQL, perspectives
-from refload.llm.curriculum import curriculum
+from refload.llm.curriculum import curriculum, in_order
 from refload.llm.divergence import DIVERGENCE_SQL, source_divergence
 from refload.llm.factorization import score_quality, train
 from refload.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
@@ -59,9 +59,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_curriculum_mix")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = curriculum(table(spark, sf, "documents"))
-    position = F.get("passes", F.lit(0))["position"]
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("first_position"))
+    mixed = in_order(curriculum(table(spark, sf, "documents")))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "passes")
 
 
 @query("op10_multi_index")

@@ -93,3 +93,18 @@ def test_odd_rows(spark, documents):
     assert got.columns == docs.columns and got.count() >= 3
     assert op.curriculum(documents([])).collect() == [] and op.mix(documents([])).collect() == []
     assert op.curriculum(documents([(1, " ", "a")])).select("target", "taken").collect() == [(0.0, 0)]
+
+
+def test_passes_in_one_order(spark, documents):
+    """Every pass has its rank and the words before it; a document without words has none."""
+    rows = [(i, " ".join(["w"] * (i % 7)), f"s{i % 3}") for i in range(200)] + [(None, "a b c", "s0"), (None, "a b c", "s0"), (5, None, "s1")]
+    made = op.in_order(op.curriculum(documents(rows))).collect()
+    assert len(made) == len(rows) and all(r.taken == sum(p.words for p in r.passes) for r in made)
+    passes = sorted((p.rank, p.position, p.words, p.start) for r in made for p in r.passes)
+    assert [p[0] for p in passes] == list(range(len(passes)))
+    assert [p[1] for p in passes] == sorted(p[1] for p in passes)
+    total = 0
+    for _, _, words, start in passes:
+        assert start == total
+        total += words
+    assert op.in_order(op.curriculum(documents([]))).collect() == []

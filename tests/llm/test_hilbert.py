@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -69,3 +70,17 @@ def test_odd_rows(spark, documents):
     assert op.hilbert_shards(documents([]), ["source"], 4).collect() == []
     with pytest.raises(ValueError, match="unknown law"):
         op.hilbert_shards(docs, ["source"], 4, "other")
+
+
+def test_strings_alike_at_their_start_are_told_apart(spark):
+    """Ten sources with a long common beginning as the only dimension: a shard holds a run of them, not all."""
+    rows = [(i, f"text {i}", f"common_crawl_{i % 10}" if i % 50 else None) for i in range(1600)]
+    table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": pa.array([r[2] for r in rows], pa.string())})
+    docs = spark.createDataFrame(table)
+    dealt = op.hilbert_shards(docs, ["source"], 16, "rows")
+    held: dict[int, set] = {}
+    for r in docs.join(dealt.select("doc_id", "shard"), "doc_id").collect():
+        held.setdefault(r.shard, set()).add(r.source)
+    assert len(held) == 16 and max(map(len, held.values())) <= 3
+    whole = op.value_ranks(docs, "source").orderBy("value").collect()
+    assert [r.rank for r in whole] == [float(i) for i in range(10)]
