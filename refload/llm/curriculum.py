@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from refload.llm.common import running_totals, store
+from refload.llm.common import running_totals
 from refload.session import local_rows, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,6 +84,7 @@ def source_targets(
 def curriculum(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[Ramp, ...] = RAMPS, share: float = 1.5,
     repeats: int = 2, seed: int = 1, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, source, size, text_crc32, source_size, target, taken, passes), a row a document.
 
@@ -92,11 +93,13 @@ def curriculum(
     once more until the target is met, to the nearest word: the last document is cut. A document is read ``repeats`` times
     at most. Documents without words, null texts among them, have size 0 and no pass; null is a source of its own, the
     last; equal rows are rows of their own. The order hangs on ids, checksums and the seed alone, so reruns agree.
+    Columns named in ``carry`` come along; their names must not be those of the result.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     sizes = docs.select(
         F.col(id_column).alias("id"), F.col(source_column).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        *carry,
     )
     sizes = materialize(sizes.withColumn("key", F.xxhash64(F.lit(seed), "id", "text_crc32")), "curriculum-sizes")
     targets = source_targets(sizes, weights, ramps, share, float(repeats))
@@ -117,7 +120,7 @@ def curriculum(
     passes = F.filter(F.array(*[reading(F.lit(i)) for i in range(repeats)]), lambda p: p["words"] > 0)
     return joined.select(
         F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "text_crc32", "source_size", "target",
-        (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), passes.alias("passes"),
+        (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), passes.alias("passes"), *carry,
     )
 
 
@@ -139,32 +142,51 @@ def in_order(plan: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return joined.withColumn("passes", F.coalesce("_passes", empty)).drop("_passes", "_row")
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that tells null from absent: where a null stands counts too."""
+    parts = []
+    for i, field in enumerate(df.schema.fields):
+        column = df[i]
+        if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            column = F.to_json(F.struct(column.alias("v")))
+        parts += [column, column.isNull()]
+    return F.xxhash64(*parts)
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", **options) -> DataFrame:
     """The documents as the curriculum reads them, in its order: one row a pass, with the columns of ``docs``.
 
-    A cut document keeps its first words, joined by single spaces. Equal rows (id and text) are taken for one
-    another and numbered, so that each has its own passes. An empty table gives no rows.
+    A cut document keeps its first words, joined by single spaces. Rows equal in all columns are one text that is read
+    as often as all of them are; other rows of one id are rows of their own. Any further column may have any name. An
+    empty table gives no rows.
+
+    Texts are shuffled twice: to their passes, and to their place. The places are known from the plan (words before a
+    pass, of all words), so the second shuffle samples nothing, and every partition gets the same number of words.
     """
     names = docs.columns
-    plan = curriculum(docs, id_column=id_column, text_column=text_column, **options).filter(F.size("passes") > 0)
-    plan = plan.select(F.xxhash64(id_column).alias("_h"), F.col("text_crc32").alias("_crc"), "size", "passes")
-    plan = store(plan, "curriculum-plan")
-    crc = F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    rows = docs.select(F.xxhash64(id_column).alias("_h"), crc.alias("_crc"), whole.alias("_doc"))
-    # Numbers for equal rows; they do not join as a key, so the shuffle of the window serves the join.
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_h", "_crc").orderBy(F.xxhash64("_doc"))))
-    plan = plan.withColumn("_p", F.row_number().over(Window.partitionBy("_h", "_crc").orderBy(F.xxhash64("passes"))))
-    read = rows.join(plan, ["_h", "_crc"]).filter(F.col("_k") - F.col("_p") == 0)
-    read = read.select("_doc", "size", F.explode("passes").alias("_p"))
-    text = F.col(f"_doc.`{text_column}`")
+    spark = docs.sparkSession
+    same = row_hash(docs)
+    base = docs.select(
+        F.col(f"`{id_column}`").alias("id"), F.col(f"`{source_column}`").alias("source"), F.col(f"`{text_column}`").alias("text"), same.alias("same")
+    )
+    plan = curriculum(base, id_column="id", source_column="source", text_column="text", carry=("same",), **options)
+    passes = plan.select("id", "text_crc32", "same", "size", F.explode("passes").alias("p")).select("id", "text_crc32", "same", "size", "p.*")
+    passes = materialize(passes, "curriculum-passes")
+    total = passes.agg(F.sum("words")).first()[0] or 0
+    placed = running_totals(passes, [], ["position", "id", "text_crc32", "same", "pass"], ["words"], "curriculum-sorted")
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to = F.least(F.floor(F.col("words_before") / F.lit(float(max(total, 1))) * wide), F.lit(wide - 1)).cast("int")
+    placed = placed.select("same", F.col("text_crc32").alias("crc"), "size", "words", "rank", to.alias("to"))
+
+    crc = F.crc32(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).cast("binary"))
+    whole = F.struct(*[docs[i].alias(f"c{i}") for i in range(len(names))])
+    rows = docs.select(same.alias("same"), crc.alias("crc"), whole.alias("doc")).groupBy("same", "crc").agg(F.any_value("doc").alias("doc"))
+    read = placed.join(rows, ["same", "crc"])
+    at = names.index(text_column)
+    text = F.col(f"doc.c{at}")
     words = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    head = F.array_join(F.slice(words, F.lit(1), F.col("_p.words").cast("int")), " ")
-    cut = F.when(F.col("_p.words") == F.col("size"), text).otherwise(head)
-    out = [cut.alias(c) if c == text_column else F.col(f"_doc.`{c}`").alias(c) for c in names]
-    placed = read.select(*out, F.col("_p.position").alias("_position"), F.col("_p.pass").alias("_pass"))
-    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(placed, "curriculum-rows")
-    ranged = placed.repartitionByRange(wide, "_position", id_column, "_pass")
-    return ranged.sortWithinPartitions("_position", id_column, "_pass").select(names)
-
+    head = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")
+    cut = F.when(F.col("words") == F.col("size"), text).otherwise(head)
+    out = [(cut if i == at else F.col(f"doc.c{i}")).alias(f"c{i}") for i in range(len(names))]
+    dealt = read.select(*out, "rank", "to").repartitionById(wide, "to")
+    return dealt.sortWithinPartitions("rank").select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])

@@ -108,3 +108,24 @@ def test_passes_in_one_order(spark, documents):
         assert start == total
         total += words
     assert op.in_order(op.curriculum(documents([]))).collect() == []
+
+
+def test_mix_order_and_equal_rows(spark, documents):
+    """Partition after partition, the mix is the plan's order; thousands of equal rows and nulls that trade places cost no pairs."""
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(i % 5 + 1)), f"s{i % 3}") for i in range(300)]
+    rows += [(None, "same words here", "s0")] * 3000
+    docs = documents(rows).selectExpr("*", "if(doc_id % 2 = 0, 'u', null) AS _row", "if(doc_id % 2 = 0, null, 'u') AS _position", "map('k', doc_id) AS same")
+    plan = op.in_order(op.curriculum(docs)).collect()
+    want = sorted((p.position, p.words) for r in plan for p in r.passes)
+    got = op.mix(docs)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert [words(r.text) for r in got] == [w for _, w in want]
+    given = {r[0]: r for r in docs.collect()}
+    assert all((r._row, r._position, r.same) == (given[r.doc_id]._row, given[r.doc_id]._position, given[r.doc_id].same) for r in got)
+    assert sum(r.doc_id is None for r in got) == sum(len(r.passes) for r in plan if r.doc_id is None)
+
+
+def test_mix_keeps_rows_apart_that_differ_by_where_a_null_is(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "x", None), (1, "a b", "s", None, "x")], "doc_id long, text string, source string, l string, r string")
+    assert {(r.l, r.r) for r in op.mix(docs, share=2.0).collect()} == {("x", None), (None, "x")}
