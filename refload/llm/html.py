@@ -61,6 +61,13 @@ STRUCTURE = set(
 #: Tags that a form has only where it goes round a page.
 WRAPPED = re.compile(r"<(?:(/form)|(?:article|main|nav|header|footer|h1))\b", re.IGNORECASE)
 ARTICLE = re.compile(r"<article\b", re.IGNORECASE)
+#: A form round a page has running text: so many words, and so many for each of its fields; choices and scripts do not count.
+FORM_WORDS, WORDS_A_FIELD = 60, 20
+FORM_EDGE = re.compile(r"</?form\b", re.IGNORECASE)
+FIELD = re.compile(r"<(?:textarea|select|button|input(?![^<>]*type\s*=\s*[\"']?hidden))\b", re.IGNORECASE)
+SILENT = re.compile(r"<(script|style|select|textarea|nav|ul|ol)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>", re.IGNORECASE | re.DOTALL)
+#: What every block gains where a page would else have no content at all: then unmarked blocks, however short, are it.
+LENIENT = 2.5
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SMOOTH = 1.5
@@ -112,12 +119,27 @@ def _evidence(tag: str, attributes: str, inside: bool, wrapper: bool = False) ->
     return score, names
 
 
+def _text_forms(html: str) -> set[int]:
+    """Starts of the forms that go round running text. Forms cannot nest: one ends where the next edge of a form stands."""
+    edges = [(m.start(), m[0].startswith("</")) for m in FORM_EDGE.finditer(html)] + [(len(html), True)]
+    found = set()
+    for (start, closing), (end, _) in zip(edges, edges[1:], strict=False):
+        if closing:
+            continue
+        words = len(SILENT.sub(" ", html[start:end]).split())
+        if words >= FORM_WORDS and words >= WORDS_A_FIELD * len(FIELD.findall(html, start, end)):
+            found.add(start)
+    return found
+
+
 def blocks(html: str) -> list[tuple[str, float, float, int]]:
     """(text, score, nearness to the block before, parent) of every block with text, in page order."""
     made: list[tuple[str, float, float, int]] = []
     # tag, evidence so far, in an article, number, part of the evidence that an article or main in it ends
     stack: list[tuple[str, float, bool, int, float]] = [("", 0.0, False, 0, 0.0)]
-    marks = [(m.start(), bool(m[1])) for m in WRAPPED.finditer(html)] if "<form" in html.lower() else []
+    formed = "<form" in html.lower()
+    marks = [(m.start(), bool(m[1])) for m in WRAPPED.finditer(html)] if formed else []
+    texts = _text_forms(html) if formed else set()
     spots = [m[0] for m in marks]
     single = len(ARTICLE.findall(html)) == 1
     pieces: list[str] = []
@@ -195,7 +217,8 @@ def blocks(html: str) -> list[tuple[str, float, float, int]]:
                 if tag == "main" or (tag == "article" and single):
                     before, open_names = before - open_names, 0.0
                 k = bisect_right(spots, match.start()) if tag == "form" else len(marks)
-                lasting, names = _evidence(tag, attributes, inside, k < len(marks) and not marks[k][1])
+                wrapper = tag == "form" and (match.start() in texts or (k < len(marks) and not marks[k][1]))
+                lasting, names = _evidence(tag, attributes, inside, wrapper)
                 stack.append((tag, before + lasting + names, inside or tag in ("article", "main"), count, open_names + names))
                 anchors += tag == "a"
     flush()
@@ -276,6 +299,8 @@ def main_text(html: str | None) -> tuple[str, int, int]:
             edges.append((last[parent], i, SIBLINGS))
         last[parent] = i
     labels = content_side([b[1] for b in found], edges) if found else []
+    if not any(labels):
+        labels = content_side([b[1] + LENIENT for b in found], edges) if found else []
     kept = [b[0] for b, keep in zip(found, labels, strict=True) if keep]
     return "\n".join(kept), len(kept), len(found)
 
@@ -286,7 +311,8 @@ def extract_pages(pages: DataFrame, html_column: str = "html", keep: tuple[str,
     A class, id or role speaks against what is in it where it names the element itself (its last word that says
     more than "list" or "box"); has-, with- and no- name something else. main, and the article of a page that has
     one, take back what such names around them say; what elements say (nav, aside, hidden) stays. A form that goes
-    round headings, articles or menus is the page, not a form.
+    round headings, articles, menus or running text is the page, not a form. Where nothing would be content, blocks that
+    nothing speaks against are, however short.
 
     Null and empty pages, and pages without content, have the empty text. Unclosed elements end with what holds them;
     a page cut short is read to its end. Character references are decoded in text, runs of white space become one

@@ -115,3 +115,21 @@ def test_stray_quotes_and_embedded_text():
     page = f"<article><p title=it's>{body}</p><p>{body}It's <math><mi>x</mi></math> and <object>this</object> too.</p></article>"
     assert op.main_text(page)[0] == f"{body.strip()}\n{body}It's x and this too."
     assert op.main_text(f"<article><p data-a='1 > 0' data-b=\"a>b\">{body}</p></article>")[0] == body.strip()
+
+
+def test_pages_that_are_not_empty():
+    """A page inside one form of plain divs, and pages of short unmarked paragraphs, have their text; forms stay out."""
+    body = "Paragraph of the article with quite some words to say, and it says them to the end. " * 5
+    want = f"{body.strip()}\n{body.strip()}"
+    hidden = "<input type=hidden name=__STATE value=x>"
+    page = f"<body><form action=/page>{hidden}<div class=menu><a href=/a>One</a></div><div><div>{body}</div><div>{body}</div></div></form></body>"
+    assert op.main_text(page)[0] == want
+    assert op.main_text("<div><p>One.</p><p>Two words here.</p></div>")[0] == "One.\nTwo words here."
+    assert op.main_text("<nav><a href=/a>One</a></nav><div><p>One.</p></div><footer>Foot</footer>")[0] == "One."
+    assert op.main_text("<nav><a href=/a>One</a> two</nav><div><a href=/b>Three</a></div><footer>Foot</footer>")[0] == ""
+    fields = "".join(f"<label>Your field {i} is required here</label><input name=f{i}>" for i in range(20))
+    note = "<p>Your address will not be published. Fields that are required are marked, so please fill them in.</p>"
+    choices = "<select>" + "<option>Some country</option>" * 200 + "</select>"
+    for form in (f"<form>{note}{fields}</form>", f"<form>{choices}<button>Send</button></form>", f"<form>{note}<textarea></textarea></form>"):
+        assert op.main_text(f"<body><article><p>{body}</p><p>{body}</p></article>{form}</body>")[0] == want
+        assert op.main_text(f"<body>{form}</body>")[0] == ""
