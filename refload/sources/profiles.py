@@ -1,13 +1,16 @@
 """Formats of files of any size.
 
 A small file is one row with its whole text. A large one is read line by line, in as many tasks as it has splits, and
-everything that decides its format is an aggregate per file: counts, first and last lines, a histogram of widths. Both
-ways find the same format; only quoted pieces that reach over a line end are counted by the first alone.
+everything that decides its format is an aggregate per file: counts, first and last lines, a histogram of widths. Files in
+UTF-16 and UTF-32 are cut at their own, encoded line feeds. Both ways find the same format; only quoted pieces that reach
+over a line end are counted by the first alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refload.functions.cells import field_count, parse_fields
@@ -41,7 +44,8 @@ from refload.session import materialize
 WHOLE_FILE_BYTES = 20 * 1024 * 1024
 # Records beyond this are passed over when line feeds are counted: a file of other line ends is one record then.
 LONGEST_RECORD = 16 * 1024 * 1024
-LARGE_WIDE = "Files in UTF-16 or UTF-32 cannot be read in parts; this one is too large to be read whole"
+# Byte order marks of encodings whose characters have several bytes, with name and bytes a unit.
+WIDE_MARKS = {"FFFE0000": ("UTF-32LE", 4), "0000FEFF": ("UTF-32BE", 4), "FFFE": ("UTF-16LE", 2), "FEFF": ("UTF-16BE", 2)}
 
 
 def profiled(files: DataFrame) -> DataFrame:
@@ -88,7 +92,8 @@ def _line_encoding(lines: DataFrame) -> DataFrame:
         .when(F.col("controls"), F.lit(ENCODING_WINDOWS))
         .otherwise(F.lit(ENCODING_LATIN))
     )
-    return seen.select("path", encoding.alias("encoding"))
+    byte_order = reduce(lambda rest, m: F.when(mark.startswith(m), F.lit(m)).otherwise(rest), reversed(WIDE_MARKS), F.lit(None).cast("string"))
+    return seen.select("path", encoding.alias("encoding"), byte_order.alias("byte_order"))
 
 
 def _line_ends(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -103,19 +108,89 @@ def _line_ends(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def _summed_before(records: DataFrame, value: str) -> DataFrame:
+    """Adds ``<value>_before``, the sum over the records of the file in front of this one: within blocks, and over blocks."""
+    blocks = records.groupBy("path", "block").agg(F.sum(value).alias("own"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = records.withColumn("_sum", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(starts, ["path", "block"]).withColumn(f"{value}_before", F.col("start") + F.col("_sum")).drop("start", "_sum")
+
+
+def wide_records(spark: SparkSession, paths: list[str], mark: str) -> DataFrame:
+    """(path, block, at, bytes): what stands between the line feeds of files with one byte order mark, in any number of splits.
+
+    The reader looks for the bytes of a line feed wherever they stand. Where they end one character and begin the next they
+    are no line feed: they start off the grid of characters, which shows in the sum of all bytes in front. Such pieces are
+    put together again.
+    """
+    name, width = WIDE_MARKS[mark]
+    rows = spark.read.option("encoding", name).text(paths, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bytes"),
+    )
+    rows = materialize(rows, "wide-records")
+    off_grid = rows.where(F.octet_length("bytes") % width != 0).select("path").distinct()
+    if off_grid.isEmpty():
+        return rows
+    torn = rows.join(off_grid, "path", "left_semi").withColumn("size", F.octet_length("bytes").cast("long") + width)
+    torn = _summed_before(torn, "size")
+    torn = torn.withColumn("ends", ((F.col("size_before") + F.col("size")) % width == 0).cast("long")).drop("size_before")
+    torn = _summed_before(materialize(torn, "wide-torn"), "ends")
+    pieces = F.array_sort(F.collect_list(F.struct("block", "at", F.hex("bytes").alias("hex"))))
+    feed = "\n".encode(name).hex()
+    whole = torn.groupBy("path", "ends_before").agg(pieces.alias("p")).select(
+        "path", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["at"].alias("at"),
+        F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), feed)).alias("bytes"),
+    )
+    return rows.join(off_grid, "path", "left_anti").unionByName(whole)
+
+
+def _wide_lines(spark: SparkSession, paths: list[str], mark: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as ``line_formats`` reads them, in UTF-8, and per file what its line ends are, of files with one byte order mark."""
+    name, width = WIDE_MARKS[mark]
+    records = wide_records(spark, paths, mark)
+    text = F.decode(F.concat(F.unhex(F.lit(mark)), F.col("bytes")), name[:6])
+    first = records.groupBy("path").agg(F.min(F.struct("block", "at")).alias("first"))
+    starts = F.struct("block", "at") == F.col("first")
+    records = records.join(first, "path").withColumn("text", F.when(starts, F.regexp_replace(text, "^\ufeff", "")).otherwise(text))
+    records = materialize(records.select("path", "block", "at", "text", F.octet_length("bytes").alias("size")), "wide-texts")
+    parts = F.posexplode(F.split(F.regexp_replace("text", r"\r\z", ""), "\r", -1)).alias("part", "line")
+    lines = records.select("path", "block", "at", parts)
+    lines = lines.select("path", F.struct("block", "at", "part").alias("place"), F.col("line").cast("binary").alias("bytes"))
+    pair = F.col("text").endswith("\r")
+    ends = records.groupBy("path").agg(
+        F.count("*").alias("records"), F.sum(F.col("size") + width).alias("all_bytes"), F.count_if(pair).alias("w_pairs"),
+        F.sum(F.length("text") - F.length(F.replace("text", F.lit("\r"), F.lit("")))).alias("w_marks"),
+        F.max_by(pair, F.struct("block", "at")).alias("w_last"),
+    )
+    return lines, ends
+
+
 def line_formats(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Format of each file, found from its lines; columns as ``profiled`` gives them."""
     files = spark.read.format("binaryFile").load(paths)
     files = files.select(F.col("path").alias("listed"), "modificationTime", "length", F.col("_metadata.file_path").alias("path"))
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.lit(0).alias("part")).alias("place"),
         F.col("value").cast("binary").alias("bytes"),
     )
     lines = materialize(raw, "large-lines")
     encodings = materialize(_line_encoding(lines), "large-encodings")
-    wide = F.col("encoding").isin(ENCODING_UTF16, ENCODING_UTF32)
-    text = F.when(wide, F.lit("")).otherwise(decode_content(F.col("bytes"), F.col("encoding")))
+    marks: dict[str, list[str]] = {}
+    for r in files.join(encodings.where("byte_order is not null"), "path").select("listed", "byte_order").collect():
+        marks.setdefault(r.byte_order, []).append(r.listed)
+    wide = F.col("byte_order").isNotNull()
+    wide_ends = None
+    if marks:
+        lines = lines.join(encodings.where(wide), "path", "left_anti")
+        for mark, own in sorted(marks.items()):
+            more, ends = _wide_lines(spark, own, mark)
+            lines, wide_ends = lines.unionByName(more), ends if wide_ends is None else wide_ends.unionByName(ends)
+        lines = materialize(lines, "large-all-lines")
+    text = F.when(wide, F.col("bytes").cast("string")).otherwise(decode_content(F.col("bytes"), F.col("encoding")))
     decoded = lines.join(encodings, "path").select("path", "place", text.alias("line"), F.octet_length("bytes").alias("size"))
     decoded = decoded.withColumn("filled", ~is_blank(F.col("line")))
 
@@ -177,6 +252,10 @@ def line_formats(spark: SparkSession, paths: list[str]) -> DataFrame:
     ends = _line_ends(spark, paths)
     found = files.join(stats.join(usual, "path", "left").join(thirds, "path", "left").join(ends, "path", "left"), "path", "left")
     found = found.join(encodings, "path", "left")
+    if wide_ends is None:
+        found = found.withColumns(dict.fromkeys(("records", "all_bytes", "w_pairs", "w_marks"), F.lit(None).cast("long")) | {"w_last": F.lit(None).cast("boolean")})
+    else:
+        found = found.join(wide_ends, "path", "left")
 
     marks = F.when(quote == '"', F.col("double_marks")).otherwise(F.col("single_marks"))
     balanced = F.when((quote != "") & (marks % 2 == 0), F.lit(CONFIDENCE_QUOTES)).otherwise(F.lit(0.0))
@@ -189,6 +268,13 @@ def line_formats(spark: SparkSession, paths: list[str]) -> DataFrame:
     over = F.col("length") - F.col("bytes") - pairs - F.col("lines")
     total = F.col("lines") + over.isin(0, 3).cast("int")  # a line end stands at the end
     returns = total - 1 - pairs - feeds
+    # Wide files were cut at line feeds, so all ends are known as counts.
+    wide_open = F.col("all_bytes") != F.col("length")
+    wide_pairs = F.col("w_pairs") - (wide_open & F.col("w_last")).cast("int")
+    wide_feeds = F.col("records") - wide_open.cast("int") - wide_pairs
+    wide_returns = F.col("w_marks") - wide_pairs
+    pairs, feeds, returns = (F.when(wide, w).otherwise(x) for w, x in ((wide_pairs, pairs), (wide_feeds, feeds), (wide_returns, returns)))
+    total = F.when(wide, 1 + pairs + feeds + returns).otherwise(total)
     encoding = F.when((over >= 2) & F.col("encoding").isin(ENCODING_ASCII, ENCODING_UTF8), F.lit(ENCODING_UTF8_BOM)).otherwise(F.col("encoding"))
     row_delimiter = (
         F.when((pairs > 0) & (pairs >= feeds) & (pairs >= returns), F.lit("\r\n"))
@@ -199,7 +285,7 @@ def line_formats(spark: SparkSession, paths: list[str]) -> DataFrame:
     last, previous = (field_count(F.col(f"{x}.line"), delimiter, quote) for x in ("last", "previous"))
     regular = F.col("typical_width").isNull() | (previous == F.col("typical_width"))
     trailer = F.coalesce(F.col("previous").isNotNull() & (last != previous) & regular, F.lit(False))
-    error = F.when(wide, F.lit(LARGE_WIDE)).when(F.coalesce("n_filled", F.lit(0)) == 0, F.lit(EMPTY_FILE)).when(total < 2, F.lit(ONE_LINE))
+    error = F.when(F.coalesce("n_filled", F.lit(0)) == 0, F.lit(EMPTY_FILE)).when(total < 2, F.lit(ONE_LINE))
     bad = error.isNotNull()
     shown = F.array_compact(F.array(*[F.col(f"shown{i}.line") for i in (1, 2, 3)]))
     sample = F.transform(shown, lambda x: parse_fields(x, delimiter, quote))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from refload.session import new_folder
-from refload.sources.profiles import LARGE_WIDE, file_formats
+from refload.sources.profiles import file_formats, wide_records
 from refload.streaming.dropfolder import stream_dropfolder
 from tests.test_formats import CASES
 
@@ -39,10 +39,44 @@ def test_lines_and_whole_files_agree(spark, tmp_path):
         assert lines[name] == want, name
 
 
-def test_wide_encodings_are_told(spark, tmp_path):
-    (tmp_path / "wide").write_bytes("id,v\n1,a\n".encode("utf-16"))
-    assert formats(spark, tmp_path, -1)["wide"]["error"] == LARGE_WIDE
-    assert formats(spark, tmp_path, 10**9)["wide"]["encoding"] == "UTF-16"
+MARKS = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff", "utf-32-le": b"\xff\xfe\0\0", "utf-32-be": b"\0\0\xfe\xff"}
+
+
+def test_wide_encodings_agree(spark, tmp_path):
+    """UTF-16 and UTF-32 of both byte orders and all line ends, in parts and whole."""
+    texts = {"trailer": "id;größe;x{0}1;ü;2{0}2;ö;3{0}3;ä;4{0}TOTAL;3{0}", "open": "id,v{0}1,'a'{0}2,'b'", "blank": " {0}{0}", "one": "a,b", "mixed": "a|b\r1|2\n3|4{0}5|6\r"}
+    for code, mark in MARKS.items():
+        for name, text in texts.items():
+            for eol, end in (("lf", "\n"), ("crlf", "\r\n"), ("cr", "\r")):
+                (tmp_path / f"{code} {name} {eol}").write_bytes(mark + text.format(end).encode(code))
+        (tmp_path / f"{code} mark").write_bytes(mark)
+    whole, lines = formats(spark, tmp_path, 10**9), formats(spark, tmp_path, -1)
+    assert set(whole) == set(lines) and len(whole) == 64
+    for name, want in whole.items():
+        assert lines[name] == want, name
+
+
+def test_line_feeds_off_the_grid(spark, tmp_path):
+    """Characters that make the bytes of a line feed between them cut nothing, in whatever splits a file is read."""
+    made = random.Random(7)
+    signs = ["\u0a05", "\u0100", "\u0a0a", "\u0200", "\u000a", "x", "\u0a00", "\U00010a05"]
+    for code, mark in MARKS.items():
+        for i in range(3):
+            text = "".join(made.choice(signs) for _ in range(400))
+            (tmp_path / f"{code}-{i}").write_bytes(mark + text.encode(code))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150b")
+    try:
+        for code, mark in MARKS.items():
+            paths = [str(tmp_path / f"{code}-{i}") for i in range(3)]
+            got = wide_records(spark, paths, mark.hex().upper()).orderBy("path", "block", "at").collect()
+            for i, path in enumerate(paths):
+                with open(path, "rb") as file:
+                    want = file.read().decode(code).split("\n")
+                mine = [bytes(r.bytes).decode(code) for r in got if r.path.endswith(f"{code}-{i}")]
+                assert mine == (want if want[-1] else want[:-1]), path
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_every_dropped_file_gets_a_row(spark, tmp_path):
