@@ -2,8 +2,8 @@
 
 A small file is one row with its whole text. A large one is read line by line, in as many tasks as it has splits, and
 everything that decides its format is an aggregate per file: counts, first and last lines, a histogram of widths. Files in
-UTF-16 and UTF-32 are cut at their own, encoded line feeds. Both ways find the same format; only quoted pieces that reach
-over a line end are counted by the first alone.
+UTF-16 and UTF-32 are cut at their own, encoded line feeds. Both ways find the same format: quoted pieces that
+reach over line ends count as in one text, by the state (in quotes or not) that every line begins in.
 """
 
 from __future__ import annotations
@@ -168,6 +168,64 @@ def _wide_lines(spark: SparkSession, paths: list[str], mark: str) -> tuple[DataF
     return lines, ends
 
 
+def _line_scan(line: Column, delimiter: Column, quote: str, after: bool) -> Column:
+    """What a line does to a search for quoted pieces: (n0, open0) if it begins outside a piece, (n1, open1) inside one.
+
+    ``after``: pieces that follow a delimiter, else those that start a line. The numbers are of pieces that end in the line.
+    """
+    marked = F.contains(line, F.lit(quote))
+    if not after:
+        whole = line.rlike(f"^{quote}[^{quote}]*{quote}")
+        ends = (whole.cast("int"), line.startswith(quote) & ~whole, marked.cast("int"), ~marked)
+    else:
+        start = F.concat(F.lit("["), delimiter, F.lit(f"]{quote}"))
+        run = F.concat(start, F.lit(f"[^{quote}]*{quote}"))
+        rest = F.when(marked, F.substring(line, F.instr(line, quote) + 1, F.length(line))).otherwise(F.lit(""))
+
+        def begun(text: Column) -> Column:
+            return F.regexp_like(F.regexp_replace(text, run, F.lit("\u0001")), start)
+
+        inside = F.when(marked, F.regexp_count(rest, run) + 1).otherwise(F.lit(0))
+        ends = (F.regexp_count(line, run), begun(line), inside, F.when(marked, begun(rest)).otherwise(F.lit(True)))
+    return F.struct(*[e.alias(name) for e, name in zip(ends, ("n0", "open0", "n1", "open1"), strict=True)])
+
+
+def _state_before(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``turned`` and ``fixed``: what the rows in front, within ``keys``, make of the state before the first of them.
+
+    A row leaves the state, turns it or sets it (``sets``). The state before a row is the last one set, else the first one,
+    turned as often as rows turned it since: ``fixed`` (null without a set one), else the first state turned by ``turned``.
+    """
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    turned = rows.withColumn("turned", F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2)
+    kept = F.last(F.when(F.col("sets").isNotNull(), (F.col("sets").cast("int") + F.col("turned")) % 2), ignorenulls=True).over(before)
+    return turned.withColumn("fixed", (kept + F.col("turned")) % 2)
+
+
+def spanning_matches(lines: DataFrame, delimiter: Column) -> DataFrame:
+    """(path, doubles, singles): quoted pieces of whole texts, from lines (path, place, line); line ends may lie within pieces.
+
+    Blocks of a file are scanned side by side: a block is one step of a scan over blocks, which tells the state each begins in.
+    """
+    kinds = [F.struct(F.lit(f"{q}{a}").alias("kind"), _line_scan(F.col("line"), delimiter, q, a).alias("scan")) for q in "\"'" for a in (True, False)]
+    steps = lines.select("path", F.col("place.block").alias("block"), "place", F.inline(F.array(*kinds))).select("path", "block", "place", "kind", "scan.*")
+    same = F.col("open0") == F.col("open1")
+    steps = steps.withColumns({"sets": F.when(same, F.col("open0")), "turns": (F.col("open0") & ~F.col("open1")).cast("int")})
+    steps = materialize(_state_before(steps, ["path", "kind", "block"], "place"), "quote-steps")
+    # The state behind a block: that before its last line, led through it.
+    last = steps.groupBy("path", "kind", "block").agg(F.max_by(F.struct("sets", "turns", "turned", "fixed"), "place").alias("z"))
+    turns = (F.col("z.turned") + F.col("z.turns")) % 2
+    sets = F.coalesce(F.col("z.sets").cast("int"), (F.col("z.fixed") + F.col("z.turns")) % 2)
+    led = last.select("path", "kind", "block", sets.alias("sets"), F.when(sets.isNull(), turns).otherwise(0).alias("turns"))
+    blocks = _state_before(led, ["path", "kind"], "block")
+    # A file begins outside.
+    first = blocks.select("path", "kind", "block", F.coalesce("fixed", "turned").alias("first"))
+    found = steps.join(first, ["path", "kind", "block"])
+    inside = F.coalesce("fixed", (F.col("first") + F.col("turned")) % 2) == 1
+    counted = found.select("path", F.substring("kind", 1, 1).alias("quote"), F.when(inside, F.col("n1")).otherwise(F.col("n0")).alias("n"))
+    return counted.groupBy("path").agg(*[F.sum(F.when(F.col("quote") == q, F.col("n")).otherwise(0)).alias(n) for q, n in (('"', "doubles"), ("'", "singles"))])
+
+
 def line_formats(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Format of each file, found from its lines; columns as ``profiled`` gives them."""
     files = spark.read.format("binaryFile").load(paths)
@@ -228,14 +286,22 @@ def line_formats(spark: SparkSession, paths: list[str]) -> DataFrame:
     delimiter = F.col("column_delimiter")
     judged = decoded.join(stats, "path")
     later = F.col("filled") & (F.col("place") > F.col("shown1.place"))
+    open_end = [F.regexp_like("line", F.concat(F.lit("(^|["), delimiter, F.lit(f"]){q}[^{q}]*$"))) for q in "\"'"]
     quotes = judged.groupBy("path").agg(
         F.sum(quote_matches(F.col("line"), delimiter, '"')).alias("doubles"), F.sum(quote_matches(F.col("line"), delimiter, "'")).alias("singles"),
         F.sum(F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).alias("double_marks"),
         F.sum(F.length("line") - F.length(F.replace("line", F.lit("'"), F.lit("")))).alias("single_marks"),
         F.min(entry(F.col("place") > F.col("first.place"))).alias("second"), F.min(entry(later)).alias("shown2"),
         F.max(entry(F.col("filled") & (F.col("place") < F.col("last.place")))).alias("previous"),
+        F.bool_or(open_end[0] | open_end[1]).alias("spans"),
     )
-    stats = stats.join(quotes, "path")
+    quotes = materialize(quotes, "large-marks")
+    spans = quotes.where("spans").select("path")
+    if not spans.isEmpty():
+        spanning = spanning_matches(judged.join(spans, "path", "left_semi").select("path", "place", "line", "column_delimiter"), delimiter)
+        spanning = spanning.select("path", F.col("doubles").alias("_doubles"), F.col("singles").alias("_singles"))
+        quotes = quotes.join(spanning, "path", "left").withColumns({n: F.coalesce(f"_{n}", n) for n in ("doubles", "singles")}).drop("_doubles", "_singles")
+    stats = stats.join(quotes.drop("spans"), "path")
     occurs = F.when(F.col("cuts") > 0, delimiter).otherwise(F.lit(""))
     stats = stats.withColumn("text_qualifier", pick_qualifier(occurs, delimiter, F.col("doubles"), F.col("singles")))
     quote = F.col("text_qualifier")

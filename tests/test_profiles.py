@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from refload.session import new_folder
-from refload.sources.profiles import file_formats, wide_records
+from refload.sources.profiles import file_formats, spanning_matches, wide_records
 from refload.streaming.dropfolder import stream_dropfolder
 from tests.test_formats import CASES
 
@@ -79,6 +80,30 @@ def test_line_feeds_off_the_grid(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_quoted_pieces_over_line_ends(spark, tmp_path):
+    """Pieces that reach over lines and blocks count as in one text."""
+    made = random.Random(11)
+    rows, want = [], {}
+    for i in range(40):
+        text = "".join(made.choice(["\"", "'", ",", "\n", "a", ",\"", "\n'"]) for _ in range(made.randint(1, 80)))
+        counts = []
+        for q in "\"'":
+            run = f"{q}[^{q}]*{q}"
+            counts.append(len(re.findall(f"[,]{run}", text)) + len(re.findall(f"(?m)^{run}", text)))
+        want[str(i)] = tuple(counts)
+        lines, block = text.split("\n"), 0
+        for at, line in enumerate(lines):
+            block += made.random() < 0.3
+            rows.append((str(i), block, at, line))
+    lines = spark.createDataFrame(rows, "path string, block long, at long, line string").selectExpr("path", "struct(block, at) place", "line")
+    got = {r.path: (r.doubles, r.singles) for r in spanning_matches(lines, F.lit(",")).collect()}
+    assert got == want
+    cell = "\n".join(["id,note"] + [f"{i},'first\nsecond'" for i in range(30)] + ['31,"x"'])
+    (tmp_path / "cells").write_text(cell)
+    whole, parts = formats(spark, tmp_path, 10**9)["cells"], formats(spark, tmp_path, -1)["cells"]
+    assert whole == parts and parts["text_qualifier"] == "'"
+
+
 def test_every_dropped_file_gets_a_row(spark, tmp_path):
     folder = tmp_path / "drop"
     folder.mkdir()
