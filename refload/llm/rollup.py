@@ -4,6 +4,9 @@ A batch brings documents in (again) with their counts, or takes them away. What
 the old count of a document with a minus, the new one with a plus, each under the source and language it belongs to. Sums
 of these rows are the totals; nothing is ever counted anew. A batch counts from the moment its name is in the list of
 commits, and a name is taken once: running it again, whole or after a failure, changes nothing.
+
+Ledger rows lie in buckets of their id, so a batch reads only the buckets it touches, and of these only its own ids go on.
+``compact`` puts all batches so far into one, as a commit of its own. A rollup has one writer at a time.
 """
 
 from __future__ import annotations
@@ -21,33 +24,81 @@ from refload.llm.common import map_batches, running_totals, utf8
 from refload.session import materialize
 
 KEYS = ("source", "lang", "version")
+COMMIT = "batch string, covers array<string>"
 
 
 class TokenRollup:
     """Ledger (document rows), deltas (sums of a batch) and commits under one folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        """``buckets`` counts when the folder is new; it stays with the folder."""
         self.spark, self.root = spark, root
-        spark.createDataFrame([], "batch string").write.mode("ignore").parquet(f"{root}/commits")
+        spark.createDataFrame([], COMMIT).write.mode("ignore").parquet(f"{root}/commits")
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("ignore").parquet(f"{root}/layout")
+        self.buckets = spark.read.parquet(f"{root}/layout").first()["buckets"]
+
+    def _commits(self) -> list:
+        return self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits").distinct().collect()
 
     def batches(self) -> list[str]:
         """Names of the batches that count."""
-        rows = self.spark.read.schema("batch string").parquet(f"{self.root}/commits").distinct().collect()
-        return sorted(r.batch for r in rows)
+        return sorted(r.batch for r in self._commits() if r.covers is None)
 
     def _committed(self, what: str) -> DataFrame | None:
-        names = self.batches()
-        paths = [f"{self.root}/{what}/{n}" for n in names]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def current(self) -> DataFrame | None:
-        """(id, version, source, lang, tokens) of every document that is in now."""
-        ledger = self._committed("ledger")
-        if ledger is None:
+        """Rows of all that counts: batches, or the compacted ones that cover them."""
+        commits = self._commits()
+        covered = {name for r in commits for name in r.covers or ()}
+        paths = sorted(f"{self.root}/{what}/batch={r.batch}" for r in commits if r.batch not in covered)
+        if not paths:
+            return None
+        # The folders of a batch without changes hold no file, so columns are those noted at the first commit.
+        columns = self.spark.read.parquet(f"{self.root}/columns/{what}").schema
+        return self.spark.read.schema(columns).option("basePath", f"{self.root}/{what}").parquet(*paths)
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("id", "version"), F.lit(self.buckets)).cast("int"))
+
+    def current(self, of: DataFrame | None = None) -> DataFrame | None:
+        """(id, version, source, lang, tokens) of every document that is in now, or of those with the ids, versions and buckets of ``of``."""
+        parts = self._committed("ledger")
+        if parts is None:
             return None
-        sums = ledger.groupBy("id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        if of is not None:
+            touched = [r.bucket for r in of.select("bucket").distinct().collect()]
+            wanted = of.select(F.col("id").alias("_id"), F.col("version").alias("_version"))
+            same = F.col("id").eqNullSafe(F.col("_id")) & F.col("version").eqNullSafe(F.col("_version"))
+            parts = parts.where(F.col("bucket").isin(touched)).join(wanted, same, "left_semi")
+        sums = parts.groupBy("id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.filter("docs > 0").select("id", "version", "source", "lang", "tokens")
 
+    def _write(self, name: str, signed: DataFrame) -> None:
+        """Ledger rows (id, version, source, lang, docs, tokens) and their sums; nothing of it counts before ``name`` is listed."""
+        rows = self._bucketed(signed)
+        rows.limit(0).write.mode("ignore").parquet(f"{self.root}/columns/ledger")
+        path = f"{self.root}/ledger/batch={name}"
+        rows.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums.limit(0).write.mode("ignore").parquet(f"{self.root}/columns/deltas")
+        sums.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={name}")
+
+    def compact(self) -> bool:
+        """Put all that counts into one set of files; False if there is nothing to put together. Totals and known names stay.
+
+        The rows that take the place of others count from the one commit that names those, so a lost job changes nothing.
+        """
+        commits = self._commits()
+        covered = {name for r in commits for name in r.covers or ()}
+        live = sorted(r.batch for r in commits if r.batch not in covered)
+        if len(live) < 2:
+            return False
+        name = f"compacted.{len(commits)}"
+        state = self.current()
+        self._write(name, state.select("id", "version", "source", "lang", F.lit(1).cast("long").alias("docs"), "tokens"))
+        made = F.array(*[F.lit(x) for x in live]).alias("covers")
+        self.spark.range(1).select(F.lit(name).alias("batch"), made).write.mode("append").parquet(f"{self.root}/commits")
+        return True
+
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Apply ``events`` (id, source, lang, version, tokens, deleted) once; False if the batch is in already.
 
@@ -62,7 +113,8 @@ class TokenRollup:
             return False
         state = F.struct("deleted", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang")
         last = events.groupBy("id", "version").agg(F.max(state).alias("new"))
-        before = self.current()
+        last = materialize(self._bucketed(last), "rollup-events")
+        before = self.current(last)
         if before is None:
             joined = last.withColumn("old", F.lit(None).cast("struct<tokens: long, source: string, lang: string>"))
         else:
@@ -84,11 +136,9 @@ class TokenRollup:
         )
         both = F.array(F.when(F.col("old").isNotNull(), minus), F.when(comes, plus))
         signed = joined.filter(~equal).select("id", "version", F.explode(both).alias("s")).filter("s IS NOT NULL")
-        path = f"{self.root}/ledger/{batch}"
-        signed.select("id", "version", "s.*").write.mode("overwrite").parquet(path)
-        sums = self.spark.read.parquet(path).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.root}/deltas/{batch}")
-        self.spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.root}/commits")
+        self._write(batch, signed.select("id", "version", "s.*"))
+        done = F.lit(batch).alias("batch"), F.lit(None).cast("array<string>").alias("covers")
+        self.spark.range(1).select(*done).write.mode("append").parquet(f"{self.root}/commits")
         return True
 
     def totals(self) -> DataFrame:

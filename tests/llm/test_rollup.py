@@ -7,6 +7,7 @@ from collections import defaultdict
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from refload.llm import rollup as op
 from refload.session import new_folder
@@ -96,3 +97,29 @@ def test_every_row_counts(spark, documents):
     got = op.corpus_rollup(documents(rows), new_folder(spark, "test-rollup"), TOKENIZERS).collect()
     assert {(r.docs, r.tokens) for r in got if r.version == "words"} == {(6, 2 + 2 + 1 + 3 + 1 + 0)}
     assert [r.docs for r in got] == [6, 6]
+
+
+def test_small_batches_read_their_buckets_and_compaction_changes_no_total(spark):
+    root = new_folder(spark, "test-rollup")
+    rollup = op.TokenRollup(spark, root, buckets=16)
+    assert not rollup.compact()
+    first = [(i, f"s{i % 3}", "en", "v1", i, False) for i in range(200)] + [(None, "s0", None, None, 5, False)]
+    assert rollup.commit("b1", events(spark, first))
+    assert op.TokenRollup(spark, root, buckets=99).buckets == 16
+    one = op.materialize(rollup._bucketed(events(spark, [(7, "s1", "en", "v1", 9, False)])), "test-one")
+    assert [(r.id, r.tokens) for r in rollup.current(one).collect()] == [(7, 7)]
+    read = {p.split("bucket=")[1].split("/")[0] for p in rollup._committed("ledger").where(F.col("bucket") == one.first().bucket).inputFiles()}
+    assert read and one.first().bucket in map(int, read)
+    assert rollup.commit("b2", events(spark, [(7, "s1", "en", "v1", 9, False), (8, "s2", "en", "v1", 0, True), (None, "s0", None, None, None, False)]))
+    before = totals(rollup)
+    assert rollup.compact() and not rollup.compact() and totals(rollup) == before
+    assert rollup.batches() == ["b1", "b2"] and not rollup.commit("b2", events(spark, [(1, "z", "z", "z", 1, False)]))
+    assert rollup.commit("b3", events(spark, [(7, "s0", "en", "v1", 1, False)]))
+    assert rollup.compact() and rollup.current().count() == 200
+    want: dict = defaultdict(lambda: [0, 0])
+    for i, s, lang, v, n, _ in first:
+        s, n = {7: ("s0", 1), None: ("s0", 0)}.get(i, (s, n))
+        if i != 8:
+            want[s, lang, v][0] += 1
+            want[s, lang, v][1] += n
+    assert totals(rollup) == {k: tuple(x) for k, x in want.items()}
