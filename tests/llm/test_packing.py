@@ -84,3 +84,32 @@ def test_odd_rows_and_groups(spark, documents):
     assert op.pack(documents([])).collect() == []
     many = [(i, "w " * (i % 50)) for i in range(500)]
     check(op.pack(documents(many), (16, 32, 64), group=37).collect(), many, (16, 32, 64))
+
+
+def least_cost(lengths, sizes):
+    """Cost of the best packing: every set of items is tried as the bin of its first item."""
+    n = len(lengths)
+    total = [sum(lengths[i] for i in range(n) if m >> i & 1) for m in range(1 << n)]
+    price = [min((op.sequence_cost(c) for c in sizes if c >= t), default=float("inf")) for t in total]
+    best = [0.0] * (1 << n)
+    for m in range(1, 1 << n):
+        low, rest = m & -m, m & (m - 1)
+        part, best[m] = rest, float("inf")
+        while True:
+            best[m] = min(best[m], price[part | low] + best[rest ^ part])
+            if not part:
+                break
+            part = (part - 1) & rest
+    return best[-1]
+
+
+def test_cost_against_all_assignments():
+    """Up to eight items: never below the least cost of all assignments and sizes, close to it on the whole."""
+    rng = np.random.default_rng(5)
+    ratios = []
+    for _ in range(150):
+        lengths = np.minimum(rng.lognormal(6, 1.2, int(rng.integers(1, 9))).astype(int) + 1, 4096).tolist()
+        least = least_cost(lengths, op.CAPACITIES)
+        ratios.append(sum(map(op.sequence_cost, op.best_fit(lengths)[2])) / least)
+    assert min(ratios) > 1 - 1e-9
+    assert max(ratios) <= 1.5 and np.mean(ratios) <= 1.05, (max(ratios), np.mean(ratios))
