@@ -55,6 +55,16 @@ def sanitize_identifier(c: Column) -> Column:
     return F.when(is_blank(c), F.lit("")).otherwise(F.substring(rooted, 1, NAME_LIMIT))
 
 
+def sanitize_words(c: Column) -> Column:
+    """``sanitize_identifier`` of every word of a text at once; a space ends a word, and all spaces stay."""
+    # Each pattern begins with what is rare, so that most characters are passed by at once.
+    white = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    text = F.regexp_replace(c, f"(?=[^ -~])(?:(?<![^ ]){white}++|(?<!{white}){white}++(?![^ ]))", "")
+    text = F.regexp_replace(text, r"[^\w ]", "_")
+    text = F.regexp_replace(text, "([0-9])(?<![^ ].)", "col_$1")
+    return F.regexp_replace(text, rf"(^| )([^ ]{{{NAME_LIMIT}}})[^ ]+", "$1$2")
+
+
 def file_stem(c: Column) -> Column:
     """File name without its last extension; a leading dot does not start an extension."""
     return F.regexp_replace(c, r"(?s)^(\.*[^.].*)\.[^.]*$", "$1")

@@ -24,6 +24,7 @@ from refload.functions.text import (
     rotated_table_name,
     sanitize_filename,
     sanitize_identifier,
+    sanitize_words,
     table_base_name,
     table_name_fallback,
     timestamped_name,
@@ -31,7 +32,7 @@ from refload.functions.text import (
 from refload.functions.times import stamp_text, zone_time
 from refload.functions.types import canonical_type, is_safe_widening
 from refload.operators.load import project_valid_columns, stamp_load_metadata
-from refload.operators.names import dedupe_names
+from refload.operators.names import dedupe_headers
 from refload.operators.workflow import json_config_extract
 from refload.plans.catalogue import query, table
 from refload.plans.queries.sqltext import sql_classify, sql_clean, sql_sanitize, sql_stamp, sql_stem
@@ -211,9 +212,9 @@ def timestamped_name_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def dedupe_names_query(spark: SparkSession, sf: str) -> DataFrame:
     """Each text as a header whose words are column names."""
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    named = words.select("doc_id", F.col("pos").cast("long").alias("pos"), sanitize_identifier(F.col("word")).alias("name"))
-    return dedupe_names(named, "doc_id", "pos", "name").select("doc_id", "pos", "unique_name")
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    named = dedupe_headers(texts, "doc_id", F.split(sanitize_words(F.col("text")), " "))
+    return named.select("doc_id", F.col("pos").cast("long").alias("pos"), "unique_name")
 
 
 CELLS_SQL = "[CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), props, event_type, strftime(ts, '%Y-%m-%d'), strftime(ts, '%Y-%m-%d %H:%M'), ' ', '-' || user_id || '.5+']"

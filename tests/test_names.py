@@ -6,8 +6,17 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from refload.functions.text import clean_null_tokens, sanitize_filename, sanitize_identifier, table_base_name
-from refload.operators.names import dedupe_header, dedupe_names
+from refload.functions.text import (
+    WHITE_SPACE,
+    clean_null_tokens,
+    sanitize_filename,
+    sanitize_identifier,
+    sanitize_words,
+    table_base_name,
+)
+from refload.operators.names import dedupe_header, dedupe_headers, dedupe_names
+from refload.plans.queries.names import dedupe_names_query
+from tests.conftest import SF
 
 
 def apply(spark, function, texts):
@@ -87,3 +96,49 @@ def test_dedupe_both_ways(spark, files):
     relation = arrays.select("f", F.posexplode("names").alias("p", "n"))
     rows = dedupe_names(relation, "f", "p", "n").orderBy("f", "p").collect()
     assert {i: [r.unique_name for r in rows if r.f == i] for i in expected} == expected
+
+
+def test_dedupe_headers(spark):
+    """Headers in one row each, a file in two rows (two names at a position, numbers that hit other names), no file, no header."""
+    rows = [(1, ["a", "A", "a_1", "", "a", ""]), (2, ["É", "é", None, "é"]), (3, []), (4, None)]
+    twice = [(5, ["x", "x_1", "x"]), (5, ["x", "x_1", "x"])]
+    nobody = [(None, ["n", "n"]), (None, ["n", "n_1"])]
+    given = spark.createDataFrame(rows + twice + nobody, "f long, names array<string>")
+    found = dedupe_headers(given, "f", F.col("names")).collect()
+    names = {f: [r.unique_name for r in sorted(found, key=lambda r: r.pos) if r.f == f] for f in (1, 2, 3, 4)}
+    assert names == {1: ["a", "A_1", "a_1_1", "", "a_2", ""], 2: ["É", "é_1", None, "é_2"], 3: [], 4: []}
+    assert [r.pos for r in sorted(found, key=lambda r: r.pos) if r.f == 5] == [0, 0, 1, 1, 2, 2]
+    assert sorted(r.unique_name for r in found if r.f == 5) == sorted(one_by_one(["x", "x", "x_1", "x_1", "x", "x"]))
+    assert sorted(r.unique_name for r in found if r.f is None) == ["n", "n_1", "n_1", "n_2"]
+
+
+def test_rows_of_a_clashing_file_stay_as_many(spark):
+    """A file whose positions come twice kept four rows for two where a numbered name hit another."""
+    rows = [(1, p, n, e) for p, n in enumerate(["x", "x_1", "x"]) for e in ("left", "right")]
+    columns = spark.createDataFrame(rows, "f long, p int, n string, extra string")
+    found = dedupe_names(columns, "f", "p", "n").collect()
+    assert sorted((r.p, r.n, r.extra) for r in found) == sorted((p, n, e) for _, p, n, e in rows)
+    assert len({r.unique_name for r in found}) == 6
+
+
+words = st.text(st.sampled_from([*WHITE_SPACE, *"  aB9_-é€😀"]), max_size=30)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(words, min_size=1, max_size=200))
+def test_sanitize_words(spark, texts):
+    """A text at once, or word by word."""
+    texts = [*texts, *(f"{b}{'x' * n}{b} {'9' * n}{a}" for n in (115, 116, 117, 119, 120, 121, 300) for a in ("", " ", "\t") for b in ("", "\n"))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = F.transform(F.split("t", " "), sanitize_identifier)
+    found = rows.select("t", F.split(sanitize_words(F.col("t")), " ").alias("at_once"), one.alias("one")).collect()
+    assert [r.t for r in found if r.at_once != r.one] == []
+
+
+def test_words_are_not_shuffled(spark):
+    """Texts are dealt out once, before they become words; the words of all texts were dealt out three times."""
+    plan = dedupe_names_query(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    ends = [next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan)) for i in range(len(plan))]
+    dealt = [line for i, top in enumerate(plan) if "Exchange" in top for line in plan[i + 1 : ends[i]]]
+    assert dealt and not [line for line in dealt if "Generate" in line]
