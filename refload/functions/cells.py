@@ -42,10 +42,15 @@ def quoted_run(quote: Column) -> Column:
     )
 
 
+def _unquoted(line: Column, quote: Column) -> Column:
+    """Whether a line is cut at every delimiter: no quote is set, or none occurs."""
+    return (quote == "") | ~F.contains(line, quote)
+
+
 def field_count(line: Column, delimiter: Column, quote: Column) -> Column:
     """Number of fields of a line; delimiters inside a quoted field do not count."""
     opened = F.concat(F.lit("(^|["), delimiter, F.lit("])"), quoted_run(quote))
-    bare = F.when(quote == "", line).otherwise(F.regexp_replace(line, opened, F.lit("$1")))
+    bare = F.when(_unquoted(line, quote), line).otherwise(F.regexp_replace(line, opened, F.lit("$1")))
     delimiters = F.length(bare) - F.length(F.replace(bare, delimiter, F.lit("")))
     return F.when(line == "", F.lit(0)).otherwise(delimiters + 1)
 
@@ -68,5 +73,5 @@ def parse_fields(line: Column, delimiter: Column, quote: Column) -> Column:
     quoted = F.transform(F.regexp_extract_all(F.concat(delimiter, line), piece, F.lit(1)), unquote)
     split = F.split(line, F.concat(F.lit("["), delimiter, F.lit("]")))
     return (
-        F.when(line == "", F.array().cast("array<string>")).when(quote == "", split).otherwise(quoted)
+        F.when(line == "", F.array().cast("array<string>")).when(_unquoted(line, quote), split).otherwise(quoted)
     )

@@ -11,7 +11,19 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from refload.functions.cells import classify_cell, field_count, parse_fields
-from refload.functions.detect import decode_content, detect_encoding, detect_format, detect_row_delimiter
+from refload.functions.detect import (
+    HEADER_WORDS,
+    decode_content,
+    detect_encoding,
+    detect_format,
+    detect_row_delimiter,
+    has_header,
+    with_delimiter,
+    with_header,
+    with_lines,
+    with_qualifier,
+    with_trailer,
+)
 
 CASES = {
     "simple": ("id,name,value\n1,Test Item,100\n2,Sample Item,200\n", dict(column_delimiter=",", has_header=True, has_trailer=False)),
@@ -142,3 +154,59 @@ def test_formats_are_judged_by_whole_files(spark):
     assert found["wide"].estimated_columns == 3 and found["wide"].has_trailer
     first = detect_format(rows, "t", scored_lines=10).drop("t").where("k = 'late'").first()
     assert first.column_delimiter == ","
+
+
+def formats_of(rows: list[tuple[str, str, str]]) -> list[str]:
+    """Formats in turn, as a table of small files has them."""
+    return [f"{a}{d}{q}{b}{d}x{q}{d}{c}" for a, b, c in rows for d in (",", ";", "|", "\t") for q in ('"', "'", "")]
+
+
+def test_patterns_are_fixed_texts(spark):
+    """Patterns made of columns were compiled anew for every line of a file whose format differed from the one before."""
+    files = spark.createDataFrame([("a,b\n1,2\n",)], "content string").repartition(1)
+    steps = with_trailer(with_header(with_qualifier(with_delimiter(with_lines(files, "content")), "content")))
+    whole = steps.select("has_trailer", "trailer_line")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"(^|[{d}]){q}[^{q}]*" in whole for d in ",;|" for q in "\"'")
+
+
+FIELDS = [("a", "b", "c"), ("", "b''b", "1"), ("a", 'b""b', ""), ("é", "", "2024-01-01")]
+
+
+def test_widths_and_fields_of_mixed_formats(spark):
+    """A line without the qualifier is cut at every delimiter, with the qualifier as its quoted fields say; any format may follow any other."""
+    marks = [(d, q) for d in (",", ";", "|", "\t", "~") for q in ('"', "'", "")]
+    lines = formats_of(FIELDS) + ["", "plain", "a,b", "a;'b;c", '"', "''", None]
+    rows = spark.createDataFrame([(x, d, q) for x in lines for d, q in marks], "line string, d string, q string")
+    found = rows.select(
+        "line", "d", "q", field_count(F.col("line"), F.col("d"), F.col("q")).alias("n"), parse_fields(F.col("line"), F.col("d"), F.col("q")).alias("f")
+    ).collect()
+
+    def expected(line: str, d: str, q: str) -> list[str]:
+        out, at = [], 0
+        while at <= len(line):
+            field, end = "", at
+            if q and line.startswith(q, at):
+                end = at + 1
+                while end < len(line) and (line[end] != q or line.startswith(q + q, end)):
+                    field += line[end]
+                    end += 2 if line[end] == q else 1
+                end = min(end + 1, len(line))
+            stop = line.find(d, end)
+            stop = len(line) if stop < 0 else stop
+            out.append(field + line[end:stop])
+            at = stop + 1
+        return out
+
+    for r in found:
+        fields = None if r.line is None else expected(r.line, r.d, r.q) if r.line else []
+        assert r.f == fields, (r.line, r.d, r.q)
+        assert r.n == (None if fields is None else len(fields)), (r.line, r.d, r.q)
+
+
+def test_header_words_in_any_case(spark):
+    """Case counts for A-Z only: the dotted capital I and the Kelvin sign are in no header word."""
+    first = ["ID", "Name", "DATE", "xTimex", "İD", "K", "valué", "VALUE", "", None]
+    rows = spark.createDataFrame([([a, "z", "z"], ["b", "c", "d"]) for a in first], "a array<string>, b array<string>")
+    found = [r.h for r in rows.select(has_header(F.col("a"), F.col("b")).alias("h")).collect()]
+    lowered = [any(w in x.lower() for w in HEADER_WORDS) for x in first if x is not None]
+    assert found[:-1] == lowered
